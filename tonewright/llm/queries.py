@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonewright.llm.mixing import mix_sources
+from tonewright.llm.splitting import split_oversized
 from tonewright.llm.tokens import encode_corpus
 from tonewright.llm.topn import top_n_per_group
 from tonewright.session import table
@@ -24,8 +26,29 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each mix with their copies."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached shares of each source of each mix."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[1]
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document beyond the limit of each setting."""
+    return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"), "doc_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p6_ids": p6_ids}
+    return {
+        "p3_found": p3_found,
+        "p6_ids": p6_ids,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
+        "p8_pieces": p8_pieces,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

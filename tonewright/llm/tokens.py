@@ -279,3 +279,30 @@ def decode_corpus(encoded: DataFrame, id_col: str, ids: str, path: str | None =
     return joined.select(
         F.col("_id").alias(id_col), value.alias(text), F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_t")
     ).drop("_t")
+
+
+def token_sizes(
+    docs: DataFrame, text: str, path: str | None = None, size: str = "n_tokens", head_words: int = HEAD_WORDS
+) -> DataFrame:
+    """``docs`` without its text, plus ``size``: the number of ids of each row's text (0 for null and empty ones).
+
+    A column named ``size`` in ``docs`` is replaced.
+    """
+    path = path or tokenizer_path()
+    rest = [c for c in docs.columns if c not in (text, size)]
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("_row"), F.col(f"`{text}`").alias("_text"))
+    table = build_words(source, "_text", path, head_words)
+    head = table.head
+    rows = with_rare(source, "_text", table, "_rare").select("_row", words_of("_text").alias("_words"), "_rare")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            _, sizes, _ = look_up(words, batch.column(2), head.value)
+            sums = np.concatenate([[0], np.cumsum(sizes)])
+            at = words.offsets.to_numpy() - words.offsets[0].as_py()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(sums[at]))], names=["_row", "_n"])
+
+    schema = T.StructType([T.StructField("_row", source.schema["_row"].dataType), T.StructField("_n", T.LongType())])
+    done = rows.mapInArrow(add_up, schema)
+    return done.select(*[F.col("_row")[c].alias(c) for c in rest], F.col("_n").alias(size))
