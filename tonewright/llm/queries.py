@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonewright.llm.mixing import mix_sources
+from tonewright.llm.neighbours import joint_collection, name_of, nearest, similar_pairs
 from tonewright.llm.splitting import split_oversized
 from tonewright.llm.tokens import encode_corpus
 from tonewright.llm.topn import top_n_per_group
-from tonewright.session import table
+from tonewright.session import cut, table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,24 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("example_number", "target_style", F.col("place").cast("int").alias("place"), "row_id")
 
 
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["row_id", "example_number", "text_style_emb", "styled_text_style_emb"]
+    return cut(joint_collection(table(spark, sf_dir, "tst_results").select(*columns)))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different vectors of the joint collection with a cosine of at least 0.9."""
+    pairs = similar_pairs(_collection(spark, sf_dir), 64, 0.9).select(name_of("a").alias("x"), name_of("b").alias("y"))
+    return pairs.select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"))
+
+
+def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each row and example whose number is divisible by 50, against all vectors."""
+    vectors = _collection(spark, sf_dir).withColumn("asks", F.floor(F.col("id") / 2) % 50 == 0)
+    near = nearest(vectors, 64, 10, "asks")
+    return near.select(name_of("id").alias("vec"), "place", name_of("neighbour").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -44,6 +63,8 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p3_found": p3_found,
+        "p4_found": p4_found,
+        "p4_nearest": p4_nearest,
         "p6_ids": p6_ids,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
