@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 from tonewright.llm.mixing import mix_sources
 from tonewright.llm.neighbours import joint_collection, name_of, nearest, similar_pairs
+from tonewright.llm.splits import assign_splits, related_authors
 from tonewright.llm.splitting import split_oversized
 from tonewright.llm.tokens import encode_corpus
 from tonewright.llm.topn import top_n_per_group
 from tonewright.session import cut, table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different author values that must land in the same split."""
+    return related_authors(table(spark, sf_dir, "test_df"), "example_number", "author", "text")
+
+
+def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of every source row."""
+    return assign_splits(table(spark, sf_dir, "test_df"), "example_number", "author", "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first three rows of each (example_number, target_style) by score."""
     rows = table(spark, sf_dir, "tst_results").select("example_number", "target_style", "row_id", "score")
@@ -62,6 +73,8 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p2_found": p2_found,
+        "p2_splits": p2_splits,
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_nearest": p4_nearest,
