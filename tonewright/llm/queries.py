@@ -13,9 +13,26 @@ from tonewright.llm.splits import assign_splits, related_authors
 from tonewright.llm.splitting import split_oversized
 from tonewright.llm.tokens import encode_corpus
 from tonewright.llm.topn import top_n_per_group
+from tonewright.llm.truncation import find_truncated, truncation_rates
 from tonewright.session import cut, table
 
 
+#: The text fields of the results and the source of each.
+FIELDS = {"text": "domain", "styled_text": "tst_model"}
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cut values of both text fields."""
+    rows = table(spark, sf_dir, "tst_results").select("row_id", *FIELDS)
+    return find_truncated(rows, "row_id", FIELDS)
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each domain truncates ``text`` and each model ``styled_text``."""
+    rows = table(spark, sf_dir, "tst_results").select("row_id", *FIELDS, *FIELDS.values())
+    return truncation_rates(rows, "row_id", FIELDS)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different author values that must land in the same split."""
     return related_authors(table(spark, sf_dir, "test_df"), "example_number", "author", "text")
@@ -73,6 +90,8 @@ def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_rates": p1_rates,
         "p2_found": p2_found,
         "p2_splits": p2_splits,
         "p3_found": p3_found,
