@@ -8,6 +8,7 @@ which loses its leading space, is counted again.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,8 @@ INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 RUN_CHARS = 16
 #: Most rows of the table of settings, which is read by the driver.
 MOST_SETTINGS = 1000
+#: Tokens that trimming the white space of a piece may save.
+SPARE = 4
 
 
 def _kinds(words: pa.Array) -> dict[str, np.ndarray]:
@@ -76,52 +79,88 @@ def strengths(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class _Text:
     """One text as words with sizes; counts, snaps and cuts."""
 
-    def __init__(self, text: str, sizes: np.ndarray, chars: np.ndarray, strength: np.ndarray, space: np.ndarray, enc, most: int):
-        if sizes.size and sizes.max() > most:
-            sizes, chars, strength, space = _cut_words(text, sizes, chars, strength, space, enc, most)
-            self.exact = False
-        else:
-            self.exact = True
-        self.text, self.enc = text, enc
-        self.tokens = np.concatenate([[0], np.cumsum(sizes)])
-        self.at = np.concatenate([[0], np.cumsum(chars)])
-        self.strength, self.space, self.n = strength, space, len(sizes)
-
-    def trimmed(self, i: int, j: int) -> tuple[int, int]:
-        while i < j and self.space[i]:
-            i += 1
-        while j > i and self.space[j - 1]:
-            j -= 1
-        return i, j
+    def __init__(self, text: str, sizes: np.ndarray, chars: np.ndarray, strength: np.ndarray, space: np.ndarray, counted: _Counter):
+        self.parts = (sizes, chars, strength, space)
+        self.text, self.counted, self.exact = text, counted, True
+        self._lay(*self.parts)
+        self.most_in_word = int(sizes.max()) if sizes.size else 0
+
+    def _lay(self, sizes, chars, strength, space):
+        tokens = np.concatenate([[0], np.cumsum(sizes)])
+        self.tokens = tokens.tolist()
+        self.at = np.concatenate([[0], np.cumsum(chars)]).tolist()
+        self.space, self.n = space.tolist(), len(sizes)
+        self.levels = []
+        for level in range(PARAGRAPH, INSIDE - 1, -1):
+            where = np.flatnonzero(strength == level)
+            if len(where):
+                self.levels.append((where.tolist(), tokens[where].tolist()))
+
+    def for_limit(self, most: int) -> _Text:
+        """The text with its words beyond ``most`` tokens as runs of characters."""
+        if self.most_in_word <= most:
+            return self
+        other = object.__new__(_Text)
+        other.text, other.counted, other.exact, other.parts, other.most_in_word = self.text, self.counted, False, self.parts, 0
+        other._lay(*_cut_words(self.text, *self.parts, self.counted, most))
+        return other
 
     def piece(self, i: int, j: int) -> tuple[int, int, int]:
         """Start and end in characters and the token count of words ``i`` to ``j`` without outer white space."""
-        i, j = self.trimmed(i, j)
-        start, end = int(self.at[i]), int(self.at[j])
+        space = self.space
+        while i < j and space[i]:
+            i += 1
+        while j > i and space[j - 1]:
+            j -= 1
+        start, end = self.at[i], self.at[j]
         if i == j:
             return start, start, 0
-        body = self.text[start:end]
-        lead = len(body) - len(body.lstrip())
+        text = self.text
+        lead = start
+        while text[lead].isspace():
+            lead += 1
         if not self.exact:
-            return start + lead, end, len(self.enc.encode_ordinary(body[lead:]))
-        count = int(self.tokens[j] - self.tokens[i])
-        if lead:
-            first = self.text[start + lead : int(self.at[i + 1])]
-            count += len(self.enc.encode_ordinary(first)) - int(self.tokens[i + 1] - self.tokens[i])
-        return start + lead, end, count
+            while text[end - 1].isspace():
+                end -= 1
+            return lead, end, self.counted(text[lead:end], keep=False)
+        count = self.tokens[j] - self.tokens[i]
+        if lead > start:
+            count += self.counted(text[lead : self.at[i + 1]]) - self.tokens[i + 1] + self.tokens[i]
+        return lead, end, count
 
     def snap(self, target: float, low: float, high: float, after: int) -> int:
-        """The strongest boundary with a token position in [low, high], the nearest to ``target`` among equals."""
-        lo = max(int(np.searchsorted(self.tokens, low, "left")), after)
-        hi = min(int(np.searchsorted(self.tokens, high, "right")), self.n)
-        if lo >= hi:
-            return max(after, min(int(np.searchsorted(self.tokens, target, "right")) - 1, self.n - 1))
-        part = self.strength[lo:hi]
-        best = np.flatnonzero(part == part.max()) + lo
-        return int(best[np.abs(self.tokens[best] - target).argmin()])
+        """The strongest boundary with a token position in [low, high], the nearest to ``target`` among equals;
+        without one, the last word boundary of any kind up to ``high``, but not before word ``after``."""
+        for where, tokens in self.levels:
+            k = bisect_left(tokens, target)
+            best, gap = -1, None
+            if k < len(tokens) and tokens[k] <= high and where[k] >= after:
+                best, gap = where[k], tokens[k] - target
+            if k and tokens[k - 1] >= low and where[k - 1] >= after and (gap is None or target - tokens[k - 1] <= gap):
+                best = where[k - 1]
+            if best >= 0:
+                return best
+        return max(after, min(bisect_right(self.tokens, high) - 1, self.n - 1))
+
 
+class _Counter:
+    """Token counts of short strings, remembered within bounds."""
 
-def _cut_words(text, sizes, chars, strength, space, enc, most):
+    def __init__(self, enc):
+        self.enc, self.known = enc, {}
+
+    def __call__(self, text: str, keep: bool = True) -> int:
+        got = self.known.get(text)
+        if got is None:
+            got = len(self.enc.encode_ordinary(text))
+            if keep and len(text) <= 64:
+                if len(self.known) >= 200_000:
+                    self.known.clear()
+                self.known[text] = got
+        return got
+
+
+def _cut_words(text, sizes, chars, strength, space, counted, most):
     """Words beyond ``most`` tokens as runs of characters with their own counts."""
     out_s, out_c, out_b, out_w = [], [], [], []
     at = 0
@@ -131,7 +170,7 @@ def _cut_words(text, sizes, chars, strength, space, enc, most):
         else:
             for k in range(0, n, RUN_CHARS):
                 run = text[at + k : at + min(k + RUN_CHARS, n)]
-                out_s.append(len(enc.encode_ordinary(run))), out_c.append(len(run))
+                out_s.append(counted(run)), out_c.append(len(run))
                 out_b.append(INSIDE if k else b), out_w.append(run.isspace())
         at += n
     return np.array(out_s), np.array(out_c), np.array(out_b, dtype=np.int8), np.array(out_w, dtype=bool)
@@ -139,39 +178,44 @@ def _cut_words(text, sizes, chars, strength, space, enc, most):
 
 def _cut_into(t: _Text, k: int, most: int, overlap: int) -> list[tuple[int, int, int]] | None:
     """``k`` pieces near equal-length targets, or None when one breaks the limit."""
-    total = int(t.tokens[-1])
+    tokens, n = t.tokens, t.n
+    total = tokens[-1]
     step = (total - overlap) / k
     slack = step / 4
-    pieces, start = [], 0
+    bounds, start = [], 0
     for p in range(1, k + 1):
-        end = t.n
+        end = n
         if p < k:
             target = p * step + overlap
-            top = min(target + slack, float(t.tokens[start] + most))
+            top = min(target + slack, tokens[start] + most)
             end = t.snap(min(target, top), min(target - slack, top), top, start + 1)
-        s, e, n = t.piece(start, end)
-        if n > most:
+        if tokens[end] - tokens[start] > most + SPARE or total - tokens[start] > (k - p + 1) * (most - overlap) + overlap + SPARE:
             return None
-        if n and (not pieces or s > pieces[-1][0]):
-            pieces.append((s, e, n))
-        if end >= t.n:
+        bounds.append((start, end))
+        if end >= n:
             break
         if overlap:
-            want = float(t.tokens[end]) - overlap
-            start = max(t.snap(want, want - overlap / 2, want + overlap / 2, start + 1), start + 1)
-            start = min(start, end)
+            want = tokens[end] - overlap
+            start = min(max(t.snap(want, want - overlap / 2, want + overlap / 2, start + 1), start + 1), end)
         else:
             start = end
+    pieces = []
+    for start, end in bounds:
+        s, e, count = t.piece(start, end)
+        if count > most:
+            return None
+        if count and (not pieces or s > pieces[-1][0]):
+            pieces.append((s, e, count))
     return pieces
 
 
 def _greedy(t: _Text, most: int, overlap: int) -> list[tuple[int, int, int]]:
     """Pieces filled from the left; the way out for a text that no number of balanced pieces fits."""
-    pieces, start = [], 0
+    pieces, start, tokens = [], 0, t.tokens
     while start < t.n:
-        end = max(int(np.searchsorted(t.tokens, t.tokens[start] + most, "right")) - 1, start + 1)
+        end = max(bisect_right(tokens, tokens[start] + most) - 1, start + 1)
         if end < t.n:
-            end = t.snap(float(t.tokens[end]), float(t.tokens[start] + most * 3 / 4), float(t.tokens[end]), start + 1)
+            end = t.snap(tokens[end], tokens[start] + most * 3 / 4, tokens[end], start + 1)
         s, e, n = t.piece(start, end)
         while n > most and end > start + 1:
             end -= max(1, (end - start) // 8)
@@ -180,16 +224,16 @@ def _greedy(t: _Text, most: int, overlap: int) -> list[tuple[int, int, int]]:
             pieces.append((s, e, n))
         if end >= t.n:
             break
-        back = int(np.searchsorted(t.tokens, t.tokens[end] - overlap, "left"))
-        start = min(max(back, start + 1), end)
+        start = min(max(bisect_left(tokens, tokens[end] - overlap), start + 1), end)
     return pieces
 
 
 def split_text(t: _Text, most: int, overlap: int) -> list[tuple[int, int, int]]:
     """(start, end, tokens) of the pieces of one text."""
-    total = int(t.tokens[-1])
+    t = t.for_limit(most)
+    total = t.tokens[-1]
     least = max(2, -(-(total - overlap) // (most - overlap)))
-    for k in range(least, least + max(4, least // 4)):
+    for k in range(least, least + max(4, least // 2)):
         pieces = _cut_into(t, k, most, overlap)
         if pieces is not None:
             return pieces
@@ -225,7 +269,7 @@ def split_oversized(
     )
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        counted = _Counter(encoder(path))
         for batch in batches:
             words = batch.column(2)
             flat = words.flatten()
@@ -237,14 +281,20 @@ def split_oversized(
             for row in np.flatnonzero(totals > min((m for _, m, _ in settings), default=1 << 60)):
                 a, b = offsets[row], offsets[row + 1]
                 text = batch.column(1)[int(row)].as_py()
+                whole = _Text(text, sizes[a:b], chars[a:b], strength[a:b], space[a:b], counted)
                 for name, most, overlap in settings:
                     if totals[row] <= most:
                         continue
-                    t = _Text(text, sizes[a:b], chars[a:b], strength[a:b], space[a:b], enc, most)
-                    pieces = split_text(t, most, overlap)
-                    for i, (s, e, n) in enumerate(pieces):
-                        for column, value in zip(out.names, (name, row, i + 1, len(pieces), s, e, n, text[s:e])):
-                            found[column].append(value)
+                    pieces = split_text(whole, most, overlap)
+                    n = len(pieces)
+                    found["setting"] += [name] * n
+                    found["_row"] += [row] * n
+                    found["piece_no"] += range(1, n + 1)
+                    found["n_pieces"] += [n] * n
+                    found["start"] += [x[0] for x in pieces]
+                    found["end"] += [x[1] for x in pieces]
+                    found["n_tokens"] += [x[2] for x in pieces]
+                    found["piece"] += [text[x[0] : x[1]] for x in pieces]
             done = pa.Table.from_pydict(found, schema=out)
             ids = batch.column(0).take(done.column("_row").combine_chunks())
             for part in done.set_column(1, "_id", ids).combine_chunks().to_batches():
