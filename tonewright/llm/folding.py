@@ -12,17 +12,17 @@ LOOK_ALIKES = {
     "η": "h", "ι": "i", "κ": "k", "μ": "m", "ν": "n", "ο": "o", "ρ": "p", "τ": "t", "υ": "y", "χ": "x", "ɑ": "a",
     "ɡ": "g", "ı": "i",
 }
-_TABLE = str.maketrans(LOOK_ALIKES | {"ё": "е"})
-_FIRST = str.maketrans({"ё": "е", "Ё": "Е"})
+_TABLE = str.maketrans(LOOK_ALIKES)
 _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
     """Compatibility form, case folded, ё as е, without marks that do not compose and without format characters."""
-    text = unicodedata.normalize("NFKC", text)
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Me", "Cf") or c == "\n") if _ODD.search(text) else text
-    return text.translate(_FIRST).casefold().translate(_FIRST)
+    if not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    if _ODD.search(text):
+        text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Me", "Cf"))
+    return text.casefold().replace("ё", "е")
 
 
 _ODD = re.compile("[\u00ad\u0300-\u036f\u0483-\u0489\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")

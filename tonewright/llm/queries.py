@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonewright.llm.defects import find_defects
 from tonewright.llm.mixing import mix_sources
 from tonewright.llm.neighbours import joint_collection, name_of, nearest, similar_pairs
 from tonewright.llm.splits import assign_splits, related_authors
@@ -68,6 +69,12 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(name_of("id").alias("vec"), "place", name_of("neighbour").alias("neighbour"), F.round("cosine", 6).alias("cosine"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The defective answers with their defect."""
+    rows = table(spark, sf_dir, "tst_results").select("row_id", *FIELDS)
+    return find_defects(rows, "row_id", "text", "styled_text", FIELDS)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -97,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_nearest": p4_nearest,
+        "p5_found": p5_found,
         "p6_ids": p6_ids,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
