@@ -160,7 +160,7 @@ def target_styles(domain: str, has_author_targets: bool | None = None) -> list[s
 def p_fem(genders) -> Column:
     """Share of Fem among Masc and Fem in an array; null when there is neither."""
     g = _c(genders)
-    fem, masc = (F.size(F.filter(g, lambda x, v=v: x == v)) for v in ("Fem", "Masc"))
+    fem, masc = F.size(F.filter(g, lambda x: x == "Fem")), F.size(F.filter(g, lambda x: x == "Masc"))
     return F.when(g.isNotNull(), F.try_divide(fem, fem + masc))
 
 

@@ -117,4 +117,4 @@ def running_shares(counts) -> Column:
     """Running sums of an array over its total, without the last."""
     c = _c(counts).cast("array<double>")
     sums = F.aggregate(c, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
-    return let(sums, lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda x: x / F.element_at(r, -1)))
+    return let(sums, lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda x: F.try_divide(x, F.element_at(r, -1))))

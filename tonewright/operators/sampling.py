@@ -65,7 +65,12 @@ def draw_targets(
         F.transform("_from", lambda k: F.struct((-F.log(uniform(seed, *parts, k["_key"])) / rate(k)).alias("t"), k["_key"].alias("key"), k["_n"].alias("n")))
     )
     # with replacement: one independent race per pick
-    again = F.array(*[F.array_min(F.transform("_from", lambda k, p=p: F.struct((-F.log(uniform(seed + 100 + p, *parts, k["_key"])) / rate(k)).alias("t"), k["_key"].alias("key"), k["_n"].alias("n")))) for p in range(n_picks)])
+    def winner(p: int):
+        return F.array_min(
+            F.transform("_from", lambda k: F.struct((-F.log(uniform(seed + 100 + p, *parts, k["_key"])) / rate(k)).alias("t"), k["_key"].alias("key"), k["_n"].alias("n")))
+        )
+
+    again = F.array(*[winner(p) for p in range(n_picks)])
     picks = F.when(F.size("_from") >= n_picks, F.slice(race, 1, n_picks)).when(F.size("_from") > 0, again)
     rows = rows.withColumn("_picks", picks).drop("_keys", "_others", "_from")
     flat = rows.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_p_{i}") for i, c in enumerate(parts)], "_picks")

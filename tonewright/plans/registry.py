@@ -160,7 +160,7 @@ _CLIP = "least(1.0, greatest(0.0, {}))"
     "composite_v2",
     f"""SELECT row_id, round(bi_cl, 6) AS bi_cl, round(meaning, 6) AS meaning_nolen, round(nat, 6) AS nat_v2,
                round(pow(style_score * sqrt(meaning) * sqrt(bi_cl) * (0.1 + 0.9 * g) * sqrt(0.1 + 0.9 * entity_score), 1.0 / 3.5) * nat, 6) AS score_v2
-        FROM (SELECT row_id, style_score, entity_score, CASE WHEN gender_score IS NULL OR isnan(gender_score) THEN 1.0 ELSE gender_score END AS g,
+        FROM (SELECT row_id, style_score, entity_score, CASE WHEN gender_score BETWEEN 0 AND 1 THEN gender_score ELSE 1.0 END AS g,
                      1 - {_CLIP.format("greatest(bi_score, cl_score)")} AS bi_cl,
                      sqrt({_CLIP.format("(bert_score - 0.45) / 0.55")} * {_CLIP.format("(labse_score - 0.2) / 0.8")}) AS meaning,
                      1.0 / (greatest(styled_text_perplexity - greatest(coalesce(ce, text_perplexity), text_perplexity) - 0.7, 0) + 1) AS nat
@@ -476,7 +476,8 @@ def alignment_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment scores from edges between equal words."""
     rows = table(spark, sf_dir, "tst_results").filter(_PAIR).select("row_id", "text", "styled_text")
     s, t = X.clean_words("text"), X.clean_words("styled_text")
-    edges = F.filter(F.transform(s, lambda w, i: F.struct(i.alias("i"), (F.array_position(t, w) - 1).cast("int").alias("j"))), lambda e: e["j"] >= 0)
+    edges = V.let(t, lambda ws: F.transform(s, lambda w, i: F.struct(i.alias("i"), (F.array_position(ws, w) - 1).cast("int").alias("j"))))
+    edges = F.filter(edges, lambda e: e["j"] >= 0)
     scored = G.alignment_scores(rows.withColumn("edges", edges))
     return rounded(scored.select("row_id", "bi_score", "cl_score", "has_bi", "has_cl"), "bi_score", "cl_score")
 
