@@ -266,14 +266,13 @@ def decode_corpus(encoded: DataFrame, id_col: str, ids: str, path: str | None =
     rows = encoded.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{ids}`").alias("_ids"))
     keyed = rows.groupBy("_id", "_ids").agg(F.count("*").alias("_times")).withColumn("_key", F.xxhash64("_id", "_ids"))
     parts = (
-        keyed.select("_id", "_key", F.posexplode("_ids").alias("_pos", "_token"))
+        keyed.select(F.col("_id").alias("_pid"), F.col("_key").alias("_pkey"), F.posexplode("_ids").alias("_pos", "_token"))
         .join(F.broadcast(table), "_token", "left")
-        .groupBy("_id", "_key")
+        .groupBy("_pid", "_pkey")
         .agg(F.array_sort(F.collect_list(F.struct("_pos", F.hex("_piece").alias("_hex")))).alias("_parts"))
     )
-    joined = keyed.join(parts, keyed["_id"].eqNullSafe(parts["_id"]) & (keyed["_key"] == parts["_key"]), "left").select(
-        keyed["_id"], "_ids", "_times", "_parts"
-    )
+    same = F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_key") == F.col("_pkey"))
+    joined = keyed.join(parts, same, "left").select("_id", "_ids", "_times", "_parts")
     whole = F.decode(F.unhex(F.concat_ws("", F.transform("_parts", lambda p: p["_hex"]))), "UTF-8")
     value = F.when(F.size("_ids") == 0, F.lit("")).when(~F.exists("_parts", lambda p: p["_hex"].isNull()), whole)
     return joined.select(
