@@ -19,7 +19,7 @@ from tonewright.operators import reshape as R
 from tonewright.operators import sampling as P
 from tonewright.operators import segment as C
 from tonewright.operators import select as A
-from tonewright.session import table
+from tonewright.session import spread, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -113,7 +113,7 @@ _STYLE_SQL = f"""
 
 def _geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["row_id", "example_number", "target_style", "version_number", "text_style_emb", "styled_text_style_emb"]
-    rows = table(spark, sf_dir, "tst_results").select(*columns).filter(usable("text_style_emb") & usable("styled_text_style_emb"))
+    rows = spread(table(spark, sf_dir, "tst_results").select(*columns)).filter(usable("text_style_emb") & usable("styled_text_style_emb"))
     known = A.with_centroids(rows, table(spark, sf_dir, "author_styles"), checked=False).filter("centroid is not null")
     # the three similarities once; away and towards are arithmetic on them
     sims = known.select(
@@ -160,7 +160,7 @@ _CLIP = "least(1.0, greatest(0.0, {}))"
     "composite_v2",
     f"""SELECT row_id, round(bi_cl, 6) AS bi_cl, round(meaning, 6) AS meaning_nolen, round(nat, 6) AS nat_v2,
                round(pow(style_score * sqrt(meaning) * sqrt(bi_cl) * (0.1 + 0.9 * g) * sqrt(0.1 + 0.9 * entity_score), 1.0 / 3.5) * nat, 6) AS score_v2
-        FROM (SELECT row_id, style_score, entity_score, CASE WHEN gender_score BETWEEN 0 AND 1 THEN gender_score ELSE 1.0 END AS g,
+        FROM (SELECT row_id, style_score, entity_score, CASE WHEN gender_activated THEN coalesce(gender_score, 1.0) ELSE 1.0 END AS g,
                      1 - {_CLIP.format("greatest(bi_score, cl_score)")} AS bi_cl,
                      sqrt({_CLIP.format("(bert_score - 0.45) / 0.55")} * {_CLIP.format("(labse_score - 0.2) / 0.8")}) AS meaning,
                      1.0 / (greatest(styled_text_perplexity - greatest(coalesce(ce, text_perplexity), text_perplexity) - 0.7, 0) + 1) AS nat
@@ -170,8 +170,8 @@ _CLIP = "least(1.0, greatest(0.0, {}))"
 def composite_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tonewright.plans.evaluate import version_two_scores
 
-    rows = table(spark, sf_dir, "tst_results").select("row_id", "target_style", "gender_score", *_COMPOSITE_COLUMNS)
-    rows = _nan_safe(rows, *_COMPOSITE_COLUMNS).withColumn("gender_score", F.coalesce(F.nanvl("gender_score", F.lit(1.0)), F.lit(1.0)))
+    rows = table(spark, sf_dir, "tst_results").select("row_id", "target_style", "gender_score", "gender_activated", *_COMPOSITE_COLUMNS)
+    rows = _nan_safe(rows, *_COMPOSITE_COLUMNS).withColumn("gender_score", F.coalesce(F.when(F.col("gender_activated"), F.col("gender_score")), F.lit(1.0)))
     names = ["bi_cl", "meaning_nolen", "nat_v2", "score_v2"]
     return rounded(version_two_scores(rows).select("row_id", *names), *names)
 
@@ -282,7 +282,7 @@ _WORDS_SQL = r"list_filter(string_split_regex({}, '[\s\x0b\x{{85}}\p{{Z}}]+'), l
 )
 def novel_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peak density and share of long runs of answer words that the text lacks."""
-    rows = table(spark, sf_dir, "tst_results").filter(_PAIR).select("row_id", X.words("text").alias("s"), X.words("styled_text").alias("t"))
+    rows = spread(table(spark, sf_dir, "tst_results").select("row_id", "text", "styled_text")).filter(_PAIR).select("row_id", X.words("text").alias("s"), X.words("styled_text").alias("t"))
     rows = rows.filter(F.size("t") > 0).select("row_id", F.size("t").alias("n"), F.transform("t", lambda w: (~F.array_contains("s", w)).cast("int")).alias("f"))
     return rounded(rows.select("row_id", "n", X.peak_density("f").alias("bi_rolling"), X.span_score("f").alias("bi_span")), "bi_rolling", "bi_span")
 
@@ -301,7 +301,7 @@ def novel_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM tst_results t LEFT JOIN means m ON t.text = m.text AND t.styled_text = m.styled_text WHERE t.text IS NOT NULL AND t.styled_text IS NOT NULL GROUP BY tst_model""",
 )
 def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "tst_results").filter(_PAIR).select("tst_model", chrf_score("styled_text", "text").alias("chrf"))
+    rows = spread(table(spark, sf_dir, "tst_results").select("tst_model", "text", "styled_text")).filter(_PAIR).select("tst_model", chrf_score("styled_text", "text").alias("chrf"))
     return rounded(rows.groupBy("tst_model").agg(F.avg("chrf").alias("chrf"), F.count("*").alias("n")), "chrf")
 
 
@@ -449,7 +449,7 @@ def decoded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drawn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two other domains drawn and mixed for every source with a usable vector."""
     columns = ["row_id", "domain", "text_style_emb"]
-    rows = table(spark, sf_dir, "tst_results").select(*columns).filter(usable("text_style_emb"))
+    rows = spread(table(spark, sf_dir, "tst_results").select(*columns)).filter(usable("text_style_emb"))
     pool = table(spark, sf_dir, "style_pool").filter(usable("text_style_emb"))
     out = P.draw_targets(rows, pool, "domain", "row_id", 2)
     return out.select("row_id", "domain", "target_keys", F.round(V.norm("target_style_emb"), 3).alias("norm"), F.round(V.sim_measure("text_style_emb", "target_style_emb"), 6).alias("similarity"))
@@ -474,7 +474,7 @@ def string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("alignment_by_words")
 def alignment_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment scores from edges between equal words."""
-    rows = table(spark, sf_dir, "tst_results").filter(_PAIR).select("row_id", "text", "styled_text")
+    rows = spread(table(spark, sf_dir, "tst_results").select("row_id", "text", "styled_text")).filter(_PAIR)
     s, t = X.clean_words("text"), X.clean_words("styled_text")
     edges = V.let(t, lambda ws: F.transform(s, lambda w, i: F.struct(i.alias("i"), (F.array_position(ws, w) - 1).cast("int").alias("j"))))
     edges = F.filter(edges, lambda e: e["j"] >= 0)

@@ -55,3 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than half the cores, over all cores; any other scan as it is.
+
+    For scans only, as the partitions of a shuffle are not known before it runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df._jdf.queryExecution().toRdd().getNumPartitions() * 2 < cores
+    return df.repartition(cores) if few else df
