@@ -15,33 +15,41 @@ from tonewright.llm.splitting import split_oversized
 from tonewright.llm.tokens import encode_corpus
 from tonewright.llm.topn import top_n_per_group
 from tonewright.llm.truncation import find_truncated, truncation_rates
-from tonewright.session import cut, table
+from tonewright.session import cut, spread, table
 
 
 #: The text fields of the results and the source of each.
 FIELDS = {"text": "domain", "styled_text": "tst_model"}
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "test_df").select("example_number", "author", "text"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cut values of both text fields."""
-    rows = table(spark, sf_dir, "tst_results").select("row_id", *FIELDS)
+    rows = spread(table(spark, sf_dir, "tst_results").select("row_id", *FIELDS))
     return find_truncated(rows, "row_id", FIELDS)
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each domain truncates ``text`` and each model ``styled_text``."""
-    rows = table(spark, sf_dir, "tst_results").select("row_id", *FIELDS, *FIELDS.values())
+    rows = spread(table(spark, sf_dir, "tst_results").select("row_id", *FIELDS, *FIELDS.values()))
     return truncation_rates(rows, "row_id", FIELDS)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different author values that must land in the same split."""
-    return related_authors(table(spark, sf_dir, "test_df"), "example_number", "author", "text")
+    return related_authors(_sources(spark, sf_dir), "example_number", "author", "text")
 
 
 def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The split of every source row."""
-    return assign_splits(table(spark, sf_dir, "test_df"), "example_number", "author", "text")
+    return assign_splits(_sources(spark, sf_dir), "example_number", "author", "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +61,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["row_id", "example_number", "text_style_emb", "styled_text_style_emb"]
-    return cut(joint_collection(table(spark, sf_dir, "tst_results").select(*columns)))
+    return cut(joint_collection(spread(table(spark, sf_dir, "tst_results").select(*columns))))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,28 +79,28 @@ def p4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The defective answers with their defect."""
-    rows = table(spark, sf_dir, "tst_results").select("row_id", *FIELDS)
+    rows = spread(table(spark, sf_dir, "tst_results").select("row_id", *FIELDS))
     return find_defects(rows, "row_id", "text", "styled_text", FIELDS)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document."""
-    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return encode_corpus(_documents(spark, sf_dir), "doc_id", "text")
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix with their copies."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[0]
+    return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached shares of each source of each mix."""
-    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[1]
+    return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[1]
 
 
 def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document beyond the limit of each setting."""
-    return split_oversized(table(spark, sf_dir, "documents"), table(spark, sf_dir, "split_limits"), "doc_id", "text")
+    return split_oversized(_documents(spark, sf_dir), table(spark, sf_dir, "split_limits"), "doc_id", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
