@@ -336,7 +336,7 @@ def similar_pairs(
 
 
 def nearest(
-    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 4, visits: int = 256, leaf: int = 256, seed: int = 11
+    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 4, visits: int = 160, leaf: int = 2048, seed: int = 11
 ) -> DataFrame:
     """(id, neighbour, cosine, place): the ``k`` vectors of the highest cosine for each row whose ``asks`` is true.
 
