@@ -135,6 +135,40 @@ def test_related_rows_brute_force(spark, hot, monkeypatch):
         assert (find(i) == find(j)) == (got[i] == got[j]), (i, j)
 
 
+def _templates(case):
+    """Texts of one template that differ in few words, the smallest id first."""
+    run = [f"t{i}" for i in range(18)]
+    if case == "both ends":  # the first has a rest near to that of all others, and is near to none
+        return [[*run, "x", "y", "z0"]] + [[f"p{i}", *run, "z0", f"q{i}"] for i in range(12)]
+    if case == "longer run":
+        return [[*run, *run[:3], "x", "y"]] + [[f"p{i}", *run, *run[:3], f"q{i}"] for i in range(12)]
+
+
+def _joined(spark, texts):
+    """Components of ``texts`` by the operator and by brute force, as sets of sets of positions; single ones too."""
+    ids = sorted({tuple(t): i for i, t in reversed(list(enumerate(texts)))}.items(), key=lambda x: x[1])
+    df = spark.createDataFrame([(i, list(t)) for t, i in ids], "id long, words array<string>")
+    links = [(r["a"], r["b"]) for r in SP.near_passages(df).collect()]
+    near = [(i, j) for (t, i), (u, j) in itertools.combinations(ids, 2) if SP.within(list(t), list(u))]
+    both = []
+    for edges in (links, near):
+        group = {i: {i} for _, i in ids}
+        for a, b in edges:
+            if group[a] is not group[b]:
+                group[a] |= group[b]
+                for x in group[b]:
+                    group[x] = group[a]
+        both.append({frozenset(g) for g in group.values()})
+    return both
+
+
+@pytest.mark.parametrize("case, hot", [("both ends", 4), ("longer run", 1)])
+def test_hot_templates_with_slots(spark, case, hot, monkeypatch):
+    monkeypatch.setattr(SP, "HOT", hot)
+    got, want = _joined(spark, _templates(case))
+    assert got == want
+
+
 def test_splits_keep_groups_and_shares(spark):
     rows = [(i, f"author{i % 60}" if i % 3 else "Hot", f"text {i}") for i in range(600)]
     df = spark.createDataFrame(rows, "id long, author string, text string")
