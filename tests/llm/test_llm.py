@@ -142,6 +142,10 @@ def _templates(case):
         return [[*run, "x", "y", "z0"]] + [[f"p{i}", *run, "z0", f"q{i}"] for i in range(12)]
     if case == "longer run":
         return [[*run, *run[:3], "x", "y"]] + [[f"p{i}", *run, *run[:3], f"q{i}"] for i in range(12)]
+    if case == "one or two":
+        return [[*run, "e", f"a{i}"] for i in range(12)] + [[*run, "e", f"b{i}", f"c{i}"] for i in range(12)]
+    if case == "two or four":  # the four of each hold the two, apart from one another
+        return [[*run, "e", f"a{i}", f"b{i}"] for i in range(6)] + [[*run, "e", f"a{i}", f"c{i}", f"b{i}", f"d{i}"] for i in range(6)]
 
 
 def _joined(spark, texts):
@@ -162,7 +166,7 @@ def _joined(spark, texts):
     return both
 
 
-@pytest.mark.parametrize("case, hot", [("both ends", 4), ("longer run", 1)])
+@pytest.mark.parametrize("case, hot", [("both ends", 4), ("longer run", 1), ("one or two", 4), ("two or four", 2)])
 def test_hot_templates_with_slots(spark, case, hot, monkeypatch):
     monkeypatch.setattr(SP, "HOT", hot)
     got, want = _joined(spark, _templates(case))
