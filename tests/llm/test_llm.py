@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tonewright.llm import defects as DF
 from tonewright.llm import neighbours as N
 from tonewright.llm import splits as SP
+from tonewright.llm import truncation as TR
 from tonewright.llm.folding import author_key
 from tonewright.llm.mixing import allocate, mix_sources
 from tonewright.llm.splitting import split_oversized
@@ -245,6 +246,28 @@ def test_truncation(spark):
     assert find_truncated(df.limit(0), "row_id", {"text": "source"}).collect() == []
 
 
+def test_signatures_are_counted_over_all_values(spark):
+    """Four values in 60,000 show that an open end stands inside sentences only."""
+    rows = [(i, f"Кот номер {i} спит.") for i in range(60_000)]
+    rows += [(70_000 + i, f"Зелёный кувшин упал у {x} с полки. Дом стоит.") for i, x in enumerate(["Анны", "Ольги", "Олега", "Ивана"])]
+    rows += [(80_000, "Вот дом. Зелёный кувшин упал"), (80_001, "Вот дом. Кот спит")]
+    df = spark.createDataFrame(rows, "row_id long, text string").withColumn("source", F.lit("s")).repartition(4)
+    assert [r["row_id"] for r in find_truncated(df, "row_id", {"text": "source"}).collect()] == [80_000]
+
+
+def test_counts_equal_single_signatures():
+    rng = random.Random(8)
+    texts = [[rng.choice(["и", "кот", "спит", "зелёный", "полка", "7"]) for _ in range(rng.randrange(1, 20))] for _ in range(50)]
+    counts, classes = TR._Counts(np.full(1 << TR.MAP_BITS - 6, ~np.uint64(0))), TR._Classes()
+    ends, inside = Counter(), Counter()
+    for words in texts:
+        counts.add(words)
+        for i in range(len(words)):
+            (ends if i == len(words) - 1 else inside).update(TR.signatures(words, i, classes))
+    key, e, i = counts.take()
+    assert {k % (1 << 64): (a, b) for k, a, b in zip(key.tolist(), e.tolist(), i.tolist())} == {k: (ends[k], inside[k]) for k in ends.keys() | inside.keys()}
+
+
 def test_pair_checks():
     lexicon = DF.Lexicon()
     text = lexicon(DF.words_of_text("Один два три четыре пять шесть семь восемь девять десять"))

@@ -6,11 +6,11 @@ copy tells whether the value stops inside a word or sentence. Most cut values ha
 question is put to smaller units:
 
 * words: a last word never seen whole elsewhere that is a strict prefix of longer words of the corpus,
-* sentences: the last words of a value as a prefix signature; sentences of a sample tell how often a signature
+* sentences: the last words of a value as a prefix signature; the sentences of all values tell how often a signature
   ends a sentence and how often it only stands inside one.
 
-Words and prefixes are counted over all values. Only the signature counts, a classifier of one feature at a
-time, are fitted on a sample of at most ``SAMPLE`` values.
+Words, prefixes and signatures are counted over all distinct values. Of the signatures only those that some open value
+may ask for are counted: a bitmap of fixed size, made beforehand, drops most others, and a join finds the counts.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from tonewright.llm.folding import LOOK_ALIKES, fold
 from tonewright.session import cut
 
-#: Most values that signatures are counted on, and least count of a signature in use.
-SAMPLE, LEAST_SEEN = 40_000, 4
+#: Bits of the map of signatures that are asked for (as a power of two), and least count of a signature in use.
+MAP_BITS, LEAST_SEEN = 27, 4
 #: Most words of a closing formula, longest prefix of a word that is looked up, and how many times more frequent
 #: than the whole word its longer words are when it is broken.
 FORMULA, LONGEST, RARER = 3, 24, 100
@@ -135,44 +135,93 @@ def continuation(core: str, neighbour: str | None) -> str:
     return "whole"
 
 
-def fit_signatures(values: DataFrame) -> DataFrame:
-    """(key, ends, inside): how often each signature ends a sentence of ``values`` and stands inside one."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Counts:
+    """Counts of the signatures of whole sentences, all sentences of a batch at a time; only those in ``bitmap``."""
+
+    def __init__(self, bitmap: np.ndarray):
+        self.bitmap, self.classes = bitmap, _Classes()
+        self.index: dict[str, int] = {}
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.ids: list[int] = []
+        self.sizes: list[int] = []
+
+    def add(self, words: list[str]) -> None:
+        index = self.index
+        for w in words:
+            i = index.get(w)
+            if i is None:
+                i = index[w] = len(index)
+                self.rows.append(self.classes.of(w))
+            self.ids.append(i)
+        self.sizes.append(len(words))
+
+    def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, ends, inside) of the sentences since the last call: those of ``signatures`` at each of their words."""
+        sizes = np.array(self.sizes, dtype=np.int64)
+        near, far, near_c, far_c = np.array(self.rows, dtype=np.uint64).reshape(-1, 4)[np.array(self.ids, dtype=np.int64)].T.copy()
+        at = np.arange(len(near)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        end = at == np.repeat(sizes, sizes) - 1
+        fine, coarse = np.zeros(len(at), dtype=np.uint64), np.ones(len(at), dtype=np.uint64)
+        keys, ends = [], []
+
+        def put(key, last):
+            met = in_map(self.bitmap, key)
+            keys.append(key[met])
+            ends.append(last[met])
+
+        for k in range(LENGTHS[-1]):
+            first, rest = at == k - 1, at >= k
+            if first.any():
+                put((fine if k < FINE else coarse)[first] + np.uint64(_START * _FACTORS[k] & _MASK), end[first])
+            if not rest.any():
+                break
+            # what is added across the beginning of a sentence stands in words that are done
+            factor, n = np.uint64(_FACTORS[k]), len(at) - k
+            fine[k:] += (near if k < 2 else far)[:n] * factor
+            coarse[k:] += (near_c if k < 2 else far_c)[:n] * factor
+            if k + 1 in LENGTHS:
+                put((fine if k < FINE else coarse)[rest], end[rest])
+        self.ids, self.sizes = [], []
+        if len(self.index) > 200_000:
+            self.index, self.rows = {}, []
+        if not keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        last = np.bincount(place, weights=np.concatenate(ends), minlength=len(key)).astype(np.int64)
+        return key.view(np.int64), last, np.bincount(place, minlength=len(key)) - last
+
+
+def in_map(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slots = keys & np.uint64((1 << MAP_BITS) - 1)
+    return (bitmap[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def asked_signatures(values: DataFrame) -> np.ndarray:
+    """The bitmap of the signatures at the end of the ``values`` that are open, by their last bits."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = _Classes()
         for batch in batches:
-            ends: Counter = Counter()
-            inside: Counter = Counter()
+            keys: set[int] = set()
             for value in batch.column(0).to_pylist():
-                units = [u for u in _UNIT.split(core_of(value)[0]) if u and u.strip()]
-                for unit in units[:-1]:
-                    words = _words(unit)
-                    for i in range(len(words)):
-                        (ends if i == len(words) - 1 else inside).update(signatures(words, i, classes))
-            keys = list(ends.keys() | inside.keys())
-            signed = [k - (1 << 64) if k >> 63 else k for k in keys]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed, pa.int64()), pa.array([ends[k] for k in keys], pa.int64()), pa.array([inside[k] for k in keys], pa.int64())],
-                names=["key", "ends", "inside"],
-            )
-
-    counts = values.mapInArrow(count, "key long, ends long, inside long").groupBy("key").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside"))
-    return counts.filter(F.col("ends") + F.col("inside") >= LEAST_SEEN)
-
+                core, mark = core_of(value)
+                if mark == "strong" or _CLOSED.search(core[-2:]):
+                    continue
+                units = [u for u in _UNIT.split(core) if u and not u.isspace()]
+                if units and (words := _words(units[-1])):
+                    keys.update(signatures(words, len(words) - 1, classes))
+            slots = np.unique(np.array(list(keys), dtype=np.uint64) & np.uint64((1 << MAP_BITS) - 1))
+            bits = np.left_shift(np.uint64(1), slots & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array((slots >> np.uint64(6)).astype(np.int32)), pa.array(bits.view(np.int64))], names=["at", "bits"])
 
-def share_of_ends(keys: list[int], model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float | None:
-    """Share of a value's longest known signature that ends a sentence; None when none is known."""
-    known, ends, inside = model
-    for key in reversed(keys):
-        signed = key - (1 << 64) if key >> 63 else key
-        i = int(np.searchsorted(known, signed))
-        if i < len(known) and known[i] == signed:
-            return (ends[i] + 0.3) / (ends[i] + inside[i] + 0.6)
-    return None
+    found = values.mapInArrow(ask, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bitmap = np.zeros(1 << MAP_BITS - 6, dtype=np.uint64)
+    bitmap[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bitmap
 
 
-def _describe(core: str, mark: str, units: list[str], words: list[str], before: str | None, after: str | None, model, classes: _Classes) -> tuple[str, bool]:
-    """Verdict ('cut', 'whole', 'cut?' and 'whole?' by signature, '' for the words alone to decide) and whether the core
+def _describe(core: str, mark: str, units: list[str], words: list[str], before: str | None, after: str | None) -> tuple[str, bool]:
+    """Verdict ('cut', 'whole', '?' for the signature to decide, '' for the words alone to decide) and whether the core
     is closed. ``units`` are the sentences of the core, ``words`` the words of the last."""
     closed = bool(_CLOSED.search(core[-2:]))
     if not words:
@@ -190,31 +239,38 @@ def _describe(core: str, mark: str, units: list[str], words: list[str], before:
     unit = units[-1]
     if unit.count("«") > unit.count("»") or unit.count("“") > unit.count("”"):
         return "cut", closed
-    share = share_of_ends(signatures(words, len(words) - 1, classes), model)
-    if share is None:
-        return ("whole?" if core[-1:].isalnum() else "whole"), closed
-    return ("cut?" if share < (WEAK_SHARE if mark else OPEN_SHARE) else "whole?"), closed
+    return "?", closed
 
 
 def _hashes(column):
     return F.xxhash64(column), F.xxhash64(F.lit(29), column)
 
 
+def _by_signature(seen: DataFrame) -> DataFrame:
+    """(h1, h2, verdict, word): the values of ``seen``, open ones decided by the longest of their signatures that is known."""
+    judged = seen.filter("kind = 'value'").select("h1", "h2", "verdict", "word", "keys")
+    counts = seen.filter("kind = 'signature'").groupBy(F.col("h1").alias("key")).agg(F.sum("n").alias("ends"), F.sum("h2").alias("inside"))
+    counts = counts.filter(F.col("ends") + F.col("inside") >= LEAST_SEEN)
+    share = (F.col("ends") + 0.3) / (F.col("ends") + F.col("inside") + 0.6)
+    asked = judged.filter("keys is not null").select("h1", "h2", F.posexplode("keys").alias("at", "key"))
+    shares = asked.join(counts.select("key", share.alias("share")), "key").groupBy("h1", "h2").agg(F.max_by("share", "at").alias("share"))
+    least = F.when(F.contains("verdict", F.lit("weak")), WEAK_SHARE).otherwise(OPEN_SHARE)
+    unknown = F.when(F.endswith("verdict", F.lit("other")), "whole").otherwise("whole?")
+    guess = F.when(F.col("share").isNull(), unknown).when(F.col("share") < least, "cut?").otherwise("whole?")
+    met = judged.join(shares, ["h1", "h2"], "left")
+    return cut(met.select("h1", "h2", F.when(F.col("keys").isNull(), F.col("verdict")).otherwise(guess).alias("verdict"), "word"))
+
+
 def cut_values(values: DataFrame) -> DataFrame:
     """(h1, h2): hashes of the distinct ``values`` (one column, value string) that were cut."""
     spark = values.sparkSession
-    total = values.count()
-    thin = max(1, total // SAMPLE)
-    sample = values.filter(F.pmod(F.xxhash64(F.lit(5), F.col("value")), F.lit(thin)) == 0).distinct().limit(SAMPLE)
-    fitted = fit_signatures(sample.repartition(spark.sparkContext.defaultParallelism)).toArrow()
-    order = np.argsort(fitted.column("key").to_numpy())
-    model = spark.sparkContext.broadcast(tuple(fitted.column(c).to_numpy()[order] for c in ("key", "ends", "inside")))
+    bitmap = spark.sparkContext.broadcast(asked_signatures(values))
 
     def sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, fit = _Classes(), model.value
+        classes, counts = _Classes(), _Counts(bitmap.value)
         words: Counter = Counter()
         openings: Counter = Counter()
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         before: str | None = None
         held: tuple | None = None
 
@@ -222,22 +278,28 @@ def cut_values(values: DataFrame) -> DataFrame:
             kinds = out[0]
             batch = pa.RecordBatch.from_arrays(
                 [pa.array(kinds, pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.string()),
-                 pa.array(out[4], pa.string()), pa.array(out[5], pa.int64())],
-                names=["kind", "h1", "h2", "verdict", "word", "n"],
+                 pa.array(out[4], pa.string()), pa.array(out[5], pa.int64()), pa.array(out[6], pa.list_(pa.int64()))],
+                names=["kind", "h1", "h2", "verdict", "word", "n", "keys"],
             )
             for column in out:
                 column.clear()
             return batch
 
-        def put(*row):
-            for column, value in zip(out, row):
+        def put(*row, keys=None):
+            for column, value in zip(out, (*row, keys)):
                 column.append(value)
 
+        def count():
+            key, ends, inside = counts.take()
+            none = [None] * len(key)
+            for column, value in zip(out, (["signature"] * len(key), key.tolist(), inside.tolist(), none, none, ends.tolist(), none)):
+                column.extend(value)
+
         def tell():
-            for kind, counts in (("word", words), ("opening", openings)):
-                for w, n in counts.items():
+            for kind, seen in (("word", words), ("opening", openings)):
+                for w, n in seen.items():
                     put(kind, None, None, None, w, n)
-                counts.clear()
+                seen.clear()
 
         def judge(held, after):
             value, h1, h2 = held
@@ -245,10 +307,16 @@ def cut_values(values: DataFrame) -> DataFrame:
             sentences = [u for u in _UNIT.split(core) if u and not u.isspace()]
             units = [_words(u) for u in sentences]
             last = units[-1] if units else []
-            verdict, closed = _describe(core, mark, sentences, last, before, after, fit, classes)
-            put("value", h1, h2, verdict, last[-1] if last else "", int(closed))
+            verdict, closed = _describe(core, mark, sentences, last, before, after)
+            keys = None
+            if verdict == "?":
+                keys = [k - (1 << 64) if k >> 63 else k for k in signatures(last, len(last) - 1, classes)]
+                verdict = "?" + (" weak" if mark else "") + ("" if core[-1:].isalnum() else " other")
+            put("value", h1, h2, verdict, last[-1] if last else "", int(closed), keys=keys)
             for unit in units[:-1]:
                 words.update(unit)
+                if unit:
+                    counts.add(unit)
             words.update(last[:-1])
             for unit in units:
                 for k in range(1, min(FORMULA, len(unit) - 1) + 1):
@@ -268,16 +336,19 @@ def cut_values(values: DataFrame) -> DataFrame:
                 held = (value, h1, h2)
             if len(words) + len(openings) > 200_000:
                 tell()
+            if len(counts.ids) > 200_000:
+                count()
             yield flush()
         if held is not None:
             judge(held, None)
             put("edge", held[1], held[2], "last", held[0], 0)
         tell()
+        count()
         yield flush()
 
     h1, h2 = _hashes(F.col("value"))
     ranged = values.select("value", h1.alias("h1"), h2.alias("h2")).repartitionByRange("value").sortWithinPartitions("value")
-    seen = cut(ranged.mapInArrow(sorted_pass, "kind string, h1 long, h2 long, verdict string, word string, n long"))
+    seen = cut(ranged.mapInArrow(sorted_pass, "kind string, h1 long, h2 long, verdict string, word string, n long, keys array<long>"))
 
     # the last value of a partition and the first of the next are neighbours too: two values a partition
     edges = seen.filter("kind = 'edge'").select("word", "verdict", "h1", "h2").collect()
@@ -291,7 +362,7 @@ def cut_values(values: DataFrame) -> DataFrame:
                     extra.append((own["h1"], own["h2"]))
     more = spark.createDataFrame(extra, "h1 long, h2 long")
 
-    judged = seen.filter("kind = 'value'").select("h1", "h2", "verdict", "word")
+    judged = _by_signature(seen)
     vocabulary = seen.filter("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
     asked = judged.filter("verdict in ('', 'whole?', 'cut?')")
     # a last word is broken when it is a strict prefix of words that are far more frequent than it is whole
