@@ -255,6 +255,23 @@ def test_signatures_are_counted_over_all_values(spark):
     assert [r["row_id"] for r in find_truncated(df, "row_id", {"text": "source"}).collect()] == [80_000]
 
 
+@pytest.mark.parametrize("parts", ["1", "8"])
+def test_marks_do_not_hide_the_longer_copy(spark, parts):
+    """Values cut at the same place with several marks stand between each other and their longer copy."""
+    tails = ["..", "...", "…", "<…>", " [...]", "", " вечером. Дом стоит."]
+    rows = [(k, f"Слон любит купаться{tail}") for k, tail in enumerate(tails)]
+    df = spark.createDataFrame(rows, "row_id long, text string").withColumn("source", F.lit("s"))
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for key, value in (("spark.sql.shuffle.partitions", parts), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(key, value)
+        got = sorted(r["row_id"] for r in find_truncated(df, "row_id", {"text": "source"}).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == list(range(6))
+
+
 def test_counts_equal_single_signatures():
     rng = random.Random(8)
     texts = [[rng.choice(["и", "кот", "спит", "зелёный", "полка", "7"]) for _ in range(rng.randrange(1, 20))] for _ in range(50)]

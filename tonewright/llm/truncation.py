@@ -1,7 +1,8 @@
 """Texts cut off by field limits: values that end inside a word or a sentence, and the rate of each source.
 
 The distinct values of all fields are range-partitioned and sorted, so that every value that is a strict prefix
-of a longer copy stands beside one (a self-join by prefix without a join). What follows the prefix in the longer
+of a longer copy stands beside one (a self-join by prefix without a join). Values that differ only in the mark
+behind the same break pass as one, so that each is compared with the next different one. What follows the prefix in the longer
 copy tells whether the value stops inside a word or sentence. Most cut values have no longer copy, so the same
 question is put to smaller units:
 
@@ -272,7 +273,9 @@ def cut_values(values: DataFrame) -> DataFrame:
         openings: Counter = Counter()
         out: list[list] = [[], [], [], [], [], [], []]
         before: str | None = None
-        held: tuple | None = None
+        group: list[tuple] = []  # the last values, of one core
+        held: str | None = None
+        groups = 0
 
         def flush():
             kinds = out[0]
@@ -301,9 +304,7 @@ def cut_values(values: DataFrame) -> DataFrame:
                     put(kind, None, None, None, w, n)
                 seen.clear()
 
-        def judge(held, after):
-            value, h1, h2 = held
-            core, mark = core_of(value)
+        def judge(value, h1, h2, core, mark, after):
             sentences = [u for u in _UNIT.split(core) if u and not u.isspace()]
             units = [_words(u) for u in sentences]
             last = units[-1] if units else []
@@ -324,24 +325,39 @@ def cut_values(values: DataFrame) -> DataFrame:
             if last and not closed and len(last) <= FORMULA:
                 put("formula", h1, h2, verdict, " ".join(last), 1)
 
+        def edge(which):
+            for value, h1, h2, _, _ in group:
+                put("edge", h1, h2, which, value, 0)
+
+        def pass_group(after):
+            nonlocal before, groups
+            for row in group:
+                judge(*row, after)
+            if groups < 2:  # the second shows what follows the first
+                edge("first")
+            groups += 1
+            before = group[-1][0]
+            group.clear()
+
         for batch in batches:
             for value, h1, h2 in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if held is not None and held[0] == value:
+                if held == value:
                     continue
-                if held is not None:
-                    judge(held, value)
-                    before = held[0]
-                else:
-                    put("edge", h1, h2, "first", value, 0)
-                held = (value, h1, h2)
+                core, mark = core_of(value)
+                if group and group[-1][3] != core:
+                    pass_group(value)
+                group.append((value, h1, h2, core, mark))
+                held = value
             if len(words) + len(openings) > 200_000:
                 tell()
             if len(counts.ids) > 200_000:
                 count()
             yield flush()
-        if held is not None:
-            judge(held, None)
-            put("edge", held[1], held[2], "last", held[0], 0)
+        if group:
+            if before is not None:
+                put("edge", None, None, "last", before, 0)
+            edge("last")
+            pass_group(None)
         tell()
         count()
         yield flush()
@@ -350,16 +366,17 @@ def cut_values(values: DataFrame) -> DataFrame:
     ranged = values.select("value", h1.alias("h1"), h2.alias("h2")).repartitionByRange("value").sortWithinPartitions("value")
     seen = cut(ranged.mapInArrow(sorted_pass, "kind string, h1 long, h2 long, verdict string, word string, n long, keys array<long>"))
 
-    # the last value of a partition and the first of the next are neighbours too: two values a partition
-    edges = seen.filter("kind = 'edge'").select("word", "verdict", "h1", "h2").collect()
-    edges.sort(key=lambda r: (r["word"].encode(), r["verdict"] == "first"))
+    # values of the first two and the last two cores of a partition are neighbours of those of the next
+    edges = seen.filter("kind = 'edge'").select("word", "h1", "h2").collect()
+    near = sorted({r["word"] for r in edges}, key=str.encode)
+    cores = [core_of(v)[0] for v in near]
+    own = {r["word"]: (r["h1"], r["h2"]) for r in edges if r["h1"] is not None}
     extra = []
-    for x, y in zip(edges, edges[1:]):
-        if x["word"] != y["word"]:
-            for own, other in ((x, y), (y, x)):
-                core = core_of(own["word"])[0]
-                if continuation(core, other["word"]) == "cut" and not _CLOSED.search(core):
-                    extra.append((own["h1"], own["h2"]))
+    for i, (value, core) in enumerate(zip(near, cores)):
+        if value in own and not _CLOSED.search(core):
+            others = [next((near[j] for j in side if cores[j] != core), None) for side in (range(i + 1, len(near)), range(i - 1, -1, -1))]
+            if any(continuation(core, other) == "cut" for other in others):
+                extra.append(own[value])
     more = spark.createDataFrame(extra, "h1 long, h2 long")
 
     judged = _by_signature(seen)
