@@ -53,6 +53,28 @@ def test_encoding_equals_the_tokenizer(spark, head):
         assert back == Counter([(i, t or "") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0])])
 
 
+def test_heads_of_many_corpora_are_kept_apart(spark):
+    """One worker meets the heads of many short-lived corpora, of which none may answer for another."""
+    import gc
+
+    import pyarrow as pa
+
+    from tonewright.llm.tokens import head_arrays, look_up
+
+    for k in range(100):
+        head = pa.table({"word": [f"w{k}", "x"], "ids": pa.array([[k], [k, k + 1]], pa.list_(pa.int32()))})
+        words, starts, sizes, flat = head_arrays(head)
+        assert words.to_pylist() == [f"w{k}", "x"] and flat.tolist() == [k, k, k + 1] and sizes.tolist() == [1, 2] and starts.tolist() == [0, 1]
+        at, n, flat = look_up(pa.array([["x"]]), pa.nulls(1, pa.list_(pa.struct([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))), head)
+        assert flat[at[0] : at[0] + n[0]].tolist() == [k, k + 1]
+        del head
+        gc.collect()
+    enc = encoder(tokenizer_path())
+    for k in range(12):
+        df = spark.createDataFrame([(i, f"слово{k} дом{i} {k}") for i in range(5)], "id long, text string").coalesce(1)
+        assert all(list(r["ids"]) == enc.encode_ordinary(f"слово{k} дом{r['id']} {k}") for r in encode_corpus(df, "id", "text").collect())
+
+
 def test_pieces(spark):
     rng = random.Random(2)
     words = ["кот", "пёс", "дом", "сад", "и", "свет"]

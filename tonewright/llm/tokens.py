@@ -123,18 +123,19 @@ def _array(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
 
 
-_HEADS: dict[int, tuple] = {}
+_HELD: list[tuple] = []
 
 
 def head_arrays(head) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, starts, lengths and flat ids of a broadcast head, laid out once per worker."""
-    key = id(head)
-    if key not in _HEADS:
-        _HEADS.clear()
+    """Words, starts, lengths and flat ids of a broadcast head, laid out once for as long as a worker uses the same one.
+
+    The head itself is kept beside its arrays, so that no later head can stand at its address.
+    """
+    if not _HELD or _HELD[0][0] is not head:
         words, ids = _array(head, "word"), _array(head, "ids")
         offsets = ids.offsets.to_numpy()
-        _HEADS[key] = (words, offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64), ids.values.to_numpy())
-    return _HEADS[key]
+        _HELD[:] = [(head, words, offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64), ids.values.to_numpy())]
+    return _HELD[0][1:]
 
 
 def with_rare(df: DataFrame, text: str, table: WordTable, rare: str) -> DataFrame:
