@@ -97,6 +97,34 @@ def test_pieces(spark):
         split_oversized(df, spark.createDataFrame([("a", 0, 1)], limits.schema), "id", "text")
 
 
+def test_pieces_keep_every_limit(spark):
+    rng = random.Random(12)
+    texts = ["преобразование" * 30, "😀👩\u200d🚀" * 40, "漢字かな" * 60, "x" * 300, "don't 'til 's's's " * 20, " ёлки-палки, " * 30, "а б в г д " * 30, "\n\n \t" * 50 + "конец" + " " * 90]
+    texts += ["".join(rng.choice(["слово", " ", ". ", "\n", "’", "😀", "1234567", "—", "Ы"]) for _ in range(rng.randrange(80, 300))) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    settings = [(f"{m}/{o}", m, o) for m in (4, 5, 7, 8, 13, 20, 32, 64) for o in (0, m // 4)]
+    enc = encoder(tokenizer_path())
+    rows = split_oversized(df, spark.createDataFrame(settings, "setting string, max_tokens int, overlap_tokens int"), "id", "text").collect()
+    most = {s: m for s, m, _ in settings}
+    groups = {}
+    for r in sorted(rows, key=lambda r: r["piece_no"]):
+        groups.setdefault((r["setting"], r["id"]), []).append(r)
+    for (setting, i), pieces in groups.items():
+        at = 0
+        for k, r in enumerate(pieces):
+            assert r["piece"] == texts[i][r["start"] : r["end"]] == r["piece"].strip() and r["piece_no"] == k + 1 and r["n_pieces"] == len(pieces)
+            assert r["n_tokens"] == len(enc.encode_ordinary(r["piece"])) <= most[setting]
+            assert r["end"] > at and (r["start"] <= at or not texts[i][at : r["start"]].strip())
+            at = r["end"]
+        assert not texts[i][at:].strip()
+    assert set(groups) == {(s, i) for s, m, _ in settings for i, t in enumerate(texts) if len(enc.encode_ordinary(t)) > m}
+    one = spark.createDataFrame([("one", 1, 0)], "setting string, max_tokens int, overlap_tokens int")
+    plain = spark.createDataFrame([(0, "aa bb")], "id long, text string")
+    assert all(r["n_tokens"] == 1 for r in split_oversized(plain, one, "id", "text").collect())
+    with pytest.raises(Exception, match="more than 1 tokens"):
+        split_oversized(df.filter("id = 2"), one, "id", "text").collect()
+
+
 def test_mix(spark):
     rng = random.Random(3)
     rows = [(i, "слово " * rng.randrange(5, 60), "big" if i % 4 else "small") for i in range(400)] + [(900, None, "big"), (901, "", "big"), (902, "ничей", None)]

@@ -1,15 +1,21 @@
 """Splitting oversized texts at natural boundaries, into pieces of balanced length.
 
 For each text the least number of pieces is computed, equal-length targets are placed, each is snapped to the
-strongest boundary near it, and pieces are added when any limit fails. Token counts come from the word table,
-so a text is counted once for all settings and a piece is a difference of running sums; only its first word,
-which loses its leading space, is counted again.
+strongest boundary near it, and pieces are added when any limit fails: the text starts again with as many more as the
+rest was found to need. After ``TRIES`` such starts a text keeps what it has, and the targets of the rest are placed
+anew from there, which always ends.
+
+Token counts come from the word table, so a text is counted once for all settings and a piece is a difference of running
+sums; only its first word, which loses its leading space, is counted again. All texts of a batch are cut side by side: one
+step places the next piece of each, by binary searches over the boundaries of all texts.
+
+A word beyond the limit is cut where its own tokens end, if a character ends there too. Pieces of such texts are
+encoded again; a text with a piece above the limit is cut once more under a lower one.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +28,12 @@ from tonewright.llm.tokens import HEAD_WORDS, build_words, encoder, look_up, tok
 
 #: Strength of the boundary before a word, from none to an empty line.
 INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-#: A word of more tokens than any limit allows is cut into runs of so many characters first.
-RUN_CHARS = 16
 #: Most rows of the table of settings, which is read by the driver.
 MOST_SETTINGS = 1000
-#: Tokens that trimming the white space of a piece may save.
-SPARE = 4
+#: Starts of a text with more pieces before the rest is placed anew from where it stands.
+TRIES = 6
+#: Words whose texts are cut side by side (a longer text stands alone).
+TOGETHER = 400_000
 
 
 def _kinds(words: pa.Array) -> dict[str, np.ndarray]:
@@ -52,14 +58,15 @@ def _kinds(words: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def strengths(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a flat array of words: the strength of the boundary before each, its characters, and white space.
+def strengths(forms: pa.Array, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """For words given by their distinct forms and codes: the strength of the boundary before each, its characters and
+    white space; and what is known of the forms.
 
-    The caller overrides the first word of every text.
+    The boundary before the first word of a text counts nowhere.
     """
-    coded = words.dictionary_encode()
-    kinds = {k: v[coded.indices.to_numpy(zero_copy_only=False)] for k, v in _kinds(coded.dictionary).items()}
-    n = len(words)
+    of_form = _kinds(forms)
+    kinds = {k: v[code] for k, v in of_form.items()}
+    n = len(code)
     out = np.full(n, INSIDE, dtype=np.int8)
     if n > 1:
         prev = {k: np.concatenate([v[:1], v[:-1]]) for k, v in kinds.items()}
@@ -73,74 +80,7 @@ def strengths(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[spaced & (lines == 1)] = LINE
         out[spaced & (lines > 1)] = PARAGRAPH
         out[kinds["quote"]] = INSIDE  # a quote mark at the start of a piece would be split another way
-    return out, kinds["chars"].astype(np.int64), kinds["space"]
-
-
-class _Text:
-    """One text as words with sizes; counts, snaps and cuts."""
-
-    def __init__(self, text: str, sizes: np.ndarray, chars: np.ndarray, strength: np.ndarray, space: np.ndarray, counted: _Counter):
-        self.parts = (sizes, chars, strength, space)
-        self.text, self.counted, self.exact = text, counted, True
-        self._lay(*self.parts)
-        self.most_in_word = int(sizes.max()) if sizes.size else 0
-
-    def _lay(self, sizes, chars, strength, space):
-        tokens = np.concatenate([[0], np.cumsum(sizes)])
-        self.tokens = tokens.tolist()
-        self.at = np.concatenate([[0], np.cumsum(chars)]).tolist()
-        self.space, self.n = space.tolist(), len(sizes)
-        self.levels = []
-        for level in range(PARAGRAPH, INSIDE - 1, -1):
-            where = np.flatnonzero(strength == level)
-            if len(where):
-                self.levels.append((where.tolist(), tokens[where].tolist()))
-
-    def for_limit(self, most: int) -> _Text:
-        """The text with its words beyond ``most`` tokens as runs of characters."""
-        if self.most_in_word <= most:
-            return self
-        other = object.__new__(_Text)
-        other.text, other.counted, other.exact, other.parts, other.most_in_word = self.text, self.counted, False, self.parts, 0
-        other._lay(*_cut_words(self.text, *self.parts, self.counted, most))
-        return other
-
-    def piece(self, i: int, j: int) -> tuple[int, int, int]:
-        """Start and end in characters and the token count of words ``i`` to ``j`` without outer white space."""
-        space = self.space
-        while i < j and space[i]:
-            i += 1
-        while j > i and space[j - 1]:
-            j -= 1
-        start, end = self.at[i], self.at[j]
-        if i == j:
-            return start, start, 0
-        text = self.text
-        lead = start
-        while text[lead].isspace():
-            lead += 1
-        if not self.exact:
-            while text[end - 1].isspace():
-                end -= 1
-            return lead, end, self.counted(text[lead:end], keep=False)
-        count = self.tokens[j] - self.tokens[i]
-        if lead > start:
-            count += self.counted(text[lead : self.at[i + 1]]) - self.tokens[i + 1] + self.tokens[i]
-        return lead, end, count
-
-    def snap(self, target: float, low: float, high: float, after: int) -> int:
-        """The strongest boundary with a token position in [low, high], the nearest to ``target`` among equals;
-        without one, the last word boundary of any kind up to ``high``, but not before word ``after``."""
-        for where, tokens in self.levels:
-            k = bisect_left(tokens, target)
-            best, gap = -1, None
-            if k < len(tokens) and tokens[k] <= high and where[k] >= after:
-                best, gap = where[k], tokens[k] - target
-            if k and tokens[k - 1] >= low and where[k - 1] >= after and (gap is None or target - tokens[k - 1] <= gap):
-                best = where[k - 1]
-            if best >= 0:
-                return best
-        return max(after, min(bisect_right(self.tokens, high) - 1, self.n - 1))
+    return out, kinds["chars"].astype(np.int64), kinds["space"].astype(bool), of_form
 
 
 class _Counter:
@@ -149,95 +89,221 @@ class _Counter:
     def __init__(self, enc):
         self.enc, self.known = enc, {}
 
-    def __call__(self, text: str, keep: bool = True) -> int:
+    def __call__(self, text: str) -> int:
         got = self.known.get(text)
         if got is None:
             got = len(self.enc.encode_ordinary(text))
-            if keep and len(text) <= 64:
+            if len(text) <= 64:
                 if len(self.known) >= 200_000:
                     self.known.clear()
                 self.known[text] = got
         return got
 
-
-def _cut_words(text, sizes, chars, strength, space, counted, most):
-    """Words beyond ``most`` tokens as runs of characters with their own counts."""
-    out_s, out_c, out_b, out_w = [], [], [], []
-    at = 0
-    for size, n, b, w in zip(sizes.tolist(), chars.tolist(), strength.tolist(), space.tolist()):
-        if size <= most:
-            out_s.append(size), out_c.append(n), out_b.append(b), out_w.append(w)
-        else:
-            for k in range(0, n, RUN_CHARS):
-                run = text[at + k : at + min(k + RUN_CHARS, n)]
-                out_s.append(counted(run)), out_c.append(len(run))
-                out_b.append(INSIDE if k else b), out_w.append(run.isspace())
-        at += n
-    return np.array(out_s), np.array(out_c), np.array(out_b, dtype=np.int8), np.array(out_w, dtype=bool)
-
-
-def _cut_into(t: _Text, k: int, most: int, overlap: int) -> list[tuple[int, int, int]] | None:
-    """``k`` pieces near equal-length targets, or None when one breaks the limit."""
-    tokens, n = t.tokens, t.n
-    total = tokens[-1]
-    step = (total - overlap) / k
-    slack = step / 4
-    bounds, start = [], 0
-    for p in range(1, k + 1):
-        end = n
-        if p < k:
-            target = p * step + overlap
-            top = min(target + slack, tokens[start] + most)
-            end = t.snap(min(target, top), min(target - slack, top), top, start + 1)
-        if tokens[end] - tokens[start] > most + SPARE or total - tokens[start] > (k - p + 1) * (most - overlap) + overlap + SPARE:
-            return None
-        bounds.append((start, end))
-        if end >= n:
-            break
+    def runs(self, word: str, most: int, limit: int) -> list[tuple[int, int]]:
+        """(characters, tokens) of the runs of a word that end with one of its tokens; single characters where a run has
+        more than ``most`` tokens. A character of more than ``limit`` tokens is an error."""
+        raw, out, at, held = word.encode(), [], 0, 0
+        begin = 0
+        for token in self.enc.encode_ordinary(word):
+            at += len(self.enc.decode_single_token_bytes(token))
+            held += 1
+            if at < len(raw) and raw[at] & 0xC0 == 0x80:
+                continue
+            run = raw[begin:at].decode()
+            if held <= most:
+                out.append((len(run), held))
+            else:
+                out += [(1, self(c)) for c in run]
+            begin, held = at, 0
+        if max(n for _, n in out) > limit:
+            raise ValueError(f"a character has more than {limit} tokens")
+        return out
+
+
+class _Words:
+    """The words of several texts behind each other: running sums of tokens and characters, boundaries and ends."""
+
+    def __init__(self, sizes, chars, strength, space, leading, code, offsets, forms: pa.Array, counted: _Counter):
+        self.offsets, self.space, self.leading, self.code = offsets, space, leading & ~space, code
+        self.forms, self.counted, self.changes = forms, counted, np.full(len(forms) + 1, -(1 << 30), dtype=np.int64)
+        self.changes[-1] = 0  # a run of a word, whose pieces are encoded again
+        n = len(sizes)
+        self.tokens = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.at = np.concatenate([[0], np.cumsum(chars)]).astype(np.int64)
+        here = np.arange(n + 1)
+        full = np.concatenate([~space, [True]])
+        self.next_full = np.minimum.accumulate(np.where(full, here, n)[::-1])[::-1]
+        self.past_full = np.maximum.accumulate(np.concatenate([[0], np.where(~space, here[1:], 0)]))
+        first = np.zeros(n, dtype=bool)
+        first[offsets[:-1][offsets[:-1] < n]] = True
+        self.levels = []
+        for level in range(PARAGRAPH, INSIDE - 1, -1):
+            where = np.flatnonzero((strength == level) & ~first)
+            if len(where):
+                self.levels.append((where, self.tokens[where]))
+
+    def change(self, at: np.ndarray) -> np.ndarray:
+        """How many tokens words gain when they lose their leading space."""
+        code = np.where(self.leading[at], self.code[at], -1)
+        new = np.unique(code[self.changes[code] == -(1 << 30)])
+        for c, word in zip(new.tolist(), self.forms.take(pa.array(new)).to_pylist()):
+            self.changes[c] = self.counted(word[1:]) - self.counted(word)
+        return self.changes[code]
+
+    def snap(self, want, low, high, after, last) -> np.ndarray:
+        """For each row the strongest boundary with a token position in [low, high], the nearest to ``want`` among equals;
+        without one, the last word up to ``high``. Boundaries lie in [after, last]."""
+        out = np.full(len(want), -1, dtype=np.int64)
+        todo = np.arange(len(want))
+        for where, at in self.levels:
+            if not len(todo):
+                break
+            w = want[todo]
+            right = np.searchsorted(at, w)
+            left, right = np.maximum(right - 1, 0), np.minimum(right, len(at) - 1)
+            r_ok = (at[right] >= w) & (at[right] <= high[todo]) & (where[right] >= after[todo]) & (where[right] <= last[todo])
+            l_ok = (at[left] <= w) & (at[left] >= low[todo]) & (where[left] >= after[todo]) & (where[left] <= last[todo])
+            l_ok &= ~r_ok | (w - at[left] <= at[right] - w)
+            found = np.where(l_ok, where[left], np.where(r_ok, where[right], -1))
+            out[todo] = found
+            todo = todo[found < 0]
+        out[todo] = np.maximum(np.minimum(np.searchsorted(self.tokens, high[todo], "right") - 1, last[todo]), after[todo])
+        return out
+
+
+def place(w: _Words, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word, tokens, balanced) of the pieces of all texts, by text and place."""
+    tokens, share = w.tokens, most - overlap
+    first, last = w.next_full[w.offsets[:-1]], w.past_full[w.offsets[1:]]
+    whole = tokens[last]
+    start, base, seen = first.copy(), tokens[first], first.copy()
+    pieces = np.maximum(1, -(-(whole - base - overlap) // share))
+    done, tries, anew = np.zeros_like(first), np.zeros_like(first), np.zeros(len(first), dtype=bool)
+    open_ = np.flatnonzero(first < last)
+    found = []
+    while len(open_):
+        t = open_
+        done[t] += 1
+        s, end_of = start[t], last[t]
+        gain = w.change(s)
+        cap = tokens[s] + most - np.maximum(gain, 0)
+        step = (whole[t] - base[t] - overlap) / pieces[t]
+        target = base[t] + overlap + done[t] * step
+        top = np.minimum(target + step / 4, cap)
+        want = np.minimum(target, top)
+        after = np.maximum(s, seen[t]) + 1
+        final = done[t] >= pieces[t]
+        end = np.where(final, end_of, w.snap(want, want - step / 4, top, after, end_of))
+        # pieces that the rest needs beyond those that are left
+        lack = -(-(whole[t] - tokens[end]) // share) - (pieces[t] - done[t])
+        over = final & (tokens[end_of] > cap) & (end_of > after)
+        lack = np.where(over, np.maximum(2, -(-(whole[t] - tokens[s] - overlap) // share)) - 1, np.where(final | anew[t], 0, lack))
+        bad = lack > 0
+        if bad.any():
+            b = t[bad]
+            again = tries[b] < TRIES
+            r, keep = b[again], b[~again]
+            anew[keep] = True
+            pieces[r] += lack[bad][again]
+            pieces[keep] = np.maximum(2, -(-(whole[keep] - tokens[start[keep]] - overlap) // share))
+            start[r] = seen[r] = first[r]
+            base[b] = tokens[start[b]]
+            done[b] = 0
+            tries[b] += 1
+        good = ~bad
+        t, s, end, gain, end_of = t[good], s[good], end[good], gain[good], end_of[good]
+        past = w.past_full[end]
+        found.append((t, s, past, tokens[past] - tokens[s] + gain, tries[t]))
+        more = end < end_of
+        t, s, end, end_of = t[more], s[more], end[more], end_of[more]
+        fresh = w.next_full[end]
         if overlap:
-            want = tokens[end] - overlap
-            start = min(max(t.snap(want, want - overlap / 2, want + overlap / 2, start + 1), start + 1), end)
+            back = tokens[end] - overlap
+            begin = np.clip(w.snap(back, back - overlap / 2, back + overlap / 2, s + 1, end), s + 1, end)
+            begin = w.next_full[begin]
+            # an overlap that leaves no room for the next word is given up
+            begin = np.where(tokens[fresh + 1] - tokens[begin] + np.maximum(w.change(begin), 0) > most, fresh, begin)
         else:
-            start = end
-    pieces = []
-    for start, end in bounds:
-        s, e, count = t.piece(start, end)
-        if count > most:
-            return None
-        if count and (not pieces or s > pieces[-1][0]):
-            pieces.append((s, e, count))
-    return pieces
-
-
-def _greedy(t: _Text, most: int, overlap: int) -> list[tuple[int, int, int]]:
-    """Pieces filled from the left; the way out for a text that no number of balanced pieces fits."""
-    pieces, start, tokens = [], 0, t.tokens
-    while start < t.n:
-        end = max(bisect_right(tokens, tokens[start] + most) - 1, start + 1)
-        if end < t.n:
-            end = t.snap(tokens[end], tokens[start] + most * 3 / 4, tokens[end], start + 1)
-        s, e, n = t.piece(start, end)
-        while n > most and end > start + 1:
-            end -= max(1, (end - start) // 8)
-            s, e, n = t.piece(start, end)
-        if n:
-            pieces.append((s, e, n))
-        if end >= t.n:
-            break
-        start = min(max(bisect_left(tokens, tokens[end] - overlap), start + 1), end)
-    return pieces
-
-
-def split_text(t: _Text, most: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(start, end, tokens) of the pieces of one text."""
-    t = t.for_limit(most)
-    total = t.tokens[-1]
-    least = max(2, -(-(total - overlap) // (most - overlap)))
-    for k in range(least, least + max(4, least // 2)):
-        pieces = _cut_into(t, k, most, overlap)
-        if pieces is not None:
-            return pieces
-    return _greedy(t, most, overlap)
+            begin = fresh
+        start[t], seen[t] = begin, fresh
+        open_ = np.concatenate([t, open_[bad]])
+    if not found:
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+    t, s, e, n, tried = (np.concatenate(x) for x in zip(*found))
+    # pieces of a start that was given up are those of fewer tries, unless the text went on from there
+    since = np.where(anew, TRIES, tries)
+    kept = np.where(anew[t], tried >= TRIES, tried == since[t])
+    t, s, e, n = t[kept], s[kept], e[kept], n[kept]
+    order = np.lexsort((s, t))
+    t = t[order]
+    return t, s[order], e[order], n[order], ~anew[t]
+
+
+def _cut_long(sizes, chars, strength, space, leading, code, offsets, word_of: Callable[[int], str], counted, most, limit):
+    """The words beyond ``most`` tokens as runs; also whether each text has any."""
+    long = np.flatnonzero(sizes > most)
+    touched = np.zeros(len(offsets) - 1, dtype=bool)
+    if not len(long):
+        return sizes, chars, strength, space, leading, code, offsets, touched
+    touched[np.searchsorted(offsets, long, "right") - 1] = True
+    times = np.ones(len(sizes), dtype=np.int64)
+    cuts = []
+    for i in long.tolist():
+        word = word_of(i)
+        runs = counted.runs(word, most, limit)
+        at = np.cumsum([0] + [n for n, _ in runs])
+        cuts.append(([n for n, _ in runs], [k for _, k in runs], [word[a:b].isspace() for a, b in zip(at, at[1:])]))
+        times[i] = len(runs)
+    begin = np.concatenate([[0], np.cumsum(times)])
+    sizes, chars, strength, space, leading, code = (np.repeat(x, times) for x in (sizes, chars, strength, space, leading, code))
+    for i, (n_chars, n_tokens, blank) in zip(long.tolist(), cuts):
+        a, b = begin[i], begin[i + 1]
+        sizes[a:b], chars[a:b], space[a:b], code[a:b] = n_tokens, n_chars, blank, -1
+        strength[a + 1 : b], leading[a + 1 : b] = INSIDE, False
+    return sizes, chars, strength, space, leading, code, begin[offsets], touched
+
+
+class Cutter:
+    """Cuts the texts of a batch for one setting after another."""
+
+    def __init__(self, counted: _Counter, words: pa.Array, sizes: np.ndarray, offsets: np.ndarray):
+        coded = words.dictionary_encode()
+        self.forms, self.code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.strength, self.chars, self.space, self.kinds = strengths(self.forms, self.code)
+        self.sizes, self.offsets, self.counted = sizes, offsets, counted
+        self.totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[offsets])
+
+    def cut(self, rows: np.ndarray, text_of: Callable[[int], str], most: int, overlap: int, cap: int | None = None) -> Iterator[tuple]:
+        """(row, start, end, tokens, balanced) of the pieces of ``rows``, in order of row and place."""
+        cap = cap or most
+        counts = np.diff(self.offsets)[rows]
+        which = np.concatenate([[0], np.cumsum(counts)])
+        index = np.repeat(self.offsets[:-1][rows] - which[:-1], counts) + np.arange(which[-1])
+        code = self.code[index]
+        word_of = lambda i: self.forms[int(code[i])].as_py()
+        *parts, offsets, touched = _cut_long(
+            self.sizes[index].astype(np.int64), self.chars[index], self.strength[index], self.space[index], self.kinds["leading"][code], code, which,
+            word_of, self.counted, cap, most,
+        )
+        w = _Words(*parts, offsets, self.forms, self.counted)
+        t, s, e, n, balanced = place(w, cap, min(overlap, (cap - 1) // 2))
+        begin = w.at[s] + w.leading[s] - w.at[w.offsets[:-1]][t]
+        end = w.at[e] - w.at[w.offsets[:-1]][t]
+        # a piece is encoded again where its tokens may not be those of its words
+        doubtful = touched[t] | ((w.code[s] >= 0) & self.kinds["quote"][w.code[s]])
+        edges = np.searchsorted(t, np.arange(len(rows) + 1))
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if a == b:
+                continue
+            starts, ends, tokens = begin[a:b].tolist(), end[a:b].tolist(), n[a:b].tolist()
+            if doubtful[a:b].any():
+                text = text_of(int(rows[i]))
+                for k in np.flatnonzero(doubtful[a:b]).tolist():
+                    tokens[k] = len(self.counted.enc.encode_ordinary(text[starts[k] : ends[k]]))
+            if max(tokens) > most and cap > 1:
+                yield from self.cut(rows[i : i + 1], text_of, most, overlap, max(1, cap - max(1, 2 * (most - cap))))
+            else:
+                yield int(rows[i]), starts, ends, tokens, bool(balanced[a]) and cap == most
 
 
 def split_oversized(
@@ -246,63 +312,73 @@ def split_oversized(
     """Cut every text with more than ``max_tokens`` tokens, for each setting of ``limits``.
 
     ``limits`` has (setting, max_tokens, overlap_tokens). Returns (setting, id_col, piece_no, n_pieces, start,
-    end, n_tokens, piece): ``start`` and ``end`` are code points of the text, ``n_tokens`` the ids of the piece
-    encoded on its own, never above the limit. Pieces carry no outer white space and together cover all else;
+    end, n_tokens, balanced, piece): ``start`` and ``end`` are code points of the text, ``n_tokens`` the ids of the piece
+    encoded on its own, never above the limit; ``balanced`` is false where the targets of a text had to be placed anew or its
+    limit lowered. Pieces carry no outer white space and together cover all else;
     each shares about ``overlap_tokens`` tokens with the one before. Cuts fall on empty lines, line ends, sentence
     ends, clauses or words, in this order of preference near each target, and inside a word only when a word alone
     breaks the limit. Null, empty and blank texts and texts within the limit give no rows. Repeated rows give
     repeated pieces. An overlap is held below half of the limit; a setting with a null or limits under 1 is an
-    error.
+    error, and so is a character of more tokens than the limit, which only limits under 4 can meet.
     """
     path = path or tokenizer_path()
     settings = [(r[0], r[1], r[2]) for r in limits.select("setting", "max_tokens", "overlap_tokens").limit(MOST_SETTINGS + 1).collect()]
     if len(settings) > MOST_SETTINGS or any(m is None or o is None or m < 1 or o < 0 for _, m, o in settings):
         raise ValueError(f"limits need 1 to {MOST_SETTINGS} settings, each with max_tokens >= 1 and overlap_tokens >= 0")
     settings = [(s, int(m), min(int(o), (int(m) - 1) // 2)) for s, m, o in settings]
+    least = min((m for _, m, _ in settings), default=1 << 60)
     source = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
     table = build_words(source, "_text", path, head_words)
     head = table.head
-    rows = with_rare(source, "_text", table, "_rare").select("_id", "_text", words_of("_text").alias("_words"), "_rare")
+    # a token has at least one byte, so shorter texts need not travel
+    rows = with_rare(source.filter(F.octet_length("_text") > least), "_text", table, "_rare").select("_id", "_text", words_of("_text").alias("_words"), "_rare")
     out = pa.schema(
-        [("setting", pa.string()), ("_row", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()),
-         ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.int32()), ("piece", pa.string())]
+        [("setting", pa.string()), ("_row", pa.int64()), ("piece_no", pa.int32()), ("n_pieces", pa.int32()), ("start", pa.int64()),
+         ("end", pa.int64()), ("n_tokens", pa.int32()), ("balanced", pa.bool_()), ("piece", pa.string())]
     )
 
     def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = _Counter(encoder(path))
         for batch in batches:
-            words = batch.column(2)
-            flat = words.flatten()
-            _, sizes, _ = look_up(words, batch.column(3), head.value)
-            strength, chars, space = strengths(flat)
-            offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-            totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[offsets])
-            found: dict[str, list] = {name: [] for name in out.names}
-            for row in np.flatnonzero(totals > min((m for _, m, _ in settings), default=1 << 60)):
-                a, b = offsets[row], offsets[row + 1]
-                text = batch.column(1)[int(row)].as_py()
-                whole = _Text(text, sizes[a:b], chars[a:b], strength[a:b], space[a:b], counted)
-                for name, most, overlap in settings:
-                    if totals[row] <= most:
-                        continue
-                    pieces = split_text(whole, most, overlap)
-                    n = len(pieces)
-                    found["setting"] += [name] * n
-                    found["_row"] += [row] * n
-                    found["piece_no"] += range(1, n + 1)
-                    found["n_pieces"] += [n] * n
-                    found["start"] += [x[0] for x in pieces]
-                    found["end"] += [x[1] for x in pieces]
-                    found["n_tokens"] += [x[2] for x in pieces]
-                    found["piece"] += [text[x[0] : x[1]] for x in pieces]
-            done = pa.Table.from_pydict(found, schema=out)
-            ids = batch.column(0).take(done.column("_row").combine_chunks())
-            for part in done.set_column(1, "_id", ids).combine_chunks().to_batches():
-                yield part
+            offsets = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOGETHER, "right")) - 1)
+                yield from cut_some(batch.slice(at, to - at), counted)
+                at = to
+
+    def cut_some(batch: pa.RecordBatch, counted: _Counter) -> Iterator[pa.RecordBatch]:
+        words = batch.column(2)
+        _, sizes, _ = look_up(words, batch.column(3), head.value)
+        cutter = Cutter(counted, words.flatten(), sizes, (words.offsets.to_numpy() - words.offsets[0].as_py()).astype(np.int64))
+        texts: dict[int, str] = {}
+
+        def text_of(row: int) -> str:
+            if row not in texts:
+                texts[row] = batch.column(1)[row].as_py()
+            return texts[row]
+
+        found: dict[str, list] = {name: [] for name in out.names}
+        for name, most, overlap in settings:
+            for row, starts, ends, tokens, balanced in cutter.cut(np.flatnonzero(cutter.totals > most), text_of, most, overlap):
+                text, n = text_of(row), len(starts)
+                found["setting"] += [name] * n
+                found["_row"] += [row] * n
+                found["piece_no"] += range(1, n + 1)
+                found["n_pieces"] += [n] * n
+                found["start"] += starts
+                found["end"] += ends
+                found["n_tokens"] += tokens
+                found["balanced"] += [balanced] * n
+                found["piece"] += [text[a:b] for a, b in zip(starts, ends)]
+        done = pa.Table.from_pydict(found, schema=out)
+        ids = batch.column(0).take(done.column("_row").combine_chunks())
+        yield from done.set_column(1, "_id", ids).combine_chunks().to_batches()
 
     schema = T.StructType(
         [T.StructField("setting", T.StringType()), T.StructField("_id", source.schema["_id"].dataType),
          T.StructField("piece_no", T.IntegerType()), T.StructField("n_pieces", T.IntegerType()), T.StructField("start", T.LongType()),
-         T.StructField("end", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("piece", T.StringType())]
+         T.StructField("end", T.LongType()), T.StructField("n_tokens", T.IntegerType()), T.StructField("balanced", T.BooleanType()),
+         T.StructField("piece", T.StringType())]
     )
     return rows.mapInArrow(cut_all, schema).withColumnRenamed("_id", id_col)
