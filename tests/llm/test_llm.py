@@ -257,18 +257,46 @@ def test_neighbours(spark, monkeypatch):
     c = u @ u.T
     want = {(min(a, b), max(a, b)) for a, b in zip(*np.nonzero(c >= 0.9)) if a < b}
     want = {(ids[a], ids[b]) for a, b in want}
-    for block in (8192, 7):
+    for block, part, sample in ((8192, 1 << 16, 1 << 16), (7, 5, 64)):
         monkeypatch.setattr(N, "BLOCK", block)
+        monkeypatch.setattr(N, "PART", part)
+        monkeypatch.setattr(N, "SAMPLE", sample)  # the deeper levels are fitted by aggregation
         got = {(r["a"], r["b"]) for r in N.similar_pairs(v, 16, 0.9, trees=8, visits=20, leaf=32).collect()}
         assert got <= want and len(got) >= 0.97 * len(want) and (0, 904) in got
-    near = N.nearest(v.withColumn("asks", F.col("id") % 50 == 0), 16, 5, "asks", trees=4, visits=24, leaf=32).collect()
-    hits = 0
-    for r in near:
-        row = c[np.flatnonzero(ids == r["id"])[0]].copy()
-        row[ids == r["id"]] = -2
-        hits += r["neighbour"] in ids[np.argsort(-row)[:5]]
-    assert len(near) == 5 * len([i for i in ids if i % 50 == 0]) and hits >= 0.9 * len(near)
-    assert N.similar_pairs(v.limit(0), 16, 0.9).collect() == []
+        asking = v.withColumn("asks", F.col("id") % 50 == 0)
+        for options in ({"exact": True}, {"recall": 0.97, "leaf": 32}):
+            near = N.nearest(asking, 16, 5, "asks", trees=4, **options).collect()
+            true = set()
+            for i in ids[ids % 50 == 0]:
+                row = c[np.flatnonzero(ids == i)[0]]
+                order = sorted((j for j in range(len(ids)) if ids[j] != i), key=lambda j: (-round(row[j], 6), ids[j]))
+                true |= {(i, ids[j]) for j in order[:5]}
+            hits = {(r["id"], r["neighbour"]) for r in near} & true
+            assert len(near) == len(true) and sorted(r["place"] for r in near) == sorted(list(range(1, 6)) * (len(true) // 5))
+            assert len(hits) == len(true) if "exact" in options else len(hits) >= 0.9 * len(true)
+    assert N.similar_pairs(v.limit(0), 16, 0.9).collect() == [] and N.nearest(asking.limit(0), 16, 3, "asks").collect() == []
+
+
+def test_the_queue_gives_the_leaves_of_the_smallest_margins():
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((300, 6)).astype(np.float32)
+    f = N.fit(x, 3, 4, 1)
+    for row in x[:20]:
+        cost = []
+        for t in range(3):
+            m = f.directions[t] @ row
+            for leaf in range(16):
+                node, worst = 0, -1.0
+                for d in range(4):
+                    bit = leaf >> (3 - d) & 1
+                    gap = m[d] - f.thresholds[t, (1 << d) - 1 + node]
+                    if bit != (gap >= 0):
+                        worst = max(worst, abs(gap))
+                    node = 2 * node + bit
+                cost.append((worst, t * 16 + leaf))
+        by_leaf = {leaf: worst for worst, leaf in cost}
+        met = f.visits(row[None], 11)[0].tolist()
+        assert len(set(met)) == 11 and np.allclose([by_leaf[x] for x in met], sorted(by_leaf.values())[:11])
 
 
 NAMES = ["Анна", "Пётр", "Ольга", "Иван", "Мария", "Олег"]

@@ -3,14 +3,19 @@
 A tree splits the collection at the median of one random projection a level, down to leaves of about
 ``leaf`` vectors. Directions are shared by the nodes of a level, so one product of a batch with all directions
 gives every margin of every tree. A vector visits leaves in the order of one priority queue shared by all
-trees: its own leaf of each tree first, then the branches it left by the smallest margin, whatever their tree.
-
-Rows of a leaf meet in one place, where their coarse codes are compared by matrix product; what may reach the
-result is reranked with the full vectors. Only codes travel to the leaves: ``bits`` a dimension.
-
-The medians are fitted on a sample of at most ``SAMPLE`` vectors, taken by hash; every vector is indexed. A leaf
-with more than ``BLOCK`` rows, as many equal vectors make, is met in blocks, each query with each block, so no
-task holds a whole hot leaf.
+trees: its own leaf of each tree first, then the branches it left by the smallest margin, whatever their tree. The queue of
+all rows of a batch is worked level by level: as a branch never comes before its node, keeping at each level the
+``count`` first nodes of all trees gives the leaves that the queue gives.
+
+Rows of a leaf meet in one place and are compared by matrix product. ``similar_pairs`` sends codes of four bits a
+dimension there and reranks what may reach the limit with the full vectors; ``nearest`` sends the full vectors and ranks them
+where they meet. How many leaves ``nearest`` visits is measured on the collection: for at most ``ASKED`` of the asking rows
+the true neighbours are found by brute force, and the least number of visits that reaches the wanted recall is taken.
+
+Medians are fitted on the driver with at most ``SAMPLE`` vectors, taken by hash, as deep as these allow; deeper levels are
+fitted by an aggregation over the collection. Every vector is indexed. A leaf with more than ``BLOCK`` index rows or
+``PART`` asking rows, as many equal vectors make, is met in blocks and parts: each block with each part, so no task holds
+a whole hot leaf. Asking rows stream past their block.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from tonewright.session import cut
 #: Most vectors on which the trees are fitted; least sample of a leaf, which limits the depth.
 SAMPLE = 1 << 16
 SAMPLE_OF_LEAF = 8
-#: Most index rows of a leaf that meet at once.
-BLOCK = 8192
-#: Rows of a product of codes.
-TILE = 1024
+#: Most index rows and most asking rows of a leaf that meet in one place.
+BLOCK, PART = 8192, 1 << 16
+#: Rows of a product.
+TILE = 512
+#: Most asking rows whose recall is measured.
+ASKED = 512
 
 
 def unit_vectors(df: DataFrame, id_col: str, vector: str, dim: int, id_out: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -76,7 +83,9 @@ def _matrix(column: pa.Array, dtype: str, width: int) -> np.ndarray:
 
 
 def encode(units: np.ndarray, bits: int) -> np.ndarray:
-    """Codes of ``bits`` (4 or 8) a dimension behind each vector's scale."""
+    """Codes of ``bits`` (4 or 8) a dimension behind each vector's scale; the vectors themselves for 32."""
+    if bits == 32:
+        return np.ascontiguousarray(units).view(np.uint8).reshape(len(units), -1)
     most = (1 << (bits - 1)) - 1
     scale = np.abs(units).max(1, keepdims=True) / most
     codes = np.rint(units / scale).astype(np.int8)
@@ -88,6 +97,8 @@ def encode(units: np.ndarray, bits: int) -> np.ndarray:
 
 def decode(codes: np.ndarray, bits: int) -> np.ndarray:
     """Vectors from codes."""
+    if bits == 32:
+        return np.ascontiguousarray(codes).view("<f4")
     scale = np.ascontiguousarray(codes[:, :4]).view("<f4")
     body = codes[:, 4:]
     if bits == 4:
@@ -112,36 +123,26 @@ class Forest:
         return self.thresholds.shape[1] + 1
 
     def visits(self, units: np.ndarray, count: int) -> np.ndarray:
-        """(rows, count) leaves, numbered through all trees, in the order of the shared queue; -1 where none is left."""
+        """(rows, count) leaves, numbered through all trees, in the order of the shared queue; a row's own leaves come first."""
+        at = max(64, (1 << 21) // count)
+        if len(units) > at:
+            return np.concatenate([self.visits(units[i : i + at], count) for i in range(0, len(units), at)])
         trees, depth, dim = self.directions.shape
         n = len(units)
         margins = (units @ self.directions.reshape(-1, dim).T).reshape(n, trees, depth)
-        count = min(count, trees * self.leaves)
-        priority = np.full((n, trees + count * depth), -np.inf, dtype=np.float32)
-        start = np.zeros(priority.shape, dtype=np.int32)
-        tree_of = np.zeros(priority.shape, dtype=np.int16)
-        priority[:, :trees] = np.inf
-        tree_of[:, :trees] = np.arange(trees)
-        out = np.full((n, count), -1, dtype=np.int64)
-        rows = np.arange(n)
-        for v in range(count):
-            used = trees + v * depth
-            at = priority[:, :used].argmax(1)
-            top = priority[rows, at]
-            node, tree = start[rows, at], tree_of[rows, at]
-            priority[rows, at] = -np.inf
-            level = np.frexp((node + 1).astype(np.float64))[1] - 1
-            for d in range(depth):
-                go = (level <= d) & (top > -np.inf)
-                m = margins[rows, tree, d] - self.thresholds[tree, np.minimum(node, self.leaves - 2)]
-                near = 2 * node + 1 + (m >= 0)
-                slot = used + d
-                priority[:, slot] = np.where(go, np.minimum(top, -np.abs(m)), -np.inf)
-                start[:, slot] = np.where(go, 4 * node + 3 - near, 0)
-                tree_of[:, slot] = tree
-                node = np.where(go, near, node)
-            out[:, v] = np.where(top > -np.inf, tree.astype(np.int64) * self.leaves + node - (self.leaves - 1), -1)
-        return out
+        node, cost = np.zeros((n, trees), dtype=np.int64), np.full((n, trees), -1, dtype=np.float32)
+        tree = np.broadcast_to(np.arange(trees), (n, trees))
+        for d in range(depth):
+            m = margins[np.arange(n)[:, None], tree, d] - self.thresholds[tree, (1 << d) - 1 + node]
+            near = 2 * node + (m >= 0)
+            node = np.concatenate([near, near ^ 1], axis=1)
+            cost = np.concatenate([cost, np.maximum(cost, np.abs(m))], axis=1)
+            tree = np.concatenate([tree, tree], axis=1)
+            if node.shape[1] > count:
+                kept = np.argpartition(cost, count - 1, axis=1)[:, :count]
+                node, cost, tree = (np.take_along_axis(x, kept, axis=1) for x in (node, cost, tree))
+        order = np.argsort(cost, axis=1, kind="stable")
+        return np.take_along_axis(tree.astype(np.int64) * self.leaves + node, order, axis=1)
 
 
 def fit(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
@@ -167,27 +168,55 @@ def fit(sample: np.ndarray, trees: int, depth: int, seed: int) -> Forest:
 
 
 def _depth(rows: int, leaf: int) -> int:
-    deepest = (SAMPLE // SAMPLE_OF_LEAF).bit_length() - 1
-    return max(0, min(deepest, round(float(np.log2(max(rows, 1) / leaf)))))
+    return max(0, round(float(np.log2(max(rows, 1) / leaf))))
+
 
+def _sample(vectors: DataFrame, rows: int, dim: int, most: int) -> np.ndarray:
+    """At most ``most`` vectors, those of the smallest hashes of a thinned collection."""
+    thin = max(1, rows // (2 * most))
+    some = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(thin)) == 0).orderBy(F.xxhash64(F.lit(3), F.col("id")), "id").limit(most)
+    return _column(some, dim)
 
-def _sample(vectors: DataFrame, rows: int, dim: int) -> np.ndarray:
-    """At most SAMPLE vectors, those of the smallest hashes of a thinned collection."""
-    thin = max(1, rows // (2 * SAMPLE))
-    some = vectors.filter(F.pmod(F.xxhash64("id"), F.lit(thin)) == 0).orderBy(F.xxhash64(F.lit(3), F.col("id")), "id").limit(SAMPLE)
-    got = some.select("unit").toArrow().column(0).combine_chunks()
+
+def _column(units: DataFrame, dim: int) -> np.ndarray:
+    got = units.select("unit").toArrow().column(0).combine_chunks()
     return _matrix(got if isinstance(got, pa.Array) else pa.concat_arrays(got.chunks), "<f4", dim)
 
 
-#: A row's place: leaf, block of the leaf and role in one number. Role 1 is asked, 2 asks, 3 does both.
-_BLOCK_BITS, _ROLE_BITS = 20, 2
+def _deepened(vectors: DataFrame, rows: int, forest: Forest, dim: int) -> Forest:
+    """``forest`` with one more level below its leaves: medians of about 64 vectors a leaf, by an aggregation."""
+    spark, trees = vectors.sparkSession, forest.directions.shape[0]
+    depth = forest.directions.shape[1] - 1  # the directions of the new level are there, its thresholds are not
+    upper = spark.sparkContext.broadcast(Forest(forest.directions[:, :depth], forest.thresholds))
+    along = spark.sparkContext.broadcast(forest.directions[:, depth])
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = _matrix(batch.column(0), "<f4", dim)
+            leaf = np.sort(upper.value.visits(units, trees), axis=1)
+            m = units @ along.value.T
+            yield pa.RecordBatch.from_arrays([pa.array(leaf.ravel()), pa.array(m.astype(np.float32).ravel())], names=["leaf", "m"])
+
+    thin = max(1, rows // (64 << depth))
+    some = vectors.filter(F.pmod(F.xxhash64(F.lit(5), F.col("id")), F.lit(thin)) == 0)
+    found = some.select("unit").mapInArrow(margins, "leaf long, m float").groupBy("leaf").agg(F.percentile_approx("m", 0.5, 100).alias("m")).toArrow()
+    new = np.zeros(trees << depth, dtype=np.float32)
+    new[found.column("leaf").to_numpy()] = found.column("m").to_numpy()
+    return Forest(forest.directions, np.concatenate([forest.thresholds, new.reshape(trees, -1)], axis=1))
 
 
-def _placed(vectors: DataFrame, forest, dim: int, bits: int, visits: int, queries: str | None) -> DataFrame:
-    """(key, id, code): every row in its own leaf of each tree, rows that ask also in their further visits."""
+#: A row's place: leaf, block and part of the leaf, and role in one number. Role 0 is asked, 2 asks, 1 does both.
+_ROLE_BITS, _PART_BITS, _BLOCK_BITS = 2, 14, 20
+_LEAF_SHIFT = _ROLE_BITS + _PART_BITS + _BLOCK_BITS
+
+
+def _placed(vectors: DataFrame, forest, dim: int, bits: int | None, visits: int, queries: str | None) -> DataFrame:
+    """(key, id, code): every row in its own leaf of each tree, rows that ask also in their further visits.
+
+    Without ``bits`` only the keys come out.
+    """
     trees = forest.value.directions.shape[0]
     columns = ["id", "unit"] + ([queries] if queries else [])
-    shift = _BLOCK_BITS + _ROLE_BITS
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = forest.value
@@ -195,102 +224,129 @@ def _placed(vectors: DataFrame, forest, dim: int, bits: int, visits: int, querie
             for at in range(0, whole.num_rows, 4096):
                 batch = whole.slice(at, 4096)
                 units = _matrix(batch.column(1), "<f4", dim)
-                code = encode(units, bits)
-                asks = np.ones(len(units), dtype=bool) if queries is None else batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-                if visits > trees and asks.all():
+                n = len(units)
+                asks = np.ones(n, dtype=bool) if queries is None else batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                if asks.all():
                     all_leaves = f.visits(units, visits)
                     own, more = all_leaves[:, :trees], all_leaves[:, trees:]
                 else:
-                    own = f.visits(units, trees)
-                    more = f.visits(units[asks], visits)[:, trees:] if visits > trees else own[:0, :0]
-                leaf, row = [own.ravel()], [np.repeat(np.arange(len(units)), own.shape[1])]
-                role = [np.where(asks[row[0]], 3, 1)]
-                leaf.append(more.ravel())
-                row.append(np.repeat(np.flatnonzero(asks)[: len(more)], more.shape[1]))
-                role.append(np.full(more.size, 2))
-                leaf, row, role = np.concatenate(leaf), np.concatenate(row), np.concatenate(role)
-                ok = leaf >= 0
-                leaf, row, role = leaf[ok], row[ok], role[ok]
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((leaf << shift) | role), pa.array(ids), _binary(code[row])], names=["key", "id", "code"]
-                )
-
-    return vectors.select(*columns).mapInArrow(place, "key long, id long, code binary")
-
-
-def _blocks(placed: DataFrame, own: DataFrame) -> DataFrame:
-    """``placed`` with leaves beyond BLOCK index rows in several blocks, each met by each row that asks."""
-    shift = _BLOCK_BITS + _ROLE_BITS
-    leaf, role = F.shiftright("key", shift), F.col("key").bitwiseAND(3)
-    full = own.groupBy(leaf.alias("leaf")).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).filter("blocks > 1")
-    full = cut(full)  # a few rows: at most rows x trees / BLOCK
+                    own, more = f.visits(units, trees), f.visits(units[asks], visits)[:, trees:]
+                row = np.concatenate([np.repeat(np.arange(n), own.shape[1]), np.repeat(np.flatnonzero(asks), more.shape[1])])
+                role = np.concatenate([np.repeat(asks.astype(np.int64), own.shape[1]), np.full(more.size, 2)])
+                key = pa.array((np.concatenate([own.ravel(), more.ravel()]) << _LEAF_SHIFT) | role)
+                if bits is None:
+                    yield pa.RecordBatch.from_arrays([key], names=["key"])
+                else:
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)[row]
+                    yield pa.RecordBatch.from_arrays([key, pa.array(ids), _binary(encode(units, bits)[row])], names=["key", "id", "code"])
+
+    return vectors.select(*columns).mapInArrow(place, "key long" + (", id long, code binary" if bits else ""))
+
+
+def _split(placed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``placed`` with the leaves beyond BLOCK index rows or PART asking rows in several places, by the ``keys`` of all."""
+    leaf, role = F.shiftright("key", _LEAF_SHIFT), F.col("key").bitwiseAND(3)
+    full = keys.groupBy(leaf.alias("leaf")).agg(
+        F.ceil(F.count_if(role < 2) / BLOCK).cast("long").alias("blocks"), F.ceil(F.count_if(role > 0) / PART).cast("long").alias("parts")
+    )
+    full = cut(full.filter("blocks > 1 or parts > 1"))  # a few rows: at most rows x trees / BLOCK
     if full.isEmpty():
         return placed
-    joined = placed.withColumn("leaf", leaf).join(full, "leaf", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    joined = joined.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    blocks = F.when(role == 1, F.array("mine")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    spread = joined.withColumn("block", F.explode(blocks))
-    role = F.when((role == 3) & (F.col("block") != F.col("mine")), F.lit(2)).otherwise(role)
-    key = F.shiftleft(F.col("leaf"), shift).bitwiseOR(F.shiftleft(F.col("block"), _ROLE_BITS)).bitwiseOR(role.cast("long"))
-    return spread.select(key.alias("key"), "id", "code")
+    joined = placed.withColumn("leaf", leaf).join(full, "leaf", "left")
+    joined = joined.withColumns({c: F.greatest(F.coalesce(c, F.lit(1)), F.lit(1).cast("long")) for c in ("blocks", "parts")})
+    joined = joined.withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("p", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("parts")))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    # an index row lies in its block for every part, an asking row in its part for every block
+    own = lambda r: F.struct(F.col("b").alias("b"), F.col("p").alias("p"), F.lit(r).alias("r"))
+    index = lambda but: F.transform(F.filter(every("parts"), lambda p: p != but), lambda p: F.struct(F.col("b").alias("b"), p.alias("p"), F.lit(0).alias("r")))
+    asks = lambda but: F.transform(F.filter(every("blocks"), lambda b: b != but), lambda b: F.struct(b.alias("b"), F.col("p").alias("p"), F.lit(2).alias("r")))
+    nowhere = F.lit(-1)
+    places = F.when(role == 0, index(nowhere)).when(role == 2, asks(nowhere)).otherwise(F.concat(F.array(own(1)), index(F.col("p")), asks(F.col("b"))))
+    spread = joined.withColumn("at", F.explode(places))
+    at = F.shiftleft(F.shiftleft(F.col("leaf"), _BLOCK_BITS).bitwiseOR(F.col("at.b")), _PART_BITS).bitwiseOR(F.col("at.p"))
+    return spread.select(F.shiftleft(at, _ROLE_BITS).bitwiseOR(F.col("at.r").cast("long")).alias("key"), "id", "code")
+
+
+class _Place:
+    """The index rows of one place, which asking rows meet a tile at a time."""
+
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.base = bits, [], None
+
+    def add(self, ids, role, code):
+        self.parts.append((ids, role, code))
+
+    def close(self):
+        if self.base is None:
+            self.ids = np.concatenate([p[0] for p in self.parts]) if self.parts else np.zeros(0, dtype=np.int64)
+            self.both = np.concatenate([p[1] for p in self.parts]) == 1 if self.parts else np.zeros(0, dtype=bool)
+            self.base = decode(np.concatenate([p[2] for p in self.parts]), self.bits) if self.parts else np.zeros((0, 1), dtype=np.float32)
+            self.parts = []
+
+    def pairs(self, ids, vec, both: bool, least: float):
+        """(a, b): a < b with a cosine of at least ``least``. Of two rows that ask each other here, one does."""
+        sims = vec @ self.base.T
+        i, j = np.nonzero(sims >= least)
+        a, b = ids[i], self.ids[j]
+        ok = (a < b) | ((a != b) & ~self.both[j]) if both else a != b
+        return np.minimum(a, b)[ok], np.maximum(a, b)[ok]
+
+    def best(self, ids, vec, k: int):
+        """(a, b, cosine): the ``k`` highest of each asking row, the smaller id first among equal cosines."""
+        sims = vec @ self.base.T
+        sims[ids[:, None] == self.ids[None, :]] = -2
+        top = min(k, sims.shape[1])
+        floor = np.partition(sims, sims.shape[1] - top, axis=1)[:, -top]
+        i, j = np.nonzero(sims >= np.maximum(floor, -1.5)[:, None] - 1e-5)
+        cosine = np.empty(len(i))
+        for at in range(0, len(i), 1 << 16):
+            x, y = vec[i[at : at + (1 << 16)]].astype(np.float64), self.base[j[at : at + (1 << 16)]].astype(np.float64)
+            cosine[at : at + (1 << 16)] = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+        cosine[sims[i, j] < -1.5] = -2
+        order = np.lexsort((self.ids[j], -cosine, i))
+        i, j, cosine = i[order], j[order], cosine[order]
+        begin = np.searchsorted(i, i)
+        ok = (np.arange(len(i)) - begin < k) & (cosine > -1.5)
+        return ids[i][ok], self.ids[j][ok], cosine[ok]
 
 
 def _meet(placed: DataFrame, bits: int, width: int, least: float | None, k: int) -> DataFrame:
-    """(a, b, near) of each leaf: a the row that asks, b an index row; cosines of the codes at least ``least``
-    (a < b then), or the ``k`` highest of each a."""
-
-    def compare(leaf_rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        ids, role = np.concatenate([r[0] for r in leaf_rows]), np.concatenate([r[1] for r in leaf_rows])
-        vec = decode(np.concatenate([r[2] for r in leaf_rows]), bits)
-        index = role != 2
-        asks = np.flatnonzero(role != 1)
-        if not index.any() or not len(asks):
-            return
-        base, base_ids = np.ascontiguousarray(vec[index].T), ids[index]
-        for at in range(0, len(asks), TILE):
-            part = asks[at : at + TILE]
-            sims = vec[part] @ base
-            if least is not None:
-                i, j = np.nonzero(sims >= least)
-            else:
-                sims[ids[part][:, None] == base_ids[None, :]] = -2
-                top = min(k, sims.shape[1])
-                j = np.argpartition(sims, sims.shape[1] - top, axis=1)[:, -top:].ravel()
-                i = np.repeat(np.arange(len(part)), top)
-            a, b = ids[part][i], base_ids[j]
-            ok = a != b
-            yield a[ok], b[ok], sims[i, j][ok]
-
-    def emit(rows):
-        got = list(compare(rows))
-        if got:
-            a, b, s = (np.concatenate(x) for x in zip(*got))
-            if least is not None:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s.astype(np.float32))], names=["a", "b", "near"])
+    """Of each place (a, b), a < b, with cosines of the codes of at least ``least``, or (a, b, cosine) with the ``k`` highest
+    of each asking row a."""
+
+    def ask(place: _Place, ids, vec, both):
+        place.close()
+        for at in range(0, len(ids) if len(place.ids) else 0, TILE):
+            some, v = ids[at : at + TILE], vec[at : at + TILE]
+            columns = place.pairs(some, v, both, least) if least is not None else place.best(some, v, k)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "cosine"][: len(columns)])
+
+    def finish(place: _Place | None):
+        if place is not None:
+            place.close()
+            yield from ask(place, place.ids[place.both], place.base[place.both], True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        last = None
+        held, last = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column(0).to_numpy()
             place, role = key >> _ROLE_BITS, key & 3
             ids, code = batch.column(1).to_numpy(), _matrix(batch.column(2), "u1", width)
-            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+            edges = [0, *(np.flatnonzero((np.diff(place) != 0) | (np.diff(role == 2) != 0)) + 1).tolist(), batch.num_rows]
             for s, e in zip(edges[:-1], edges[1:]):
-                if last is not None and place[s] != last:
-                    yield from emit(held)
-                    held = []
-                last = place[s]
-                held.append((ids[s:e], role[s:e], code[s:e].copy()))
-        if held:
-            yield from emit(held)
+                if place[s] != last:
+                    yield from finish(held)
+                    held, last = _Place(bits), place[s]
+                if role[s] < 2:
+                    held.add(ids[s:e], role[s:e], code[s:e].copy())
+                else:
+                    yield from ask(held, ids[s:e], decode(code[s:e], bits), False)
+        yield from finish(held)
 
     rows = placed.repartition(F.shiftright("key", _ROLE_BITS)).sortWithinPartitions("key")
-    return rows.mapInArrow(run, "a long, b long, near float")
+    return rows.mapInArrow(run, "a long, b long" + ("" if least is not None else ", cosine double"))
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -309,11 +365,16 @@ def _exact(pairs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     return met.mapInArrow(dot, "a long, b long, cosine double")
 
 
-def _forest(vectors: DataFrame, dim: int, trees: int, leaf: int, seed: int):
-    spark = vectors.sparkSession
-    rows = vectors.count()
-    depth = _depth(rows, leaf)
-    return spark.sparkContext.broadcast(fit(_sample(vectors, rows, dim), trees, depth, seed))
+def _forest(vectors: DataFrame, dim: int, trees: int, depth: int, rows: int, seed: int):
+    """The broadcast forest: its thresholds are 4 bytes a leaf and tree, a small share of the vectors it indexes."""
+    first = min(depth, (SAMPLE // SAMPLE_OF_LEAF).bit_length() - 1)
+    forest = fit(_sample(vectors, rows, dim, SAMPLE), trees, first, seed)
+    rng = np.random.default_rng([seed, 1])
+    for _ in range(first, depth):
+        more = rng.standard_normal((trees, 1, dim)).astype(np.float32)
+        more /= np.linalg.norm(more, axis=2, keepdims=True)
+        forest = _deepened(vectors, rows, Forest(np.concatenate([forest.directions, more], axis=1), forest.thresholds), dim)
+    return vectors.sparkSession.sparkContext.broadcast(forest)
 
 
 def similar_pairs(
@@ -326,36 +387,81 @@ def similar_pairs(
     must not differ. An empty collection gives an empty result. ``vectors`` is read several times and should be
     materialised.
     """
-    bits = 4
-    forest = _forest(vectors, dim, trees, leaf, seed)
-    own = _placed(vectors, forest, dim, bits, trees, None)
-    placed = _blocks(_placed(vectors, forest, dim, bits, visits, None), own)
+    bits, rows = 4, vectors.count()
+    forest = _forest(vectors, dim, trees, _depth(rows, leaf), rows, seed)
+    visits = max(visits, trees)
+    placed = _split(_placed(vectors, forest, dim, bits, visits, None), _placed(vectors, forest, dim, None, visits, None))
     slack = 0.085  # four times the spread of the error of two 4-bit codes
-    near = _meet(placed, bits, 4 + dim // 2, least - slack, 0).select("a", "b").distinct()
+    near = _meet(placed, bits, 4 + dim // 2, least - slack, 0).distinct()
     return _exact(near, vectors, dim).filter(F.col("cosine") >= least)
 
 
+def _highest(met: DataFrame, k: int) -> DataFrame:
+    """The ``k`` highest different b of each a; at most that many a task travel, copies from several trees aside."""
+    order = W.partitionBy("a").orderBy(F.desc("cosine"), "b")
+    return met.withColumn("place", F.dense_rank().over(order)).filter(F.col("place") <= k).dropDuplicates(["a", "b"])
+
+
+def _visits_for(vectors: DataFrame, forest, dim: int, k: int, asks: str, recall: float) -> int:
+    """The least number of visits that finds ``recall`` of the true ``k`` nearest of at most ASKED asking rows."""
+    some = vectors.filter(asks).orderBy(F.xxhash64(F.lit(13), F.col("id")), "id").limit(ASKED)
+    got = some.select("id", "unit").toArrow()
+    ids, units = got.column("id").to_numpy(), _column(some, dim) if got.num_rows else np.zeros((0, dim), "<f4")
+    if not len(ids):
+        return forest.value.directions.shape[0]
+    asked = vectors.sparkSession.sparkContext.broadcast((ids, units))
+
+    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, what = asked.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                place = _Place(32)
+                place.ids, place.both, place.base = part.column(0).to_numpy(), None, _matrix(part.column(1), "<f4", dim)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in place.best(who, what, k)], names=["a", "b", "cosine"])
+
+    true = _highest(vectors.select("id", "unit").mapInArrow(brute, "a long, b long, cosine double"), k).select("a", F.col("b").alias("id"))
+    true = true.join(vectors.select("id", "unit"), "id").select("a", "unit").toArrow()  # at most ASKED x k rows
+    place = {x: i for i, x in enumerate(ids.tolist())}
+    row = np.array([place[a] for a in true.column("a").to_pylist()], dtype=np.int64)
+    found = true.column("unit").combine_chunks()
+    found = _matrix(found if isinstance(found, pa.Array) else pa.concat_arrays(found.chunks), "<f4", dim)
+    f: Forest = forest.value
+    trees = f.directions.shape[0]
+    homes = f.visits(found, trees)
+    count, every = 8 * trees, trees * f.leaves
+    while len(row):
+        count = min(2 * count, every)
+        met = f.visits(units, count)
+        rank = np.full(len(row), every, dtype=np.int64)
+        for at in range(0, len(row), 256):
+            same = (met[row[at : at + 256], :, None] == homes[at : at + 256, None, :]).any(2)
+            rank[at : at + 256] = np.where(same.any(1), same.argmax(1), every)
+        need = int(np.sort(rank)[int(np.ceil(recall * len(rank))) - 1]) + 1
+        if need <= count or count == every:
+            return max(trees, min(need, every))
+    return trees
+
+
 def nearest(
-    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 4, visits: int = 160, leaf: int = 2048, seed: int = 11
+    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 4, visits: int | None = None, leaf: int = 2048, seed: int = 11,
+    recall: float = 0.94, exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour, cosine, place): the ``k`` vectors of the highest cosine for each row whose ``asks`` is true.
 
     The row itself is left out; equal cosines are ordered by the neighbour's id. Fewer than ``k`` rows come out
-    when the collection is smaller.
+    when the collection is smaller. ``visits`` leaves are searched for each row; by default as many as reach ``recall`` on
+    the measured rows. ``exact`` compares each asking row with all vectors, in blocks.
     """
-    bits = 8
-    forest = _forest(vectors, dim, trees, leaf, seed)
-    own = _placed(vectors, forest, dim, bits, trees, None)
-    placed = _blocks(_placed(vectors, forest, dim, bits, visits, asks), own)
-    near = _meet(placed, bits, 4 + dim, None, k + 2)
-    order = W.partitionBy("a").orderBy(F.desc("near"), "b")  # at most visits x (k + 2) rows
-    best = near.groupBy("a", "b").agg(F.max("near").alias("near")).withColumn("_p", F.row_number().over(order)).filter(F.col("_p") <= 2 * k + 4)
-    exact = _exact(best.select("a", "b"), vectors, dim)
-    final = W.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    return (
-        exact.withColumn("place", F.row_number().over(final)).filter(F.col("place") <= k)
-        .select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine", "place")
-    )
+    rows = vectors.count()
+    trees, depth = (1, 0) if exact else (trees, _depth(rows, leaf))
+    forest = _forest(vectors, dim, trees, depth, rows, seed)
+    if visits is None:
+        visits = 1 if exact else _visits_for(vectors, forest, dim, k, asks, recall)
+    visits = max(visits, trees)
+    placed = _split(_placed(vectors, forest, dim, 32, visits, asks), _placed(vectors, forest, dim, None, visits, asks))
+    best = _highest(_meet(placed, 32, 4 * dim, None, k), k)
+    return best.select(F.col("a").alias("id"), F.col("b").alias("neighbour"), "cosine", "place")
 
 
 def joint_collection(results: DataFrame, dim: int = 64) -> DataFrame:

@@ -204,7 +204,7 @@ def place(w: _Words, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, n
             again = tries[b] < TRIES
             r, keep = b[again], b[~again]
             anew[keep] = True
-            pieces[r] += lack[bad][again]
+            pieces[r] += np.maximum(lack[bad][again], pieces[r] >> 5)
             pieces[keep] = np.maximum(2, -(-(whole[keep] - tokens[start[keep]] - overlap) // share))
             start[r] = seen[r] = first[r]
             base[b] = tokens[start[b]]
