@@ -356,18 +356,23 @@ def test_counts_equal_single_signatures():
     counts, classes = TR._Counts(np.full(1 << TR.MAP_BITS - 6, ~np.uint64(0))), TR._Classes()
     ends, inside = Counter(), Counter()
     for words in texts:
-        counts.add(words)
+        counts.add([counts.words[w] for w in words])
+        forms = [w.translate(TR._TABLE) for w in words]
         for i in range(len(words)):
-            (ends if i == len(words) - 1 else inside).update(TR.signatures(words, i, classes))
+            (ends if i == len(words) - 1 else inside).update(TR.signatures(forms, i, classes))
     key, e, i = counts.take()
     assert {k % (1 << 64): (a, b) for k, a, b in zip(key.tolist(), e.tolist(), i.tolist())} == {k: (ends[k], inside[k]) for k in ends.keys() | inside.keys()}
 
 
 def test_pair_checks():
-    lexicon = DF.Lexicon()
-    text = lexicon(DF.words_of_text("Один два три четыре пять шесть семь восемь девять десять"))
-    assert DF.is_copy(text, lexicon(DF.words_of_text("<news> ОДИН ДВА три: четыре пять шесть семь восемь девять новый")))
-    assert not DF.is_copy(text, lexicon(DF.words_of_text("Один два три четыре пять шесть семь восемь")))
+    lexicon = DF.Lexicon(DF.fit_languages([]))
+    text = "Один два три четыре пять шесть семь восемь девять десять"
+    answers = ["<news> ОДИН ДВА три: четыре пять шесть семь восемь девять новый", "Один два три четыре пять шесть семь восемь", None, "", "Ἐν ἀρχῇ ἦν ὁ λόγος καὶ ὁ λόγος ἦν πρὸς τὸν θεόν", text]
+    f = DF.features([text] * 5 + [None], answers, lexicon)
+    assert f.copy.tolist() == [True, False, False, False, False, False] and f.nothing.tolist() == [False, False, True, True, False, False]
+    assert f.foreign[4] and not f.foreign[5] and len(f.grams()) == 6 and f.pair.shape == (6, len(DF.PAIR))
+    one = DF.features([text], answers[:1], lexicon)
+    assert np.array_equal(one.pair[0], f.pair[0]) and np.array_equal(one.places, f.grams()[0])
     assert all(map(DF.is_empty, [None, "", " \n", "—", "N/A", "<s></s>", "[]", "нет ответа", "​"])) and not DF.is_empty("Нет, ответа он не дал.")
     for a, b, d in (("abc", "abd", 1), ("abc", "bc", 1), ("abcd", "badc", 3)):
         assert DF.distance_within(list(a), list(b), d) and not DF.distance_within(list(a), list(b), d - 1)

@@ -2,10 +2,11 @@
 
 A multi-label linear classifier over hashed word n-grams of the answer and features of the pair is trained on
 answers broken on purpose: cut, copied with small changes, swapped with answers in another language, refused and
-emptied. Its thresholds are calibrated on held-out broken answers. What it finds is then checked exactly where
-the defect has an exact definition.
+emptied. Its thresholds are calibrated on held-out broken answers. What the definitions of a copy, an empty answer and
+a foreign answer say of a pair is among the features, and what the classifier finds must also meet them.
 
-Training reads a sample of at most ``SAMPLE`` pairs; every pair is scored, whole.
+Training reads a sample of at most ``SAMPLE`` pairs, those of the smallest hashes; every pair is scored, whole. The features
+of a batch are computed side by side.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tonewright.llm.folding import LOOK_ALIKES, fold
-from tonewright.llm.language import LANGUAGES, ODDS, Languages, fit_languages
-from tonewright.llm.truncation import _CLOSED, _WORD, core_of, find_truncated
+from tonewright.llm.language import ODDS, ODDS_A_LETTER, Languages, fit_languages
+from tonewright.llm.truncation import _CLOSED, _UNIT, _WORD, core_of, find_truncated
 from tonewright.session import cut
 
 #: The defects, the first that applies being the one reported.
@@ -29,9 +31,9 @@ DEFECTS = ("empty", "refusal", "truncated", "copy", "other_language")
 SAMPLE = 6_000
 WORDS = 1 << 17
 #: Share of held-out broken answers that a threshold must let through.
-KEPT = 0.995
-#: How far below that a score may lie, as exact checks follow.
-SLACK = 2.0
+KEPT = 0.998
+#: Most rows and most bytes of text whose features are computed at once (a longer pair stands alone), and most words remembered.
+ROWS, BYTES, REMEMBERED = 4096, 8 << 20, 400_000
 #: Share of changed words of a copy.
 CHANGED = 0.1
 #: What stands in for an answer.
@@ -79,7 +81,8 @@ _TABLE = str.maketrans(LOOK_ALIKES)
 _TAG = re.compile(r"</?[^<>\s]{1,60}>|\[/?(?:отказ|inst|pad|unk|s)\]", re.I)
 _QUOTED = re.compile(r"«[^»]*»|“[^”]*”|\"[^\"]*\"|(?:^|(?<=[.!?…]\s)|\n)\s*[—–][^—–]*[—–]")
 #: Features of a pair, after the hashed words.
-PAIR = ("bias", "no words", "few words", "shared", "covered", "shorter", "longer", "latin", "cyrillic", "script differs", "open end", "mark", "quoted", "tag", "language")
+PAIR = ("bias", "no words", "few words", "shared", "covered", "shorter", "longer", "latin", "cyrillic", "script differs", "open end", "mark", "quoted", "tag", "language",
+        "nothing", "copy", "foreign", "foreign share")
 
 
 def words_of_text(text: str) -> list[str]:
@@ -101,6 +104,12 @@ def distance_within(a: list, b: list, most: int) -> bool:
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
+    s = e = 0
+    while s < min(n, m) and a[s] == b[s]:
+        s += 1
+    while e < min(n, m) - s and a[n - 1 - e] == b[m - 1 - e]:
+        e += 1
+    a, b, n, m = a[s : n - e], b[s : m - e], n - s - e, m - s - e
     big = most + 1
     row = {j: j for j in range(0, min(m, most) + 1)}
     for i in range(1, n + 1):
@@ -119,80 +128,130 @@ def distance_within(a: list, b: list, most: int) -> bool:
     return row.get(m, big) <= most
 
 
-def is_copy(text: list[str], answer: list[str]) -> bool:
-    """Whether an answer holds the words of a text in order, at most one in ten changed, added or missing."""
-    most = int(len(text) * CHANGED)
-    if not text or abs(len(text) - len(answer)) > most:
-        return False
-    if len(set(text) - set(answer)) > most:
-        return False
-    return distance_within(text, answer, most)
-
+class Lexicon(dict):
+    """Numbers of folded words, with what is known of each: code (alike for words written alike), letters, Latin letters,
+    likelihoods by language."""
 
-class Lexicon:
-    """Hashes of words that are written alike, remembered."""
+    def __init__(self, languages: Languages):
+        super().__init__()
+        self.languages = languages
+        self.lists: list[list] = [[], [], [], []]
+        self.arrays = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros((0, languages.width))]
 
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def __call__(self, words: list[str]) -> list[int]:
+    def __missing__(self, word: str) -> int:
         import zlib
 
-        out, known = [], self.known
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                if len(known) > 500_000:
-                    known.clear()
-                h = known[w] = zlib.crc32(w.translate(_TABLE).encode()) & 0x7FFFFFFF
-            out.append(h)
-        return out
-
+        i = self[word] = len(self)
+        code = zlib.crc32(word.translate(_TABLE).encode()) & 0x7FFFFFFF
+        for known, value in zip(self.lists, (code, float(len(word)), float(len(word)) if word[0] < "ɐ" else 0.0, self.languages.row(word))):
+            known.append(value)
+        return i
 
-def ngrams(codes: list[int]) -> np.ndarray:
-    """Places of the words and word pairs of an answer among the weights."""
-    ids = np.array(codes, dtype=np.int64)
-    if len(ids) < 2:
-        return ids % WORDS
-    return np.concatenate([ids, ids[:-1] * 1_000_003 + ids[1:] * 7919]) % WORDS
+    def of(self, text: str) -> list[int]:
+        return list(map(self.__getitem__, _WORD.findall(text)))
 
+    def tables(self) -> list[np.ndarray]:
+        if self.lists[0]:
+            self.arrays = [np.concatenate([a, np.array(x, dtype=a.dtype).reshape(-1, *a.shape[1:])]) for a, x in zip(self.arrays, self.lists)]
+            self.lists = [[], [], [], []]
+        return self.arrays
 
-_NOTHING = np.zeros(len(LANGUAGES))
+    def forget(self) -> None:
+        if len(self) > REMEMBERED:
+            self.clear()
+            self.__init__(self.languages)
 
 
-class Side:
-    """One side of a pair: words, their codes and the likelihoods of languages."""
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``sizes`` rows of ``values``."""
+    out = np.zeros((len(sizes), *values.shape[1:]), dtype=values.dtype)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
 
-    __slots__ = ("text", "words", "codes", "kinds", "languages")
-
-    def __init__(self, text: str | None, lexicon: Lexicon, languages: Languages):
-        self.text = text or ""
-        self.words = words_of_text(self.text) if text else []
-        self.codes = lexicon(self.words)
-        self.kinds = set(self.codes)
-        self.languages = languages.scores(self.words) if self.words else _NOTHING
-
-
-def describe(t: Side, a: Side) -> list[float]:
-    """The features of a pair, in the order of PAIR."""
-    both = len(a.kinds & t.kinds)
-    n, m = len(t.words), len(a.words)
-    latin = sum(len(w) for w in a.words if w[0] < "\u0250")
-    letters = max(sum(map(len, a.words)), 1)
-    text_latin = sum(len(w) for w in t.words if w[0] < "\u0250") * 2 > sum(map(len, t.words))
-    core, mark = core_of(a.text[-100:])
-    own = int(t.languages.argmax())
-    apart = float(a.languages.max() - a.languages[own]) if n else 0.0
-    return [
-        1.0, float(not m), float(0 < m <= 4), both / max(len(a.kinds), 1), both / max(len(t.kinds), 1), float(m < 0.8 * n), float(m > 1.25 * n),
-        latin / letters, 1 - latin / letters if m else 0.0, float(n > 0 and (latin * 2 > letters) != text_latin), float(not _CLOSED.search(core)),
-        float(bool(mark)), float("«" in a.text or "—" in a.text), float("<" in a.text or "[" in a.text), float(apart > ODDS),
-    ]
 
+@dataclass
+class Features:
+    """Features of pairs: those of PAIR, places of the words and word pairs of each answer among the weights, and what the
+    exact definitions say."""
 
-def is_foreign(t: Side, a: Side, languages: Languages) -> bool:
-    """Whether an answer is mostly in another language than its text."""
-    return bool(t.words) and languages.foreign_share(t.words, a.text) > 0.5
+    pair: np.ndarray
+    places: np.ndarray
+    sizes: np.ndarray
+    nothing: np.ndarray
+    copy: np.ndarray
+    foreign: np.ndarray
+
+    def grams(self) -> list[np.ndarray]:
+        return np.split(self.places, np.cumsum(self.sizes)[:-1])
+
+
+def features(texts: list[str | None], answers: list[str | None], lexicon: Lexicon) -> Features:
+    """The features of a batch of pairs."""
+    plain = lambda v: fold(_TAG.sub(" ", v) if "<" in v or "[" in v else v)
+    which: dict[str, int] = {}
+    of_text = np.array([which.setdefault(t or "", len(which)) for t in texts], dtype=np.int64)
+    text_ids = [lexicon.of(plain(t)) for t in which]
+    units: list[list[int]] = []
+    unit_row: list[int] = []
+    answer_ids: list[list[int]] = []
+    ends = np.zeros((len(answers), 4))
+    for i, answer in enumerate(answers):
+        ids: list[int] = []
+        if answer:
+            for unit in plain(_UNIT.sub("\0", answer)).split("\0"):
+                if found := lexicon.of(unit):
+                    units.append(found)
+                    unit_row.append(i)
+                    ids += found
+            core, mark = core_of(answer)
+            ends[i] = not _CLOSED.search(core[-2:]), bool(mark), "«" in answer or "—" in answer, "<" in answer or "[" in answer
+        else:
+            ends[i, 0] = 1.0
+        answer_ids.append(ids)
+    codes, letters, latin, spoken = lexicon.tables()
+    flat = lambda lists: np.fromiter((i for x in lists for i in x), dtype=np.int64)
+    sizes = lambda lists: np.array([len(x) for x in lists], dtype=np.int64)
+    t_all, n_all, a, m = flat(text_ids), sizes(text_ids), flat(answer_ids), sizes(answer_ids)
+    n = n_all[of_text]
+    # distinct words of both sides and those they share
+    a_codes, t_codes = codes[a], codes[t_all]
+    a_row, t_row = np.repeat(np.arange(len(m)), m), np.repeat(np.arange(len(n_all)), n_all)
+    a_keys, t_keys = np.unique(a_row << 31 | a_codes), np.unique(t_row << 31 | t_codes)
+    want = of_text[a_keys >> 31] << 31 | (a_keys & 0x7FFFFFFF)
+    at = np.minimum(np.searchsorted(t_keys, want), max(len(t_keys) - 1, 0))
+    met = t_keys[at] == want if len(t_keys) else np.zeros(len(want), dtype=bool)
+    both = np.bincount((a_keys >> 31)[met], minlength=len(m))
+    kinds, t_kinds = np.bincount(a_keys >> 31, minlength=len(m)), np.bincount(t_keys >> 31, minlength=len(n_all))[of_text]
+    whole, of_latin = _sums(letters[a], m), _sums(latin[a], m)
+    text_latin = (_sums(latin[t_all], n_all) * 2 > _sums(letters[t_all], n_all))[of_text]
+    own = _sums(spoken[t_all], n_all).argmax(1)[of_text]
+    score = _sums(spoken[a], m)
+    apart = np.where(m > 0, score.max(1) - score[np.arange(len(m)), own], 0.0)
+    # letters of sentences that another language fits far better
+    u_row, u_sizes = np.array(unit_row, dtype=np.int64), sizes(units)
+    u_score, u_letters = _sums(spoken[a], u_sizes), _sums(letters[a] * (spoken[a] != 0).any(1), u_sizes)
+    odd = u_score.max(1, initial=-np.inf) - u_score[np.arange(len(u_row)), own[u_row]] > ODDS + ODDS_A_LETTER * u_letters
+    share = np.bincount(u_row, weights=u_letters * odd, minlength=len(m)) / np.maximum(np.bincount(u_row, weights=u_letters, minlength=len(m)), 1)
+    nothing = np.array([k <= 3 and is_empty(answer) for k, answer in zip(m.tolist(), answers)], dtype=bool)
+    foreign = (n > 0) & (share > 0.5) & ~nothing
+    most = (n * CHANGED).astype(np.int64)
+    copy = (n > 0) & (np.abs(n - m) <= most) & (t_kinds - both <= most)
+    a_at, t_at = np.cumsum(m) - m, np.cumsum(n_all) - n_all
+    for i in np.flatnonzero(copy).tolist():
+        t = of_text[i]
+        copy[i] = distance_within(t_codes[t_at[t] : t_at[t] + n[i]].tolist(), a_codes[a_at[i] : a_at[i] + m[i]].tolist(), int(most[i]))
+    of_latin_share = of_latin / np.maximum(whole, 1)
+    pair = np.column_stack([
+        np.ones(len(m)), m == 0, (m > 0) & (m <= 4), both / np.maximum(kinds, 1), both / np.maximum(t_kinds, 1), m < 0.8 * n, m > 1.25 * n, of_latin_share,
+        np.where(m > 0, 1 - of_latin_share, 0.0), (n > 0) & ((of_latin * 2 > whole) != text_latin), ends, apart > ODDS + ODDS_A_LETTER * whole, nothing, copy, foreign, share,
+    ]).astype(float)
+    # words and word pairs; a pair counts with its first word's row
+    joined = np.flatnonzero(np.diff(a_row) == 0)
+    places = np.concatenate([a_codes, a_codes[joined] * 1_000_003 + a_codes[joined + 1] * 7919]) % WORDS
+    order = np.argsort(np.concatenate([a_row, a_row[joined]]), kind="stable")
+    return Features(pair, places[order], m + np.maximum(m - 1, 0), nothing, copy, foreign)
 
 
 @dataclass
@@ -205,9 +264,10 @@ class Model:
     thresholds: np.ndarray
     languages: np.ndarray
 
-    def logits(self, ids: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        found = self.words[ids].sum(0) / np.sqrt(max(len(ids), 1)) if len(ids) else 0.0
-        return found + pair @ self.pair
+    def logits(self, f: Features) -> np.ndarray:
+        """Scores of a batch by defect, without the cut flag."""
+        found = _sums(self.words[f.places], f.sizes) / np.sqrt(np.maximum(f.sizes, 1))[:, None]
+        return found + f.pair @ self.pair
 
 
 def refusal(rng: np.random.Generator) -> str:
@@ -243,110 +303,111 @@ def train(pairs: list[tuple[str | None, str | None, bool]], seed: int = 5) -> Mo
     """Fit the classifier on pairs (text, answer, cut flag) and answers broken on purpose."""
     rng = np.random.default_rng(seed)
     languages = fit_languages([a for _, a, _ in pairs if a] + list({t for t, _, _ in pairs if t}))
-    lexicon = Lexicon()
-    sides = [(Side(t, lexicon, languages), Side(a, lexicon, languages), c) for t, a, c in pairs if t and t.strip()]
-    seeds = set(lexicon([w for lang in REFUSALS.values() for part in lang for p in part for w in words_of_text(p) if len(w) > 3]))
-    rows: list[tuple] = []
-
-    def add(t: Side, a: Side | str, flag, *label):
-        if isinstance(a, str):
-            a = Side(a, lexicon, languages)
-        y = np.array([float(d in label) for d in DEFECTS])
-        rows.append((ngrams(a.codes), np.array(describe(t, a)), float(flag), y))
-
-    def refuses(a: Side) -> int:
-        """Words of refusals outside of quotations; 0 where they are few."""
-        if '"' in a.text or "«" in a.text or "—" in a.text or "“" in a.text:
-            codes = lexicon(words_of_text(_QUOTED.sub(" ", a.text)))
-        else:
-            codes = a.codes
-        hits = sum(c in seeds for c in codes)
-        return hits if codes and len(codes) >= 0.6 * len(a.codes) and hits >= max(2, 0.25 * len(codes)) else 0
-
-    foreign = [a.text for t, a, c in sides if not is_empty(a.text) and is_foreign(t, a, languages) and not refuses(a)][:2000]
-    real = []
-    for t, a, c in sides:
-        if is_empty(a.text):
-            add(t, a, c, "empty")
-        else:
-            label = ["truncated"] if c else []
-            if is_copy(t.codes, a.codes):
-                label.append("copy")
-            elif is_foreign(t, a, languages):
-                label.append("other_language")
-            real.append((t, a, c, label, refuses(a)))
+    lexicon = Lexicon(languages)
+    pairs = [p for p in pairs if p[0] and p[0].strip()]
+    seeds = {w.translate(_TABLE) for lang in REFUSALS.values() for part in lang for p in part for w in words_of_text(p) if len(w) > 3}
+
+    def refuses(answer: str | None) -> bool:
+        """Whether an answer holds many words of refusals outside of quotations."""
+        words = own = words_of_text(answer or "")
+        if answer and any(mark in answer for mark in '"«—“'):
+            own = words_of_text(_QUOTED.sub(" ", answer))
+        hits = sum(w.translate(_TABLE) in seeds for w in own)
+        return bool(own) and len(own) >= 0.6 * len(words) and hits >= max(2, 0.25 * len(own))
+
+    real = _featured([p[:2] for p in pairs], lexicon)
+    doubtful = np.array([not nothing and refuses(p[1]) for nothing, p in zip(real.nothing, pairs)], dtype=bool)
+    labels = np.zeros((len(pairs), len(DEFECTS)))
+    empty, refused, truncated, copy, other = range(len(DEFECTS))
+    labels[:, empty], labels[:, copy], labels[:, other] = real.nothing, real.copy & ~real.nothing, real.foreign & ~real.copy
+    flags = np.array([float(p[2]) for p in pairs])
+    labels[:, truncated] = (flags > 0) & ~real.nothing
+    foreign = [p[1] for p, yes in zip(pairs, real.foreign & ~doubtful) if yes][:2000]
+    made: list[tuple[str, str, float, int]] = []
+    for (text, answer, flag), suspect in zip(pairs, doubtful):
         kind = rng.integers(6)
-        if kind == 0 and len(a.text) > 40 and not refuses(a):
-            add(t, cut_text(a.text, rng), rng.random() < 0.97, "truncated")
+        if kind == 0 and len(answer or "") > 40 and not suspect:
+            made.append((text, cut_text(answer, rng), float(rng.random() < 0.97), truncated))
         elif kind == 1:
-            add(t, copied(t.text, rng), c, "copy")
+            made.append((text, copied(text, rng), float(flag), copy))
         elif kind == 2 and foreign:
-            other = str(rng.choice(foreign))
-            if rng.random() < 0.7:
-                add(t, other, False, "other_language")
-            else:
-                add(Side(other, lexicon, languages), t, False, "other_language")
+            swapped = str(rng.choice(foreign))
+            made.append((text, swapped, 0.0, other) if rng.random() < 0.7 else (swapped, text, 0.0, other))
         elif kind in (3, 4):
             r = refusal(rng)
-            add(t, cut_text(r, rng) if rng.random() < 0.15 and len(r) > 40 else r, False, "refusal")
+            made.append((text, cut_text(r, rng) if rng.random() < 0.15 and len(r) > 40 else r, 0.0, refused))
         elif kind == 5:
-            add(t, str(rng.choice(["", " ", "—", "...", "N/A", "null", "<s></s>", "[]", "нет ответа", "«»"])), False, "empty")
+            made.append((text, str(rng.choice(["", " ", "—", "...", "N/A", "null", "<s></s>", "[]", "нет ответа", "«»"])), 0.0, empty))
+    broken = _featured([p[:2] for p in made], lexicon)
+    made_labels = np.zeros((len(made), len(DEFECTS)))
+    made_labels[np.arange(len(made)), np.array([p[3] for p in made], dtype=np.int64)] = 1.0
+    grams, made_grams = real.grams(), broken.grams()
+
+    def fit(rows: np.ndarray, y: np.ndarray) -> Model:
+        return _fit(
+            made_grams[: len(made)] + [grams[i] for i in rows], np.concatenate([broken.pair, real.pair[rows]]),
+            np.concatenate([[p[2] for p in made], flags[rows]]), np.concatenate([made_labels, y]), rng,
+        )
+
     # real answers enter by rounds: what looks like a refusal is left out at first, then takes the label that the
     # model of the round before gives it when that is sure, so that the wording of the corpus is learnt
-    made, at = list(rows), DEFECTS.index("refusal")
-    del rows[:]
-    for t, a, c, label, doubtful in real:
-        if not doubtful:
-            add(t, a, c, *label)
-    model = _fit([*made, *rows], rng)
+    rows = np.flatnonzero(~doubtful)
+    model = fit(rows, labels[rows])
     for _ in range(2):
-        del rows[:]
-        for t, a, c, label, _doubtful in real:
-            score = model.logits(ngrams(a.codes), np.array(describe(t, a)))[at]
-            if score > 0:
-                for _ in range(3):
-                    add(t, a, c, "refusal")
-            elif score < -3:
-                add(t, a, c, *label)
-        model = _fit([*made, *rows], rng)
+        score = model.logits(real)[:, refused]
+        sure, plain = np.flatnonzero((score > 0) & ~real.nothing), np.flatnonzero((score < -3) | real.nothing)
+        told = np.zeros((len(sure), len(DEFECTS)))
+        told[:, refused] = 1.0
+        model = fit(np.concatenate([sure, sure, sure, plain]), np.concatenate([told, told, told, labels[plain]]))
     model.languages = languages.table
     return model
 
 
-def _fit(rows: list[tuple], rng: np.random.Generator, epochs: int = 8, rate: float = 1.0, ridge: float = 1e-5, size: int = 32) -> Model:
+def _featured(pairs: list[tuple[str | None, str | None]], lexicon: Lexicon) -> Features:
+    parts = [features([p[0] for p in pairs[i : i + ROWS]], [p[1] for p in pairs[i : i + ROWS]], lexicon) for i in range(0, max(len(pairs), 1), ROWS)]
+    return Features(*[np.concatenate([getattr(p, name) for p in parts]) for name in Features.__dataclass_fields__])
+
+
+def _fit(
+    grams: list[np.ndarray], pair_x: np.ndarray, flag_x: np.ndarray, y: np.ndarray, rng: np.random.Generator, epochs: int = 8, rate: float = 1.0,
+    ridge: float = 1e-5, size: int = 32,
+) -> Model:
     """Logistic regression of all labels at once by stochastic gradients; thresholds on the last fifth."""
-    n = len(rows)
-    rows = [rows[i] for i in rng.permutation(n)]
+    n, k = len(grams), len(DEFECTS)
+    mixed = rng.permutation(n)
     hold = max(1, n // 5)
-    fitted, held = rows[: n - hold], rows[n - hold :]
-    k = len(DEFECTS)
+    fitted, held = mixed[: n - hold], mixed[n - hold :]
     words, pair, flag = np.zeros((k, WORDS), np.float32), np.zeros((len(PAIR), k)), np.zeros(k)
     for epoch in range(epochs):
         step = rate / (1 + epoch)
-        order = rng.permutation(len(fitted))
+        order = fitted[rng.permutation(len(fitted))] if len(fitted) else fitted
         for at in range(0, len(order), size):
-            part = [fitted[i] for i in order[at : at + size]]
-            counts = np.array([len(r[0]) for r in part])
-            ids = np.concatenate([r[0] for r in part])
+            part = order[at : at + size]
+            some = [grams[i] for i in part]
+            counts = np.array([len(g) for g in some])
+            ids = np.concatenate(some)
             row = np.repeat(np.arange(len(part)), counts)
             scale = 1 / np.sqrt(np.maximum(counts, 1))
-            x, f, y = np.array([r[1] for r in part]), np.array([r[2] for r in part]), np.array([r[3] for r in part])
+            x, f = pair_x[part], flag_x[part]
             z = x @ pair + np.outer(f, flag)
             for j in range(k):
                 z[:, j] += np.bincount(row, words[j][ids], len(part)) * scale
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]
             for j in range(k):
                 np.subtract.at(words[j], ids, (step * g[:, j] * scale)[row].astype(np.float32))
             pair -= 0.1 * step * (x.T @ g / 4 + ridge * pair)
             flag -= 0.1 * step * (f @ g) / 4
     model = Model(np.ascontiguousarray(words.T), pair, flag, np.zeros(k), np.zeros(0))
+    sizes = np.array([len(g) for g in grams], dtype=np.int64)
+    whole = Features(pair_x, np.concatenate(grams) if n else np.zeros(0, np.int64), sizes, *[np.zeros(n, bool)] * 3)
+    scores = model.logits(whole) + np.outer(flag_x, flag)
     for j in range(k):
-        scores = sorted(float(model.logits(r[0], r[1])[j] + r[2] * flag[j]) for r in held if r[3][j])
-        model.thresholds[j] = min(scores[int((1 - KEPT) * len(scores))], 0.0) - SLACK if scores else 0.0
+        true = np.sort(scores[held, j][y[held, j] > 0]) if n else np.zeros(0)
+        model.thresholds[j] = min(true[int((1 - KEPT) * len(true))], 0.0) if len(true) else 0.0
     # no exact check stands behind a refusal, so its threshold also keeps all but one in 2,000 other answers out
     j = DEFECTS.index("refusal")
-    others = sorted(float(model.logits(r[0], r[1])[j] + r[2] * flag[j]) for r in rows if not r[3][j])
-    model.thresholds[j] = max(model.thresholds[j] + SLACK, others[int(0.9995 * (len(others) - 1))] if others else 0.0)
+    others = np.sort(scores[:, j][y[:, j] == 0])
+    model.thresholds[j] = max(model.thresholds[j], others[int(0.9995 * (len(others) - 1))] if len(others) else 0.0)
     return model
 
 
@@ -361,38 +422,40 @@ def find_defects(df: DataFrame, id_col: str, text: str, answer: str, fields: dic
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{answer}`").alias("answer"))
     cut_rows = find_truncated(df, id_col, fields).filter(F.col("field") == answer).select(F.col(id_col).alias("id"), F.lit(True).alias("cut")).distinct()
     cut_rows = cut(cut_rows)
-    total = rows.count()
-    thin = max(1, total // sample)
-    some = rows.filter(F.pmod(F.xxhash64(F.lit(23), "id", "answer"), F.lit(thin)) == 0).limit(sample)
-    taken = some.join(cut_rows, "id", "left").select("text", "answer", F.coalesce("cut", F.lit(False)).alias("cut"), "id").orderBy("id", "answer").collect()
+    thin = max(1, rows.count() // (2 * sample))
+    mark = F.xxhash64(F.lit(23), "id", "answer")
+    some = rows.filter(F.pmod(mark, F.lit(thin)) == 0).orderBy(mark, "id", "answer", "text").limit(sample)
+    taken = some.join(cut_rows, "id", "left").select("text", "answer", F.coalesce("cut", F.lit(False)).alias("cut"), "id").collect()
+    taken.sort(key=lambda r: (str(r["id"]), r["answer"] or "", r["text"] or ""))
     model = spark.sparkContext.broadcast(train([(r["text"], r["answer"], r["cut"]) for r in taken]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
-        languages, lexicon = Languages(m.languages), Lexicon()
+        lexicon = Lexicon(Languages(m.languages))
         empty, refused, _, copy, other = range(len(DEFECTS))
         reach = m.thresholds - np.maximum(m.flag, 0)  # what may pass once the flag is known
-        t = Side(None, lexicon, languages)
-        for batch in batches:
-            out: list[list] = [[] for _ in DEFECTS]
-            for text, answer in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if (text or "") != t.text:
-                    t = Side(text, lexicon, languages)
-                a = Side(answer, lexicon, languages)
-                z = m.logits(ngrams(a.codes), np.array(describe(t, a)))
-                near = (z >= reach).tolist()
-                nothing = is_empty(answer)
-                near[empty] = near[empty] and nothing
-                near[refused] = near[refused] and not nothing
-                near[copy] = near[copy] and is_copy(t.codes, a.codes)
-                near[other] = near[other] and not nothing and is_foreign(t, a, languages)
-                for column, value, ok in zip(out, z.tolist(), near):
-                    column.append(value if ok else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.float64()) for c in out]], names=["id", *DEFECTS])
+        for whole in batches:
+            sizes = [pc.fill_null(pc.binary_length(whole.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2)]
+            ends = np.cumsum(sizes[0] + sizes[1])
+            at = 0
+            while at < whole.num_rows:
+                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, "right"))
+                batch = whole.slice(at, max(1, min(to - at, ROWS)))
+                at += batch.num_rows
+                f = features(batch.column(1).to_pylist(), batch.column(2).to_pylist(), lexicon)
+                z = m.logits(f)
+                near = z >= reach
+                near[:, empty] &= f.nothing
+                near[:, refused] &= ~f.nothing
+                near[:, copy] &= f.copy
+                near[:, other] &= f.foreign
+                lexicon.forget()
+                keep = near.any(1)
+                columns = [pa.array(z[keep, j], mask=~near[keep, j]) for j in range(len(DEFECTS))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), *columns], names=["id", *DEFECTS])
 
     kind = rows.schema["id"].dataType.simpleString()
     scored = rows.mapInArrow(score, f"id {kind}, " + ", ".join(f"{d} double" for d in DEFECTS))
-    scored = scored.filter(" or ".join(f"{d} is not null" for d in DEFECTS))
     m: Model = model.value
     flagged = scored.join(cut_rows, "id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
     defect = F.lit(None).cast("string")

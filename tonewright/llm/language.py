@@ -1,4 +1,7 @@
-"""Languages of sentences: a character model that starts from a few function words and learns from the corpus."""
+"""Languages of sentences: a character model that starts from a few function words and learns from the corpus.
+
+Words in a script of none of the listed languages count for one more language, which stands for all of those.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +18,21 @@ FUNCTION_WORDS = {
     "sr": "и у не на да како то га из за је био била кад после све он она они али ако где већ још или кроз само тај тако ево поред зашто нико није опет се код од са",
     "en": "the and of to in that it was for on with as he she they but if where already or after through only this so here by who not had his her again about from",
     "de": "der die das und in nicht dass es war für auf mit als er sie aber wenn wo schon noch oder nach durch nur dieser so hier von wer hatte sein wieder über aus zu den dem",
+    "es": "el la los las y de que en un una no se por con para como pero si donde ya todavía o después solo este así aquí quien había su otra vez sobre del al más muy",
+    "it": "il lo la gli le e di che in un una non si per con come ma se dove già ancora o dopo solo questo così qui chi aveva suo di nuovo sulla del della nella più molto",
+    "pt": "o a os as e de que em um uma não se por com para como mas onde já ainda ou depois só este assim aqui quem tinha seu outra vez sobre do da no na mais muito",
+    "pl": "i w nie na że co jak to jego z dla był była było żeby kiedy potem wszystko ten po od do za o on ona oni ale czy jeśli gdzie już jeszcze albo przez tylko tak oto się",
+    "nl": "de het een en van dat in niet is was voor op met als hij zij maar of waar al nog na door alleen deze zo hier wie had zijn weer over uit te den",
+    "tr": "ve bir bu için da de ne gibi ama eğer nerede zaten hâlâ veya sonra kadar sadece böyle burada kim onun yine hakkında ile çok daha değil her şey o ben",
     "fr": "le la les et de du des dans que il elle était pour sur avec comme mais si où déjà encore ou après par seulement ce cette ainsi ici qui ne pas son sa jusqu au un une",
 }
 LANGUAGES = list(FUNCTION_WORDS)
 DIM = 1 << 14
 #: Share of the even distribution in each language's trigrams, and the odds (in logarithms) a sentence needs to
-#: count as foreign.
-EVEN, ODDS = 0.1, 4.0
+#: count as foreign: so many, and so many more a letter, as the trigrams of a sentence overlap and repeat each other's evidence.
+EVEN, ODDS, ODDS_A_LETTER = 0.1, 4.0, 0.5
+#: Log-likelihood of a trigram in a script that a language does not use.
+NEVER = -14.0
 _SEEDS: dict[str, list[int]] = {}
 for _n, _text in enumerate(FUNCTION_WORDS.values()):
     for _w in _text.split():
@@ -50,42 +61,25 @@ def votes(words: list[str]) -> np.ndarray:
     return out
 
 
+def _elsewhere(word: str) -> bool:
+    """Whether a word is written in a script of none of the listed languages."""
+    return word[0].isalpha() and not ("a" <= word[0] < "\u0250" or "\u0400" <= word[0] < "\u0530")
+
+
 class Languages:
-    """Log-likelihoods of the character trigrams of words by language, with remembered words."""
+    """Log-likelihoods of the character trigrams of words by language, the last place being that of other scripts."""
 
     def __init__(self, table: np.ndarray):
-        self.table, self.known = table, {}
-        self.rows = np.zeros((1024, len(LANGUAGES)))
-
-    def row(self, word: str) -> int:
-        """Where ``rows`` holds the log-likelihoods of a word."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= 400_000:
-                self.known.clear()
-            got = self.known[word] = len(self.known)
-            if got >= len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.rows[got] = 0.0 if word[0].isdigit() else self.table[_grams(word)].sum(0)
-        return got
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Log-likelihoods of a list of words by language."""
-        known = self.known
-        at = [known[w] if w in known else self.row(w) for w in words]
-        return self.rows[at].sum(0) if at else np.zeros(len(LANGUAGES))
-
-    def foreign_share(self, text_words: list[str], answer: str) -> float:
-        """Share of an answer's letters in sentences that another language than the text's fits far better."""
-        own = int(self.scores(text_words).argmax())
-        foreign = whole = 0
-        for unit in units_of(answer):
-            letters = sum(len(w) for w in unit if not w[0].isdigit())
-            score = self.scores(unit)
-            whole += letters
-            if score.max() - score[own] > ODDS:
-                foreign += letters
-        return foreign / whole if whole else 0.0
+        self.table, self.width = table, len(LANGUAGES) + 1
+
+    def row(self, word: str) -> np.ndarray:
+        """The log-likelihoods of a word; zeros for a number."""
+        if word[0].isdigit():
+            return np.zeros(self.width)
+        grams = _grams(word)
+        if _elsewhere(word):
+            return np.append(np.full(len(LANGUAGES), NEVER * len(grams)), 0.0)
+        return np.append(self.table[grams].sum(0), NEVER * len(grams))
 
 
 def fit_languages(texts: list[str]) -> Languages:

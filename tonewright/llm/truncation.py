@@ -17,7 +17,6 @@ may ask for are counted: a bitmap of fixed size, made beforehand, drops most oth
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -30,9 +29,11 @@ from tonewright.session import cut
 
 #: Bits of the map of signatures that are asked for (as a power of two), and least count of a signature in use.
 MAP_BITS, LEAST_SEEN = 27, 4
-#: Most words of a closing formula, longest prefix of a word that is looked up, and how many times more frequent
-#: than the whole word its longer words are when it is broken.
-FORMULA, LONGEST, RARER = 3, 24, 100
+#: Most words of a closing formula, and how many times more frequent than the whole word its longer words are when it is
+#: broken.
+FORMULA, RARER = 3, 100
+#: Words and distinct words that a task counts before it passes on what it has.
+PENDING, KNOWN = 200_000, 400_000
 #: Lengths of signatures in words.
 LENGTHS = (1, 2, 3, 4, 5, 6, 8, 10, 12)
 FINE = 5
@@ -41,7 +42,8 @@ OPEN_SHARE, WEAK_SHARE = 0.35, 0.2
 #: What is put behind a break. Strong marks are used for breaks only.
 STRONG = re.compile(r"(?:�|\[\s*(?:\.\.\.|…)\s*\]|<\s*(?:\.\.\.|…)\s*>|\((?:обрезано|cut|truncated)\)|\[(?:обрезано|cut|truncated)\])[\s.…]*$", re.I)
 WEAK = re.compile(r"(?:…|\.{2,})\s*$")
-_SPACE = re.compile("[\\s\\u00ad\\u200b-\\u200f\\u2060\\ufeff]+$")
+_BLANK = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_UNSEEN = _BLANK + "\u00ad\u200b\u200c\u200d\u200e\u200f\u2060\ufeff"
 _CLOSED = re.compile(r"[.!?)\]»”\"'*>]$|[\U0001F000-\U0001FAFF☀-➿️]$")
 _OPEN_TAIL = re.compile(r"[,:;(«“\[]$|\s[—–-]$")
 _UNIT = re.compile(r"(?<=[.!?…)»\"])\s+(?=[«\"—–(-]{0,2}\s?[A-ZА-ЯЁІЇЄ0-9])|\n+")
@@ -113,10 +115,10 @@ def core_of(value: str) -> tuple[str, str]:
     """A value without what stands behind its possible break, and the kind of that: '', 'weak' or 'strong'."""
     kind = ""
     while True:
-        value = _SPACE.sub("", value)
-        if m := STRONG.search(value):
+        value = value.rstrip(_UNSEEN)
+        if value.rstrip(_BLANK + ".…")[-1:] in ("�", "]", ">", ")") and (m := STRONG.search(value)):
             kind, value = "strong", value[: m.start()]
-        elif m := WEAK.search(value):
+        elif value.endswith(("…", "..")) and (m := WEAK.search(value)):
             kind, value = kind or "weak", value[: m.start()]
         else:
             return value, kind
@@ -136,30 +138,82 @@ def continuation(core: str, neighbour: str | None) -> str:
     return "whole"
 
 
+class _Vocabulary(dict):
+    """Numbers of folded words; words of one form have one number."""
+
+    def __init__(self, classes: _Classes):
+        super().__init__()
+        self.classes, self.by_form = classes, {}
+        self.forms: list[str] = []
+        self.rows: list[tuple[int, int, int, int]] = []
+        self.hashes: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        form = word.translate(_TABLE)
+        i = self.by_form.get(form)
+        if i is None:
+            import xxhash
+
+            i = self.by_form[form] = len(self.forms)
+            self.forms.append(form)
+            self.rows.append(self.classes.of(form))
+            self.hashes.append(xxhash.xxh3_64_intdigest(form))
+        self[word] = i
+        return i
+
+    def of(self, text: str) -> list[int]:
+        return list(map(self.__getitem__, _WORD.findall(fold(text))))
+
+
 class _Counts:
-    """Counts of the signatures of whole sentences, all sentences of a batch at a time; only those in ``bitmap``."""
+    """Counts of a task: its words, the openings of its sentences, and the signatures of whole sentences that are in ``bitmap``,
+    all sentences since the last call at a time."""
 
     def __init__(self, bitmap: np.ndarray):
         self.bitmap, self.classes = bitmap, _Classes()
-        self.index: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []
-        self.ids: list[int] = []
+        self.begin()
+
+    def begin(self) -> None:
+        self.words = _Vocabulary(self.classes)
+        self.ids: list[int] = []  # of whole sentences
         self.sizes: list[int] = []
+        self.others: list[int] = []  # whole words of last sentences
+        self.seen = np.zeros(0, dtype=np.int64)
+        self.openings: set[int] = set()
 
-    def add(self, words: list[str]) -> None:
-        index = self.index
-        for w in words:
-            i = index.get(w)
-            if i is None:
-                i = index[w] = len(index)
-                self.rows.append(self.classes.of(w))
-            self.ids.append(i)
+    def add(self, words: list[int]) -> None:
+        self.ids += words
         self.sizes.append(len(words))
 
+    def opening(self, words: list[int]) -> int:
+        """The key of some first words."""
+        hashes = self.words.hashes
+        return (sum(hashes[w] * f for w, f in zip(words, _FACTORS)) + len(words) * _START) & _MASK
+
+    def begun(self, words: list[int]) -> None:
+        for k in range(1, min(FORMULA, len(words) - 1) + 1):
+            self.openings.add(self.opening(words[:k]))
+
+    def add_up(self) -> None:
+        """Words and openings of what is pending."""
+        ids, sizes = np.array(self.ids, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
+        n = len(self.words.forms)
+        self.seen = np.concatenate([self.seen, np.zeros(n - len(self.seen), dtype=np.int64)])
+        self.seen += np.bincount(ids, minlength=n) + np.bincount(np.array(self.others, dtype=np.int64), minlength=n)
+        self.others = []
+        first, hashes = np.cumsum(sizes) - sizes, np.array(self.words.hashes, dtype=np.uint64)
+        for k in range(1, FORMULA + 1):
+            at = first[sizes > k]
+            key = np.full(len(at), k * _START & _MASK, dtype=np.uint64)
+            for j in range(k):
+                key += hashes[ids[at + j]] * np.uint64(_FACTORS[j])
+            self.openings.update(np.unique(key).tolist())
+
     def take(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, ends, inside) of the sentences since the last call: those of ``signatures`` at each of their words."""
         sizes = np.array(self.sizes, dtype=np.int64)
-        near, far, near_c, far_c = np.array(self.rows, dtype=np.uint64).reshape(-1, 4)[np.array(self.ids, dtype=np.int64)].T.copy()
+        self.add_up()
+        near, far, near_c, far_c = np.array(self.words.rows, dtype=np.uint64).reshape(-1, 4)[np.array(self.ids, dtype=np.int64)].T.copy()
         at = np.arange(len(near)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         end = at == np.repeat(sizes, sizes) - 1
         fine, coarse = np.zeros(len(at), dtype=np.uint64), np.ones(len(at), dtype=np.uint64)
@@ -183,8 +237,6 @@ class _Counts:
             if k + 1 in LENGTHS:
                 put((fine if k < FINE else coarse)[rest], end[rest])
         self.ids, self.sizes = [], []
-        if len(self.index) > 200_000:
-            self.index, self.rows = {}, []
         if not keys:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         key, place = np.unique(np.concatenate(keys), return_inverse=True)
@@ -221,7 +273,7 @@ def asked_signatures(values: DataFrame) -> np.ndarray:
     return bitmap
 
 
-def _describe(core: str, mark: str, units: list[str], words: list[str], before: str | None, after: str | None) -> tuple[str, bool]:
+def _describe(core: str, mark: str, units: list[str], words: list, before: str | None, after: str | None) -> tuple[str, bool]:
     """Verdict ('cut', 'whole', '?' for the signature to decide, '' for the words alone to decide) and whether the core
     is closed. ``units`` are the sentences of the core, ``words`` the words of the last."""
     closed = bool(_CLOSED.search(core[-2:]))
@@ -268,9 +320,8 @@ def cut_values(values: DataFrame) -> DataFrame:
     bitmap = spark.sparkContext.broadcast(asked_signatures(values))
 
     def sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, counts = _Classes(), _Counts(bitmap.value)
-        words: Counter = Counter()
-        openings: Counter = Counter()
+        counts = _Counts(bitmap.value)
+        classes = counts.classes
         out: list[list] = [[], [], [], [], [], [], []]
         before: str | None = None
         group: list[tuple] = []  # the last values, of one core
@@ -299,31 +350,33 @@ def cut_values(values: DataFrame) -> DataFrame:
                 column.extend(value)
 
         def tell():
-            for kind, seen in (("word", words), ("opening", openings)):
-                for w, n in seen.items():
-                    put(kind, None, None, None, w, n)
-                seen.clear()
+            forms = counts.words.forms
+            for i in np.flatnonzero(counts.seen).tolist():
+                put("word", None, None, None, forms[i], int(counts.seen[i]))
+            for key in counts.openings:
+                put("opening", None, None, None, None, key - (1 << 64) if key >> 63 else key)
+            counts.begin()
 
         def judge(value, h1, h2, core, mark, after):
             sentences = [u for u in _UNIT.split(core) if u and not u.isspace()]
-            units = [_words(u) for u in sentences]
+            units = [counts.words.of(u) for u in sentences]
             last = units[-1] if units else []
             verdict, closed = _describe(core, mark, sentences, last, before, after)
             keys = None
+            forms = counts.words.forms
             if verdict == "?":
-                keys = [k - (1 << 64) if k >> 63 else k for k in signatures(last, len(last) - 1, classes)]
+                near = [forms[i] for i in last[-LENGTHS[-1] :]]
+                keys = [k - (1 << 64) if k >> 63 else k for k in signatures(near, len(near) - 1, classes)]
                 verdict = "?" + (" weak" if mark else "") + ("" if core[-1:].isalnum() else " other")
-            put("value", h1, h2, verdict, last[-1] if last else "", int(closed), keys=keys)
+            put("value", h1, h2, verdict, forms[last[-1]] if last else "", int(closed), keys=keys)
             for unit in units[:-1]:
-                words.update(unit)
                 if unit:
                     counts.add(unit)
-            words.update(last[:-1])
-            for unit in units:
-                for k in range(1, min(FORMULA, len(unit) - 1) + 1):
-                    openings[" ".join(unit[:k])] += 1
+            counts.others += last[:-1]
+            counts.begun(last)
             if last and not closed and len(last) <= FORMULA:
-                put("formula", h1, h2, verdict, " ".join(last), 1)
+                key = counts.opening(last)
+                put("formula", h1, h2, verdict, None, key - (1 << 64) if key >> 63 else key)
 
         def edge(which):
             for value, h1, h2, _, _ in group:
@@ -348,18 +401,18 @@ def cut_values(values: DataFrame) -> DataFrame:
                     pass_group(value)
                 group.append((value, h1, h2, core, mark))
                 held = value
-            if len(words) + len(openings) > 200_000:
-                tell()
-            if len(counts.ids) > 200_000:
-                count()
+                if len(counts.ids) + len(counts.others) > PENDING:
+                    count()
+                    if len(counts.words.forms) + len(counts.openings) > KNOWN:
+                        tell()
             yield flush()
         if group:
             if before is not None:
                 put("edge", None, None, "last", before, 0)
             edge("last")
             pass_group(None)
-        tell()
         count()
+        tell()
         yield flush()
 
     h1, h2 = _hashes(F.col("value"))
@@ -382,19 +435,21 @@ def cut_values(values: DataFrame) -> DataFrame:
     judged = _by_signature(seen)
     vocabulary = seen.filter("kind = 'word'").groupBy("word").agg(F.sum("n").alias("n"))
     asked = judged.filter("verdict in ('', 'whole?', 'cut?')")
-    # a last word is broken when it is a strict prefix of words that are far more frequent than it is whole
-    lengths = F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(LONGEST)))
-    prefixes = vocabulary.filter(F.length("word") > 1).select(F.explode(F.transform(lengths, lambda k: F.substring("word", F.lit(1), k))).alias("word"), "n")
-    last = asked.select("word").distinct()
-    longer = prefixes.join(last, "word", "left_semi").groupBy("word").agg(F.sum("n").alias("longer"))
-    broken = longer.join(vocabulary, "word", "left").filter(F.coalesce("n", F.lit(0)) * RARER <= F.col("longer"))
+    # a last word is broken when it is a strict prefix of words that are far more frequent than it is whole; prefixes are
+    # made of the lengths only that last words have, and meet as hashes
+    last = asked.select("word").distinct().select("word", F.length("word").alias("k"), F.xxhash64("word").alias("h"))
+    lengths = F.broadcast(last.agg(F.collect_set("k").alias("ks")))  # at most as many numbers as the longest word has letters
+    shorter = F.filter("ks", lambda k: k < F.length("word"))
+    prefixes = vocabulary.crossJoin(lengths).select(F.explode(F.transform(shorter, lambda k: F.struct(k.alias("k"), F.xxhash64(F.substring("word", F.lit(1), k)).alias("h")))).alias("p"), "n")
+    longer = prefixes.groupBy("p.k", "p.h").agg(F.sum("n").alias("longer"))
+    broken = last.join(longer, ["k", "h"]).join(vocabulary, "word", "left").filter(F.coalesce("n", F.lit(0)) * RARER <= F.col("longer"))
     by_word = asked.join(broken, "word", "left_semi").select("h1", "h2")
     # a short last unit that many values share and that begins nothing longer is a closing formula
-    units = seen.filter("kind = 'formula'").select("h1", "h2", "word")
-    shared = units.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1")
-    begun = seen.filter("kind = 'opening'").select("word").distinct()
-    formulas = shared.join(begun, "word", "left_anti")
-    spared = units.join(formulas, "word", "left_semi").select("h1", "h2")
+    units = seen.filter("kind = 'formula'").select("h1", "h2", F.col("n").alias("key"))
+    shared = units.groupBy("key").agg(F.count("*").alias("times")).filter("times > 1")
+    begun = seen.filter("kind = 'opening'").select(F.col("n").alias("key")).distinct()
+    formulas = shared.join(begun, "key", "left_anti")
+    spared = units.join(formulas, "key", "left_semi").select("h1", "h2")
     spared = spared.join(by_word, ["h1", "h2"], "left_anti")
     guessed = judged.filter("verdict = 'cut?'").select("h1", "h2").join(spared, ["h1", "h2"], "left_anti")
     known = judged.filter("verdict = 'cut'").select("h1", "h2")
