@@ -13,7 +13,7 @@ from tonewright.llm import neighbours as N
 from tonewright.llm import splits as SP
 from tonewright.llm import truncation as TR
 from tonewright.llm.folding import author_key
-from tonewright.llm.mixing import allocate, mix_sources
+from tonewright.llm.mixing import allocate, mix_sources, owed
 from tonewright.llm.splitting import split_oversized
 from tonewright.llm.tokens import decode_corpus, encode_corpus, encoder, token_sizes, tokenizer_path
 from tonewright.llm.topn import top_n_per_group
@@ -145,6 +145,19 @@ def test_mix(spark):
     assert [s.tokens for s in shares] == [10, 90]
 
 
+def test_copies_of_a_text_share_its_odds(spark):
+    assert owed(30, {1: 20, 2: 20}, 1) == {1: 1.0, 2: 0.5} and owed(80, {1: 20, 2: 20}, 2) == {1: 2.0, 2: 2.0}
+    assert owed(15, {1: 10, 4: 40}, 3) == {1: 0.75, 4: 0.1875}
+    rows = [(i, f"слово {i} кот", "s") for i in range(800)] + [(1000 + i, f"повтор {i % 200} кот", "s") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([(f"m{k}", "s", 1.0, 1, 0.3) for k in range(6)], "mix_name string, source string, target_share double, max_repeats int, size_ratio double")
+    mix, report = mix_sources(docs, targets, "doc_id", "text", "source")
+    drawn = Counter((r["mix_name"], r["doc_id"] >= 1000) for r in mix.collect())
+    once, often = (sum(n for (_, many), n in drawn.items() if many == m) / 4800 for m in (False, True))
+    assert often / once == pytest.approx(0.25, abs=0.06) and once == pytest.approx(0.48, abs=0.05)
+    assert all(abs(r["tokens"] - r["wanted_tokens"]) < 30 for r in report.collect())
+
+
 def test_author_spellings():
     same = ["Сергей Кибагиденов", "Кибагиденов, Сергей", "СЕРГЕЙ КИБАГИДЕНОВ", "Сep​гeй Кибaгидeнoв", "<сергей_кибагиденов>", "Сергей Кибагиденов"]
     assert len({author_key(a) for a in same}) == 1

@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's tokens in a mix are its share of the wanted size, limited by ``max_repeats`` times what it has; what
-a short source leaves over goes to the others in proportion to their shares. Every document of a source then
-gets the whole copies that are certain, and the rest is drawn: documents are ranked by random odds over
-inclusion odds (Pareto order sampling) and taken from the smallest rank on until the tokens are reached.
+a short source leaves over goes to the others in proportion to their shares. Every document of a source is then owed some
+copies: rows of the same text share those of one, as far as ``max_repeats`` allows, so that no text counts more for having
+been delivered more often. Whole copies are certain, and the rest is drawn: documents are ranked by random odds over
+their own inclusion odds (Pareto order sampling) and taken from the smallest rank on until the tokens are reached.
 
 The place where the drawing stops is found without sorting a source: ranks are counted in 4,096 bins, the bin
 of the cut again in 4,096, and only the rows of that last bin (one in 16 million) are put in order.
@@ -22,7 +23,7 @@ from tonewright.session import cut
 
 BINS = 4096
 #: Most rows of the table of targets, which is a setting and is read by the driver.
-MOST_TARGETS = 100_000
+MOST_TARGETS = 10_000
 
 
 @dataclass(frozen=True)
@@ -77,6 +78,19 @@ def allocate(targets: list[dict], available: dict[str, int], total: int) -> list
     return out
 
 
+def owed(tokens: float, sums: dict[int, int], most: int) -> dict[int, float]:
+    """Copies owed to a document by how often its text occurs, from the tokens of each such class: ``min(most, x / times)`` with
+    the ``x`` that gives ``tokens`` in all."""
+    left, full = tokens, {}
+    for times in sorted(sums):  # rarer texts reach the cap first
+        x = left / sum(t / k for k, t in sums.items() if k not in full)
+        if x / times < most:
+            return full | {k: x / k for k in sums if k not in full}
+        full[times] = float(most)
+        left = max(left - most * sums[times], 0.0)
+    return full
+
+
 def _bin_of_cut(rows: DataFrame, keys: list[str], bin_col: str, rest: str) -> DataFrame:
     """For each stratum the bin in which ``rest`` tokens are reached, and the tokens before it."""
     sums = rows.groupBy(*keys, rest, bin_col).agg(F.sum("n_tokens").alias("_sum"))
@@ -101,45 +115,52 @@ def mix_sources(
 
     The wanted size of a mix is ``size_ratio`` of the tokens of all documents, those of null or unlisted sources
     included. Documents without tokens (null and empty texts) add nothing and are never drawn; a null source
-    belongs to no mix. Repeated rows are separate documents. The draw depends on ``seed``, the mix, the id and
+    belongs to no mix. Repeated rows are separate documents that share the copies of their text; how often a text occurs in its
+    source counts in powers of two. The draw depends on ``seed``, the mix, the id and
     the text only, so it is the same for any partitioning. Empty tables give an empty mix.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source}`").alias("source"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text"),
+        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), F.col(f"`{text}`")).alias("h"), F.xxhash64(F.col(f"`{text}`")).alias("same"),
+        F.col(f"`{text}`").alias("text"),
     )
     sizes = cut(token_sizes(rows, "text", path, head_words=head_words).filter("n_tokens > 0"))
+    repeated = sizes.groupBy("source", "same").agg(F.count("*").alias("times")).filter("times > 1")
+    sizes = sizes.join(repeated, ["source", "same"], "left").withColumn("times", F.pow(F.lit(2), F.floor(F.log2(F.coalesce("times", F.lit(1))))).cast("long")).drop("same")
     wanted = targets.select(
         "mix_name", "source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int"), F.col("size_ratio").cast("double")
     ).limit(MOST_TARGETS + 1).collect()
     if len(wanted) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} rows of targets")
     names = spark.createDataFrame([(n,) for n in {r["source"] for r in wanted if r["source"]}] or [("",)], "source string").filter("source <> ''")
-    sums = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"))
+    sums = cut(sizes.groupBy("source", "times").agg(F.sum("n_tokens").alias("t")))
     total = sums.agg(F.sum("t")).first()[0] or 0
-    available = {r["source"]: r["t"] for r in sums.join(names, "source", "left_semi").collect()}
+    classes: dict[str, dict[int, int]] = {}
+    for r in sums.join(names, "source", "left_semi").collect():  # at most 63 a source
+        classes.setdefault(r["source"], {})[r["times"]] = r["t"]
+    available = {s: sum(c.values()) for s, c in classes.items()}
     shares = allocate([r.asDict() for r in wanted], available, total)
 
     strata = []
     for s in shares:
         if s.tokens <= 0:
             continue
-        copies = s.tokens / s.available
-        certain = int(copies + 1e-9)
-        rest = max(s.tokens - certain * s.available, 0.0)
-        strata.append((s.mix, s.source, certain, rest / s.available, rest))
-    plan = spark.createDataFrame(strata, "mix_name string, source string, certain int, odds double, rest double")
-    drawn = sizes.join(F.broadcast(plan), "source")  # at most MOST_TARGETS rows
+        copies = owed(s.tokens, classes[s.source], s.max_repeats)
+        parts = {k: (int(c + 1e-9), max(c - int(c + 1e-9), 0.0)) for k, c in copies.items()}
+        rest = sum(odds * classes[s.source][k] for k, (_, odds) in parts.items())
+        strata += [(s.mix, s.source, k, certain, odds, rest) for k, (certain, odds) in parts.items()]
+    plan = spark.createDataFrame(strata, "mix_name string, source string, times long, certain int, odds double, rest double")
+    drawn = sizes.join(F.broadcast(plan), ["source", "times"])  # at most 63 rows a target
     u = (F.shiftrightunsigned(F.xxhash64("h", "mix_name"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     # Pareto rank: odds of a uniform number over the odds of inclusion; ranks x in (0, inf) become x / (1 + x)
     x = (F.col("u") / (1 - F.col("u"))) / (F.col("odds") / (1 - F.col("odds")))
-    drawn = drawn.withColumn("u", u).withColumn("rank", F.when(F.col("rest") > 0, x / (1 + x)))
+    drawn = drawn.withColumn("u", u).withColumn("rank", F.when(F.col("odds") > 0, x / (1 + x)))
     drawn = drawn.withColumn("b1", F.floor(F.col("rank") * BINS)).withColumn(
         "b2", F.floor((F.col("rank") * BINS - F.col("b1")) * BINS)
     )
     keys = ["mix_name", "source"]
-    open_ = drawn.filter("rest > 0")
+    open_ = drawn.filter("odds > 0")
     first = _bin_of_cut(open_, keys, "b1", "rest")
     inside = open_.join(F.broadcast(first), keys).filter("b1 = b1_cut")
     second = _bin_of_cut(inside, [*keys, "b1_cut"], "b2", "rest_in")
