@@ -49,6 +49,8 @@ def test_encoding_equals_the_tokenizer(spark, head):
     sizes = {r["doc_id"]: r["n_tokens"] for r in token_sizes(df.select("doc_id", "text"), "text", head_words=head).collect()}
     assert all(sizes[i] == len(enc.encode_ordinary(t or "")) for i, t in enumerate(TEXTS))
     if head > 3:
+        odd = spark.createDataFrame([(0, None), (1, []), (2, [-1]), (3, [50_000_000]), (4, [None]), (5, [127, 235])], "doc_id long, ids array<int>")
+        assert {r["doc_id"]: r["text"] for r in decode_corpus(odd, "doc_id", "ids").collect() if r["doc_id"] < 5} == {0: None, 1: "", 2: None, 3: None, 4: None}
         back = Counter((r["doc_id"], r["text"]) for r in decode_corpus(out, "doc_id", "ids").collect())
         assert back == Counter([(i, t or "") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0])])
 

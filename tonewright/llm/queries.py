@@ -12,7 +12,7 @@ from tonewright.llm.mixing import mix_sources
 from tonewright.llm.neighbours import joint_collection, name_of, nearest, similar_pairs
 from tonewright.llm.splits import assign_splits, related_authors
 from tonewright.llm.splitting import split_oversized
-from tonewright.llm.tokens import encode_corpus
+from tonewright.llm.tokens import decode_corpus, encode_corpus
 from tonewright.llm.topn import top_n_per_group
 from tonewright.llm.truncation import find_truncated, truncation_rates
 from tonewright.session import cut, spread, table
@@ -88,6 +88,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_documents(spark, sf_dir), "doc_id", "text")
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document decoded from its ids: its length, and whether it is the stored text again."""
+    docs = table(spark, sf_dir, "documents")
+    back = decode_corpus(p6_ids(spark, sf_dir), "doc_id", "ids").select("doc_id", F.length("text").alias("n_chars"), F.xxhash64("text").alias("back"))
+    stored = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("stored"))
+    return back.join(stored, "doc_id").select("doc_id", "n_chars", (F.col("back") == F.col("stored")).alias("same"))
+
+
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of each mix with their copies."""
     return mix_sources(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "text", "source")[0]
@@ -114,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_nearest": p4_nearest,
         "p5_found": p5_found,
         "p6_ids": p6_ids,
+        "p6_decoded": p6_decoded,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
         "p8_pieces": p8_pieces,
@@ -132,4 +141,5 @@ def oracle_sql() -> dict[str, str]:
               WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score)
                 AND target_style IS NOT NULL AND example_number IS NOT NULL)
             WHERE place <= 3""",
+        "p6_decoded": "SELECT doc_id, CAST(coalesce(length(text), 0) AS INTEGER) AS n_chars, true AS same FROM documents",
     }

@@ -255,30 +255,40 @@ def encode_corpus(
 def decode_corpus(encoded: DataFrame, id_col: str, ids: str, path: str | None = None, text: str = "text") -> DataFrame:
     """(id_col, text): texts from ids, by joining each position with the id-to-piece table.
 
-    The piece table has one row per id of the vocabulary (50,256), which bounds what is broadcast. A null list
-    gives a null text, an empty one an empty text; an id outside the vocabulary gives a null text. Rows are
-    found again by ``id_col`` together with the list itself, so repeated rows come back repeated.
+    The piece table has one row per id of the vocabulary (50,256), which bounds what is broadcast; each batch looks up
+    all its positions in it, so rows neither move nor meet. A null list gives a null text, an empty one an empty text; a
+    null id or one outside the vocabulary gives a null text; bytes that are no text become replacement characters. Repeated
+    rows come back repeated, an empty table gives an empty result.
     """
     path = path or tokenizer_path()
     with open(path, "rb") as lines:
-        pieces = [(int(rank), base64.b64decode(piece)) for piece, rank in (line.split() for line in lines)]
+        pieces = {int(rank): base64.b64decode(piece) for piece, rank in (line.split() for line in lines)}
     spark = encoded.sparkSession
-    table = spark.createDataFrame(pieces, "_token int, _piece binary")
-    rows = encoded.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{ids}`").alias("_ids"))
-    keyed = rows.groupBy("_id", "_ids").agg(F.count("*").alias("_times")).withColumn("_key", F.xxhash64("_id", "_ids"))
-    parts = (
-        keyed.select(F.col("_id").alias("_pid"), F.col("_key").alias("_pkey"), F.posexplode("_ids").alias("_pos", "_token"))
-        .join(F.broadcast(table), "_token", "left")
-        .groupBy("_pid", "_pkey")
-        .agg(F.array_sort(F.collect_list(F.struct("_pos", F.hex("_piece").alias("_hex")))).alias("_parts"))
-    )
-    same = F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_key") == F.col("_pkey"))
-    joined = keyed.join(parts, same, "left").select("_id", "_ids", "_times", "_parts")
-    whole = F.decode(F.unhex(F.concat_ws("", F.transform("_parts", lambda p: p["_hex"]))), "UTF-8")
-    value = F.when(F.size("_ids") == 0, F.lit("")).when(~F.exists("_parts", lambda p: p["_hex"].isNull()), whole)
-    return joined.select(
-        F.col("_id").alias(id_col), value.alias(text), F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))).alias("_t")
-    ).drop("_t")
+    table = spark.sparkContext.broadcast(pa.array([pieces.get(i) for i in range(max(pieces) + 1)], pa.binary()))
+    rows = encoded.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{ids}`").cast("array<int>").alias("_ids"))
+
+    def join_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: pa.Array = table.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                lists = batch.column(1)
+                flat = lists.flatten()
+                ok = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(known)))
+                found = known.take(pc.if_else(ok, flat, None))
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                at_byte = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1].astype(np.int64)
+                missing = np.concatenate([[0], np.cumsum(found.is_null().to_numpy(zero_copy_only=False))])
+                null = lists.is_null().to_numpy(zero_copy_only=False) | (missing[ends[1:]] > missing[ends[:-1]])
+                data = found.buffers()[2]
+                raw = memoryview(data) if data is not None else b""
+                out = [None if n else str(raw[a:b], "utf-8", "replace") for n, a, b in zip(null.tolist(), at_byte[ends[:-1]].tolist(), at_byte[ends[1:]].tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["_id", "_text"])
+
+    schema = T.StructType([T.StructField("_id", rows.schema["_id"].dataType), T.StructField("_text", T.StringType())])
+    done = rows.mapInArrow(join_pieces, schema)
+    return done.select(F.col("_id").alias(id_col), F.col("_text").alias(text))
 
 
 def token_sizes(
