@@ -33,7 +33,8 @@ MOST_SETTINGS = 1000
 #: Starts of a text with more pieces before the rest is placed anew from where it stands.
 TRIES = 6
 #: Words whose texts are cut side by side (a longer text stands alone).
-TOGETHER = 400_000
+TOGETHER = 1_000_000
+_PLACE = (1 << 40) - 1
 
 
 def _kinds(words: pa.Array) -> dict[str, np.ndarray]:
@@ -134,13 +135,14 @@ class _Words:
         full = np.concatenate([~space, [True]])
         self.next_full = np.minimum.accumulate(np.where(full, here, n)[::-1])[::-1]
         self.past_full = np.maximum.accumulate(np.concatenate([[0], np.where(~space, here[1:], 0)]))
-        first = np.zeros(n, dtype=bool)
-        first[offsets[:-1][offsets[:-1] < n]] = True
-        self.levels = []
-        for level in range(PARAGRAPH, INSIDE - 1, -1):
-            where = np.flatnonzero((strength == level) & ~first)
-            if len(where):
-                self.levels.append((where, self.tokens[where]))
+        level = np.append(strength, INSIDE).astype(np.int8)
+        level[offsets[:-1]] = INSIDE
+        # the strongest boundary of 2 ** k words from each word on, and all boundaries by strength and place
+        self.strongest = [level]
+        while 2 << len(self.strongest) <= n + 1:
+            half, top = 1 << (len(self.strongest) - 1), self.strongest[-1]
+            self.strongest.append(np.maximum(top[:-half], top[half:]) if len(top) > half else top)
+        self.by_level = np.sort(level.astype(np.int64) << 40 | here)
 
     def change(self, at: np.ndarray) -> np.ndarray:
         """How many tokens words gain when they lose their leading space."""
@@ -153,28 +155,36 @@ class _Words:
     def snap(self, want, low, high, after, last) -> np.ndarray:
         """For each row the strongest boundary with a token position in [low, high], the nearest to ``want`` among equals;
         without one, the last word up to ``high``. Boundaries lie in [after, last]."""
-        out = np.full(len(want), -1, dtype=np.int64)
-        todo = np.arange(len(want))
-        for where, at in self.levels:
-            if not len(todo):
-                break
-            w = want[todo]
-            right = np.searchsorted(at, w)
-            left, right = np.maximum(right - 1, 0), np.minimum(right, len(at) - 1)
-            r_ok = (at[right] >= w) & (at[right] <= high[todo]) & (where[right] >= after[todo]) & (where[right] <= last[todo])
-            l_ok = (at[left] <= w) & (at[left] >= low[todo]) & (where[left] >= after[todo]) & (where[left] <= last[todo])
-            l_ok &= ~r_ok | (w - at[left] <= at[right] - w)
-            found = np.where(l_ok, where[left], np.where(r_ok, where[right], -1))
-            out[todo] = found
-            todo = todo[found < 0]
-        out[todo] = np.maximum(np.minimum(np.searchsorted(self.tokens, high[todo], "right") - 1, last[todo]), after[todo])
+        # whole numbers, as a search for others would copy the running sums
+        a = np.maximum(np.searchsorted(self.tokens, np.ceil(low).astype(np.int64)), after)
+        b = np.minimum(np.searchsorted(self.tokens, np.floor(high).astype(np.int64), "right") - 1, last)
+        out = np.maximum(b, after)
+        some = np.flatnonzero(a < b)
+        if not len(some):
+            return out
+        a, b, want = a[some], b[some], want[some]
+        k = np.frexp((b - a + 1).astype(np.float64))[1] - 1
+        level = np.empty(len(some), dtype=np.int64)
+        for power in np.unique(k).tolist():
+            of = k == power
+            top = self.strongest[power]
+            level[of] = np.maximum(top[a[of]], top[b[of] - (1 << power) + 1])
+        at = np.searchsorted(self.by_level, level << 40 | np.searchsorted(self.tokens, np.ceil(want).astype(np.int64)))
+        right, left = self.by_level[np.minimum(at, len(self.by_level) - 1)], self.by_level[np.maximum(at - 1, 0)]
+        r_ok, l_ok = (right >> 40 == level) & (right & _PLACE <= b), (left >> 40 == level) & (left & _PLACE >= a)
+        right, left = right & _PLACE, left & _PLACE
+        nearer = l_ok & (~r_ok | (want - self.tokens[left] <= self.tokens[right] - want))
+        out[some] = np.where(nearer, left, right)
         return out
 
 
-def place(w: _Words, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end word, tokens, balanced) of the pieces of all texts, by text and place."""
+def place(w: _Words, text: np.ndarray, most: np.ndarray, overlap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(job, first word, end word, tokens, balanced) of the pieces of all jobs, by job and place.
+
+    A job is a ``text`` with its limit ``most`` and its ``overlap``.
+    """
     tokens, share = w.tokens, most - overlap
-    first, last = w.next_full[w.offsets[:-1]], w.past_full[w.offsets[1:]]
+    first, last = w.next_full[w.offsets[:-1][text]], w.past_full[w.offsets[1:][text]]
     whole = tokens[last]
     start, base, seen = first.copy(), tokens[first], first.copy()
     pieces = np.maximum(1, -(-(whole - base - overlap) // share))
@@ -186,18 +196,18 @@ def place(w: _Words, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, n
         done[t] += 1
         s, end_of = start[t], last[t]
         gain = w.change(s)
-        cap = tokens[s] + most - np.maximum(gain, 0)
-        step = (whole[t] - base[t] - overlap) / pieces[t]
-        target = base[t] + overlap + done[t] * step
+        cap = tokens[s] + most[t] - np.maximum(gain, 0)
+        step = (whole[t] - base[t] - overlap[t]) / pieces[t]
+        target = base[t] + overlap[t] + done[t] * step
         top = np.minimum(target + step / 4, cap)
         want = np.minimum(target, top)
         after = np.maximum(s, seen[t]) + 1
         final = done[t] >= pieces[t]
         end = np.where(final, end_of, w.snap(want, want - step / 4, top, after, end_of))
         # pieces that the rest needs beyond those that are left
-        lack = -(-(whole[t] - tokens[end]) // share) - (pieces[t] - done[t])
+        lack = -(-(whole[t] - tokens[end]) // share[t]) - (pieces[t] - done[t])
         over = final & (tokens[end_of] > cap) & (end_of > after)
-        lack = np.where(over, np.maximum(2, -(-(whole[t] - tokens[s] - overlap) // share)) - 1, np.where(final | anew[t], 0, lack))
+        lack = np.where(over, np.maximum(2, -(-(whole[t] - tokens[s] - overlap[t]) // share[t])) - 1, np.where(final | anew[t], 0, lack))
         bad = lack > 0
         if bad.any():
             b = t[bad]
@@ -205,7 +215,7 @@ def place(w: _Words, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, n
             r, keep = b[again], b[~again]
             anew[keep] = True
             pieces[r] += np.maximum(lack[bad][again], pieces[r] >> 5)
-            pieces[keep] = np.maximum(2, -(-(whole[keep] - tokens[start[keep]] - overlap) // share))
+            pieces[keep] = np.maximum(2, -(-(whole[keep] - tokens[start[keep]] - overlap[keep]) // share[keep]))
             start[r] = seen[r] = first[r]
             base[b] = tokens[start[b]]
             done[b] = 0
@@ -217,14 +227,15 @@ def place(w: _Words, most: int, overlap: int) -> tuple[np.ndarray, np.ndarray, n
         more = end < end_of
         t, s, end, end_of = t[more], s[more], end[more], end_of[more]
         fresh = w.next_full[end]
-        if overlap:
-            back = tokens[end] - overlap
-            begin = np.clip(w.snap(back, back - overlap / 2, back + overlap / 2, s + 1, end), s + 1, end)
-            begin = w.next_full[begin]
+        begin = fresh.copy()
+        some = np.flatnonzero(overlap[t])
+        if len(some):
+            e, a, over = end[some], s[some] + 1, overlap[t[some]]
+            back = tokens[e] - over
+            at = w.next_full[np.clip(w.snap(back, back - over / 2, back + over / 2, a, e), a, e)]
             # an overlap that leaves no room for the next word is given up
-            begin = np.where(tokens[fresh + 1] - tokens[begin] + np.maximum(w.change(begin), 0) > most, fresh, begin)
-        else:
-            begin = fresh
+            full = tokens[fresh[some] + 1] - tokens[at] + np.maximum(w.change(at), 0) > most[t[some]]
+            begin[some] = np.where(full, begin[some], at)
         start[t], seen[t] = begin, fresh
         open_ = np.concatenate([t, open_[bad]])
     if not found:
@@ -273,37 +284,52 @@ class Cutter:
         self.sizes, self.offsets, self.counted = sizes, offsets, counted
         self.totals = np.diff(np.concatenate([[0], np.cumsum(sizes)])[offsets])
 
-    def cut(self, rows: np.ndarray, text_of: Callable[[int], str], most: int, overlap: int, cap: int | None = None) -> Iterator[tuple]:
-        """(row, start, end, tokens, balanced) of the pieces of ``rows``, in order of row and place."""
-        cap = cap or most
+    def cut(self, jobs: list[tuple[int, int, int]], text_of: Callable[[int], str]) -> Iterator[tuple]:
+        """(job, start, end, tokens, balanced) of the pieces of ``jobs`` (row, limit, overlap), in order of job and place."""
+        rows, job_row = np.unique(np.array([j[0] for j in jobs], dtype=np.int64), return_inverse=True)
+        longest = np.array([self.sizes[self.offsets[r] : self.offsets[r + 1]].max(initial=0) for r in rows.tolist()], dtype=np.int64)
+        most, overlap = (np.array([j[i] for j in jobs], dtype=np.int64) for i in (1, 2))
+        plain = longest[job_row] <= most
+        at = np.flatnonzero(plain)
+        if len(at):
+            yield from self._some(rows, at, job_row[at], most[at], overlap[at], None, text_of)
+        for i in np.flatnonzero(~plain).tolist():
+            yield from self._some(rows[job_row[i]][None], np.array([i]), np.zeros(1, np.int64), most[i : i + 1], overlap[i : i + 1], int(most[i]), text_of)
+
+    def _some(self, rows, job, text, most, overlap, cap: int | None, text_of) -> Iterator[tuple]:
+        """The pieces of jobs on ``rows``; with ``cap``, of one job, whose words and pieces are held to ``cap`` at first."""
         counts = np.diff(self.offsets)[rows]
         which = np.concatenate([[0], np.cumsum(counts)])
         index = np.repeat(self.offsets[:-1][rows] - which[:-1], counts) + np.arange(which[-1])
         code = self.code[index]
-        word_of = lambda i: self.forms[int(code[i])].as_py()
-        *parts, offsets, touched = _cut_long(
-            self.sizes[index].astype(np.int64), self.chars[index], self.strength[index], self.space[index], self.kinds["leading"][code], code, which,
-            word_of, self.counted, cap, most,
-        )
-        w = _Words(*parts, offsets, self.forms, self.counted)
-        t, s, e, n, balanced = place(w, cap, min(overlap, (cap - 1) // 2))
-        begin = w.at[s] + w.leading[s] - w.at[w.offsets[:-1]][t]
-        end = w.at[e] - w.at[w.offsets[:-1]][t]
+        parts = [self.sizes[index].astype(np.int64), self.chars[index], self.strength[index], self.space[index], self.kinds["leading"][code], code]
+        touched = False
+        if cap is not None:
+            word_of = lambda i: self.forms[int(code[i])].as_py()
+            *parts, which, long = _cut_long(*parts, which, word_of, self.counted, cap, int(most[0]))
+            touched = bool(long.any())
+        w = _Words(*parts, which, self.forms, self.counted)
+        held = most if cap is None else np.array([cap])
+        t, s, e, n, balanced = place(w, text, held, np.minimum(overlap, (held - 1) // 2))
+        origin = w.at[w.offsets[:-1]][text[t]]
+        begin, end = w.at[s] + w.leading[s] - origin, w.at[e] - origin
         # a piece is encoded again where its tokens may not be those of its words
-        doubtful = touched[t] | ((w.code[s] >= 0) & self.kinds["quote"][w.code[s]])
-        edges = np.searchsorted(t, np.arange(len(rows) + 1))
-        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        doubtful = (w.code[s] >= 0) & self.kinds["quote"][w.code[s]] | touched
+        edges = np.searchsorted(t, np.arange(len(job) + 1)).tolist()
+        begin, end, n, balanced = begin.tolist(), end.tolist(), n.tolist(), balanced.tolist()
+        doubts = np.flatnonzero(doubtful)
+        for k in doubts.tolist():
+            n[k] = len(self.counted.enc.encode_ordinary(text_of(int(rows[text[t[k]]]))[begin[k] : end[k]]))
+        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if a == b:
                 continue
-            starts, ends, tokens = begin[a:b].tolist(), end[a:b].tolist(), n[a:b].tolist()
-            if doubtful[a:b].any():
-                text = text_of(int(rows[i]))
-                for k in np.flatnonzero(doubtful[a:b]).tolist():
-                    tokens[k] = len(self.counted.enc.encode_ordinary(text[starts[k] : ends[k]]))
-            if max(tokens) > most and cap > 1:
-                yield from self.cut(rows[i : i + 1], text_of, most, overlap, max(1, cap - max(1, 2 * (most - cap))))
+            limit = int(most[i])
+            now = limit if cap is None else cap
+            if max(n[a:b]) > limit and now > 1:
+                lower = max(1, now - max(1, 2 * (limit - now)))
+                yield from self._some(rows[text[i]][None], job[i : i + 1], np.zeros(1, np.int64), most[i : i + 1], overlap[i : i + 1], lower, text_of)
             else:
-                yield int(rows[i]), starts, ends, tokens, bool(balanced[a]) and cap == most
+                yield int(job[i]), begin[a:b], end[a:b], n[a:b], balanced[a] and now == limit
 
 
 def split_oversized(
@@ -359,18 +385,19 @@ def split_oversized(
             return texts[row]
 
         found: dict[str, list] = {name: [] for name in out.names}
-        for name, most, overlap in settings:
-            for row, starts, ends, tokens, balanced in cutter.cut(np.flatnonzero(cutter.totals > most), text_of, most, overlap):
-                text, n = text_of(row), len(starts)
-                found["setting"] += [name] * n
-                found["_row"] += [row] * n
-                found["piece_no"] += range(1, n + 1)
-                found["n_pieces"] += [n] * n
-                found["start"] += starts
-                found["end"] += ends
-                found["n_tokens"] += tokens
-                found["balanced"] += [balanced] * n
-                found["piece"] += [text[a:b] for a, b in zip(starts, ends)]
+        which = [(name, row, most, overlap) for name, most, overlap in settings for row in np.flatnonzero(cutter.totals > most).tolist()]
+        for job, starts, ends, tokens, balanced in cutter.cut([x[1:] for x in which], text_of):
+            (name, row, _, _), n = which[job], len(starts)
+            text = text_of(row)
+            found["setting"] += [name] * n
+            found["_row"] += [row] * n
+            found["piece_no"] += range(1, n + 1)
+            found["n_pieces"] += [n] * n
+            found["start"] += starts
+            found["end"] += ends
+            found["n_tokens"] += tokens
+            found["balanced"] += [balanced] * n
+            found["piece"] += [text[a:b] for a, b in zip(starts, ends)]
         done = pa.Table.from_pydict(found, schema=out)
         ids = batch.column(0).take(done.column("_row").combine_chunks())
         yield from done.set_column(1, "_id", ids).combine_chunks().to_batches()
