@@ -36,7 +36,7 @@ def test_top_n_brute_force(spark):
     assert top_n_per_group(df.limit(0), ["g"], "score", "id", 2).collect() == []
 
 
-TEXTS = ["Привет, мир!", "", None, "a  b\n\n c\r\n", "don't  stop 'til", "<|endoftext|> x", "😀‍👩 ё", "слово" * 400, "x" * 3000, " ", "Привет, мир!"]
+TEXTS = ["Привет, мир!", "", None, "a  b\n\n c\r\n", "don't  stop 'til", "<|endoftext|> x", "😀‍👩 ё", "слово" * 400, "x" * 3000, " ", "Привет, мир!", " \u00a0" * 50, "а" + "\u2003" * 70 + "б", "\u00a0".join("abcdefgh" * 3)]
 
 
 @pytest.mark.parametrize("head", [1_000_000, 3])

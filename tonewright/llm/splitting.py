@@ -31,7 +31,7 @@ INSIDE, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 #: Most rows of the table of settings, which is read by the driver.
 MOST_SETTINGS = 1000
 #: Starts of a text with more pieces before the rest is placed anew from where it stands.
-TRIES = 6
+TRIES = 4
 #: Words whose texts are cut side by side (a longer text stands alone).
 TOGETHER = 1_000_000
 _PLACE = (1 << 40) - 1
@@ -89,6 +89,7 @@ class _Counter:
 
     def __init__(self, enc):
         self.enc, self.known = enc, {}
+        self.lengths: np.ndarray | None = None
 
     def __call__(self, text: str) -> int:
         got = self.known.get(text)
@@ -100,25 +101,26 @@ class _Counter:
                 self.known[text] = got
         return got
 
-    def runs(self, word: str, most: int, limit: int) -> list[tuple[int, int]]:
-        """(characters, tokens) of the runs of a word that end with one of its tokens; single characters where a run has
+    def runs(self, word: str, most: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the runs of a word that end with one of its tokens; single characters where a run has
         more than ``most`` tokens. A character of more than ``limit`` tokens is an error."""
-        raw, out, at, held = word.encode(), [], 0, 0
-        begin = 0
-        for token in self.enc.encode_ordinary(word):
-            at += len(self.enc.decode_single_token_bytes(token))
-            held += 1
-            if at < len(raw) and raw[at] & 0xC0 == 0x80:
-                continue
-            run = raw[begin:at].decode()
-            if held <= most:
-                out.append((len(run), held))
-            else:
-                out += [(1, self(c)) for c in run]
-            begin, held = at, 0
-        if max(n for _, n in out) > limit:
-            raise ValueError(f"a character has more than {limit} tokens")
-        return out
+        if self.lengths is None:
+            self.lengths = np.zeros(self.enc.n_vocab, dtype=np.int64)
+            self.lengths[:] = [len(t) for t in self.enc.decode_tokens_bytes(range(self.enc.n_vocab))]
+        ends = np.cumsum(self.lengths[self.enc.encode_ordinary(word)])
+        begins = np.append(np.frombuffer(word.encode(), np.uint8) & 0xC0 != 0x80, True)  # of characters, and the end
+        last = np.flatnonzero(begins[ends])
+        n_tokens = np.diff(last, prepend=-1)
+        n_chars = np.diff(np.concatenate([[0], np.cumsum(begins)])[ends[last]], prepend=0)
+        if n_tokens.max() > most:
+            at, out = 0, []
+            for chars, tokens in zip(n_chars.tolist(), n_tokens.tolist()):
+                out += [(chars, tokens)] if tokens <= most else [(1, self(c)) for c in word[at : at + chars]]
+                at += chars
+            n_chars, n_tokens = (np.array(x, dtype=np.int64) for x in zip(*out))
+            if n_tokens.max() > limit:
+                raise ValueError(f"a character has more than {limit} tokens")
+        return n_chars, n_tokens
 
 
 class _Words:
@@ -214,7 +216,7 @@ def place(w: _Words, text: np.ndarray, most: np.ndarray, overlap: np.ndarray) ->
             again = tries[b] < TRIES
             r, keep = b[again], b[~again]
             anew[keep] = True
-            pieces[r] += np.maximum(lack[bad][again], pieces[r] >> 5)
+            pieces[r] += np.maximum(lack[bad][again], pieces[r] >> 4)
             pieces[keep] = np.maximum(2, -(-(whole[keep] - tokens[start[keep]] - overlap[keep]) // share[keep]))
             start[r] = seen[r] = first[r]
             base[b] = tokens[start[b]]
@@ -261,10 +263,11 @@ def _cut_long(sizes, chars, strength, space, leading, code, offsets, word_of: Ca
     cuts = []
     for i in long.tolist():
         word = word_of(i)
-        runs = counted.runs(word, most, limit)
-        at = np.cumsum([0] + [n for n, _ in runs])
-        cuts.append(([n for n, _ in runs], [k for _, k in runs], [word[a:b].isspace() for a, b in zip(at, at[1:])]))
-        times[i] = len(runs)
+        n_chars, n_tokens = counted.runs(word, most, limit)
+        at = np.concatenate([[0], np.cumsum(n_chars)]).tolist()
+        blank = [word[a:b].isspace() for a, b in zip(at, at[1:])] if word[0].isspace() else np.zeros(len(n_chars), dtype=bool)
+        cuts.append((n_chars, n_tokens, blank))
+        times[i] = len(n_chars)
     begin = np.concatenate([[0], np.cumsum(times)])
     sizes, chars, strength, space, leading, code = (np.repeat(x, times) for x in (sizes, chars, strength, space, leading, code))
     for i, (n_chars, n_tokens, blank) in zip(long.tolist(), cuts):
@@ -290,31 +293,30 @@ class Cutter:
         longest = np.array([self.sizes[self.offsets[r] : self.offsets[r + 1]].max(initial=0) for r in rows.tolist()], dtype=np.int64)
         most, overlap = (np.array([j[i] for j in jobs], dtype=np.int64) for i in (1, 2))
         plain = longest[job_row] <= most
-        at = np.flatnonzero(plain)
-        if len(at):
-            yield from self._some(rows, at, job_row[at], most[at], overlap[at], None, text_of)
-        for i in np.flatnonzero(~plain).tolist():
-            yield from self._some(rows[job_row[i]][None], np.array([i]), np.zeros(1, np.int64), most[i : i + 1], overlap[i : i + 1], int(most[i]), text_of)
+        groups = [(np.flatnonzero(plain), None)] + [(np.flatnonzero(~plain & (most == m)), int(m)) for m in np.unique(most[~plain])]
+        for at, cap in groups:
+            if len(at):
+                some, row = np.unique(job_row[at], return_inverse=True)
+                yield from self._some(rows[some], at, row, most[at], overlap[at], cap, text_of)
 
     def _some(self, rows, job, text, most, overlap, cap: int | None, text_of) -> Iterator[tuple]:
-        """The pieces of jobs on ``rows``; with ``cap``, of one job, whose words and pieces are held to ``cap`` at first."""
+        """The pieces of jobs on ``rows``; with ``cap``, of jobs of one limit, whose words and pieces are held to ``cap``."""
         counts = np.diff(self.offsets)[rows]
         which = np.concatenate([[0], np.cumsum(counts)])
         index = np.repeat(self.offsets[:-1][rows] - which[:-1], counts) + np.arange(which[-1])
         code = self.code[index]
         parts = [self.sizes[index].astype(np.int64), self.chars[index], self.strength[index], self.space[index], self.kinds["leading"][code], code]
-        touched = False
+        long = np.zeros(len(rows), dtype=bool)
         if cap is not None:
             word_of = lambda i: self.forms[int(code[i])].as_py()
             *parts, which, long = _cut_long(*parts, which, word_of, self.counted, cap, int(most[0]))
-            touched = bool(long.any())
         w = _Words(*parts, which, self.forms, self.counted)
-        held = most if cap is None else np.array([cap])
+        held = most if cap is None else np.full(len(job), cap)
         t, s, e, n, balanced = place(w, text, held, np.minimum(overlap, (held - 1) // 2))
         origin = w.at[w.offsets[:-1]][text[t]]
         begin, end = w.at[s] + w.leading[s] - origin, w.at[e] - origin
         # a piece is encoded again where its tokens may not be those of its words
-        doubtful = (w.code[s] >= 0) & self.kinds["quote"][w.code[s]] | touched
+        doubtful = (w.code[s] >= 0) & self.kinds["quote"][w.code[s]] | long[text[t]]
         edges = np.searchsorted(t, np.arange(len(job) + 1)).tolist()
         begin, end, n, balanced = begin.tolist(), end.tolist(), n.tolist(), balanced.tolist()
         doubts = np.flatnonzero(doubtful)

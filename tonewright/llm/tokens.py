@@ -87,11 +87,13 @@ def word_table(texts: DataFrame, text: str, path: str) -> DataFrame:
 
 @dataclass
 class WordTable:
-    """A materialised word table: its broadcast head, and the rest as a DataFrame (None when empty)."""
+    """A materialised word table: its broadcast head, and the rest as a DataFrame (None when empty), which may hold long
+    words only."""
 
     path: str
     head: object
     tail: DataFrame | None
+    only_long: bool
 
 
 def build_words(texts: DataFrame, text: str, path: str, head_words: int = HEAD_WORDS) -> WordTable:
@@ -113,7 +115,7 @@ def build_words(texts: DataFrame, text: str, path: str, head_words: int = HEAD_W
         else:
             known = spark.createDataFrame(head.select(["word"]))
             tail = table.join(known, "word", "left_anti")
-    return WordTable(path, spark.sparkContext.broadcast(head), tail)
+    return WordTable(path, spark.sparkContext.broadcast(head), tail, whole)
 
 
 def _array(table: pa.Table, name: str) -> pa.Array:
@@ -141,11 +143,16 @@ def head_arrays(head) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
 def with_rare(df: DataFrame, text: str, table: WordTable, rare: str) -> DataFrame:
     """``df`` plus ``rare``: for each text the words outside the broadcast head, with their ids.
 
-    Null where a text has none. The list of one text is bounded by the text. Rows with equal texts share it.
+    Null where a text has none. The list of one text is bounded by the text. Rows with equal texts share it. Where only long
+    words are missing, texts without so long a run of letters or of white space stay where they are.
     """
     kind = "array<struct<word:string,ids:array<int>>>"
     if table.tail is None:
         return df.withColumn(rare, F.lit(None).cast(kind))
+    if table.only_long:
+        may = F.coalesce(F.col(text).rlike(rf"\S{{{HEAD_WORD_CHARS}}}|(?U:\s{{{HEAD_WORD_CHARS}}})"), F.lit(False))
+        table = WordTable(table.path, table.head, table.tail, False)
+        return df.filter(~may).withColumn(rare, F.lit(None).cast(kind)).unionByName(with_rare(df.filter(may), text, table, rare))
     head = table.head
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
