@@ -67,7 +67,7 @@ def test_heads_of_many_corpora_are_kept_apart(spark):
         head = pa.table({"word": [f"w{k}", "x"], "ids": pa.array([[k], [k, k + 1]], pa.list_(pa.int32()))})
         words, starts, sizes, flat = head_arrays(head)
         assert words.to_pylist() == [f"w{k}", "x"] and flat.tolist() == [k, k, k + 1] and sizes.tolist() == [1, 2] and starts.tolist() == [0, 1]
-        at, n, flat = look_up(pa.array([["x"]]), pa.nulls(1, pa.list_(pa.struct([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))), head)
+        at, n, flat = look_up(pa.array([["x"]]), pa.nulls(1, pa.list_(pa.struct([("word", pa.string()), ("ids", pa.list_(pa.int32()))]))), head, tokenizer_path())
         assert flat[at[0] : at[0] + n[0]].tolist() == [k, k + 1]
         del head
         gc.collect()

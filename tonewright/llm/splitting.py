@@ -377,7 +377,7 @@ def split_oversized(
 
     def cut_some(batch: pa.RecordBatch, counted: _Counter) -> Iterator[pa.RecordBatch]:
         words = batch.column(2)
-        _, sizes, _ = look_up(words, batch.column(3), head.value)
+        _, sizes, _ = look_up(words, batch.column(3), head.value, path)
         cutter = Cutter(counted, words.flatten(), sizes, (words.offsets.to_numpy() - words.offsets[0].as_py()).astype(np.int64))
         texts: dict[int, str] = {}
 

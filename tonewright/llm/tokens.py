@@ -6,9 +6,11 @@ step runs before the shuffle, so only distinct words travel. Ids come back by po
 
 * the most frequent words (at most ``head_words`` words and ``HEAD_BYTES`` bytes, whatever the corpus) are a
   broadcast Arrow table, and each batch looks its words up in it;
-* all other words are joined by shuffle as (text hash, word) pairs and reach their texts as a short list.
+* all other words are joined by shuffle as (text hash, word) pairs and reach their texts as a short list;
+* words of more than ``LONG`` characters hardly ever repeat, so each batch encodes its own, each once, and they never
+  travel as keys.
 
-Both ways give the same ids; the limit moves work between them and drops nothing.
+All ways give the same ids; the limits move work between them and drop nothing.
 """
 
 from __future__ import annotations
@@ -35,8 +37,8 @@ _JAVA_PATTERN = "(?U)" + PATTERN
 #: Most words of the broadcast part of the word table, and most bytes of their text.
 HEAD_WORDS = 1_000_000
 HEAD_BYTES = 48 << 20
-#: Longest word that may be broadcast; longer ones always take the shuffled way.
-HEAD_WORD_CHARS = 64
+#: Longest word of the table.
+LONG = 64
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -71,8 +73,9 @@ def words_of(text: str = "text"):
 
 
 def word_table(texts: DataFrame, text: str, path: str) -> DataFrame:
-    """(word, n, ids): each distinct word of the corpus, its count and its ids, encoded once."""
-    counts = texts.select(F.explode(words_of(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n, ids): each distinct word of the corpus of up to LONG characters, its count and its ids, encoded once."""
+    words = texts.select(F.explode(words_of(text)).alias("word")).filter(F.length("word") <= LONG)
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -87,35 +90,24 @@ def word_table(texts: DataFrame, text: str, path: str) -> DataFrame:
 
 @dataclass
 class WordTable:
-    """A materialised word table: its broadcast head, and the rest as a DataFrame (None when empty), which may hold long
-    words only."""
+    """A materialised word table: its broadcast head, and the rest as a DataFrame (None when empty)."""
 
     path: str
     head: object
     tail: DataFrame | None
-    only_long: bool
 
 
 def build_words(texts: DataFrame, text: str, path: str, head_words: int = HEAD_WORDS) -> WordTable:
     """Materialise the word table of a corpus and broadcast its most frequent words within the fixed bound."""
     spark = texts.sparkSession
     table = cut(word_table(texts, text, path))
-    total, size, long_words = table.agg(
-        F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0)), F.count_if(F.length("word") > HEAD_WORD_CHARS)
-    ).first()
-    short = table.filter(F.length("word") <= HEAD_WORD_CHARS)
+    total, size = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     head_words = min(head_words, HEAD_BYTES * total // max(size, 1) if size > HEAD_BYTES else head_words)
-    whole = total - long_words <= head_words
-    head = (short if whole else short.orderBy(F.desc("n"), "word").limit(head_words)).select("word", "ids").toArrow()
+    whole = total <= head_words
+    head = (table if whole else table.orderBy(F.desc("n"), "word").limit(head_words)).select("word", "ids").toArrow()
     head = head.combine_chunks()
-    tail = None
-    if not whole or long_words:
-        if whole:
-            tail = table.filter(F.length("word") > HEAD_WORD_CHARS)
-        else:
-            known = spark.createDataFrame(head.select(["word"]))
-            tail = table.join(known, "word", "left_anti")
-    return WordTable(path, spark.sparkContext.broadcast(head), tail, whole)
+    tail = None if whole else table.join(spark.createDataFrame(head.select(["word"])), "word", "left_anti")
+    return WordTable(path, spark.sparkContext.broadcast(head), tail)
 
 
 def _array(table: pa.Table, name: str) -> pa.Array:
@@ -141,18 +133,13 @@ def head_arrays(head) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def with_rare(df: DataFrame, text: str, table: WordTable, rare: str) -> DataFrame:
-    """``df`` plus ``rare``: for each text the words outside the broadcast head, with their ids.
+    """``df`` plus ``rare``: for each text the words of the table outside the broadcast head, with their ids.
 
-    Null where a text has none. The list of one text is bounded by the text. Rows with equal texts share it. Where only long
-    words are missing, texts without so long a run of letters or of white space stay where they are.
+    Null where a text has none. The list of one text is bounded by the text. Rows with equal texts share it.
     """
     kind = "array<struct<word:string,ids:array<int>>>"
     if table.tail is None:
         return df.withColumn(rare, F.lit(None).cast(kind))
-    if table.only_long:
-        may = F.coalesce(F.col(text).rlike(rf"\S{{{HEAD_WORD_CHARS}}}|(?U:\s{{{HEAD_WORD_CHARS}}})"), F.lit(False))
-        table = WordTable(table.path, table.head, table.tail, False)
-        return df.filter(~may).withColumn(rare, F.lit(None).cast(kind)).unionByName(with_rare(df.filter(may), text, table, rare))
     head = table.head
 
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +148,7 @@ def with_rare(df: DataFrame, text: str, table: WordTable, rare: str) -> DataFram
             words = batch.column(2)
             flat = words.flatten()
             row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-            out = pc.is_null(pc.index_in(flat, known)).to_numpy(zero_copy_only=False)
+            out = pc.and_(pc.is_null(pc.index_in(flat, known)), pc.less_equal(pc.utf8_length(flat), LONG)).to_numpy(zero_copy_only=False)
             rows = pa.array(row[out])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(rows), batch.column(1).take(rows), flat.filter(pa.array(out))], names=["h1", "h2", "word"]
@@ -183,31 +170,34 @@ def with_rare(df: DataFrame, text: str, table: WordTable, rare: str) -> DataFram
     return keyed.join(lists, (keyed["_h1"] == lists["h1"]) & (keyed["_h2"] == lists["h2"]), "left").drop("_h1", "_h2", "h1", "h2")
 
 
-def look_up(words: pa.Array, rare: pa.Array, head: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def look_up(words: pa.Array, rare: pa.Array, head: pa.Table, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For the flattened ``words`` of a batch: start and length of each word's ids, and the flat ids."""
     known, starts, sizes, flat = head_arrays(head)
     values = words.flatten()
-    found = pc.index_in(values, known)
-    if len(rare) == rare.null_count:
-        at = found.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(values, known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    rest = np.flatnonzero(at < 0)
+    if not len(rest):
         return starts[at], sizes[at], flat
-    entries = rare.flatten()
-    more, ids = entries.field("word"), entries.field("ids")
+    left = values.take(pa.array(rest))
     # a rare word has the same ids in every text, so the lists of a batch can be used as one
-    offsets = ids.offsets.to_numpy()
-    more_starts = offsets[:-1].astype(np.int64) + len(flat)
-    more_sizes = np.diff(offsets).astype(np.int64)
-    second = pc.index_in(values, more)
-    at = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    other = pc.fill_null(second, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.concatenate([flat, ids.values.to_numpy()])
-    if len(starts) == 0:
-        return more_starts[other], more_sizes[other], flat
-    return (
-        np.where(at >= 0, starts[at], more_starts[other]),
-        np.where(at >= 0, sizes[at], more_sizes[other]),
-        flat,
-    )
+    entries = rare.flatten() if len(rare) > rare.null_count else None
+    more = entries.field("word") if entries is not None else pa.array([], pa.string())
+    lists = entries.field("ids") if entries is not None else pa.array([], pa.list_(pa.int32()))
+    unknown = left.filter(pc.is_null(pc.index_in(left, more))).unique()
+    enc = encoder(path)
+    own = [enc.encode_ordinary(w) for w in unknown.to_pylist()]
+    offsets = lists.offsets.to_numpy()
+    ends = np.cumsum([len(x) for x in own], dtype=np.int64)
+    more_sizes = np.concatenate([np.diff(offsets).astype(np.int64), np.diff(ends, prepend=0)])
+    more_starts = len(flat) + np.concatenate([offsets[:-1].astype(np.int64), len(lists.values) + ends - np.diff(ends, prepend=0)])
+    new = np.fromiter((i for x in own for i in x), dtype=flat.dtype)
+    # positions among the lists that came along, then among those encoded here
+    second = pc.index_in(left, pa.concat_arrays([more.cast(pa.string()), unknown.cast(pa.string())])).to_numpy(zero_copy_only=False).astype(np.int64)
+    out_starts, out_sizes = np.empty(len(at), dtype=np.int64), np.empty(len(at), dtype=np.int64)
+    there = np.flatnonzero(at >= 0)
+    out_starts[there], out_sizes[there] = starts[at[there]], sizes[at[there]]
+    out_starts[rest], out_sizes[rest] = more_starts[second], more_sizes[second]
+    return out_starts, out_sizes, np.concatenate([flat, lists.values.to_numpy(), new])
 
 
 def ragged_take(starts: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -243,7 +233,7 @@ def encode_corpus(
     def join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(1)
-            starts, sizes, flat = look_up(words, batch.column(2), head.value)
+            starts, sizes, flat = look_up(words, batch.column(2), head.value, path)
             out = ragged_take(starts, sizes, flat).astype(np.int32, copy=False)
             counts = np.concatenate([[0], np.cumsum(sizes)])
             offsets = counts[words.offsets.to_numpy() - words.offsets[0].as_py()]
@@ -315,7 +305,7 @@ def token_sizes(
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(1)
-            _, sizes, _ = look_up(words, batch.column(2), head.value)
+            _, sizes, _ = look_up(words, batch.column(2), head.value, path)
             sums = np.concatenate([[0], np.cumsum(sizes)])
             at = words.offsets.to_numpy() - words.offsets[0].as_py()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(sums[at]))], names=["_row", "_n"])
