@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Median cross-entropies of authors.
@@ -20,18 +20,22 @@ DOMAIN_CE = {
     "news": 3.151731, "wikipedia": 3.421043, "ficbook": 3.807949, "pikabu": 4.046271, "taiga_proza": 3.876610,
     "taiga_magazines": 3.876763, "writers": 3.962501, "Bible": 3.857263, "political": 3.649666,
 }
-#: Domains in the order of DOMAIN_SIM, and the cosines of their centroids above the diagonal.
+#: Domains, and the cosine of the centroids of each two.
 DOMAINS = ["news", "wikipedia", "ficbook", "pikabu", "taiga_proza", "taiga_magazines", "writers", "Bible", "political"]
 DOMAIN_SIM = [
-    [0.9652, 0.5094, 0.6555, 0.5734, 0.6505, 0.5271, 0.4305, 0.5698],
-    [0.6739, 0.7914, 0.7523, 0.8169, 0.6901, 0.5123, 0.6615],
-    [0.9428, 0.9414, 0.8627, 0.7443, 0.5099, 0.6232],
-    [0.9381, 0.8902, 0.7765, 0.5345, 0.7171],
-    [0.9606, 0.8521, 0.5651, 0.6980],
-    [0.8701, 0.5447, 0.6728],
-    [0.5859, 0.6245],
-    [0.5059],
-]
+    ("news", "wikipedia", 0.9652), ("news", "ficbook", 0.5094), ("news", "pikabu", 0.6555),
+    ("news", "taiga_proza", 0.5734), ("news", "taiga_magazines", 0.6505), ("news", "writers", 0.5271),
+    ("news", "Bible", 0.4305), ("news", "political", 0.5698), ("wikipedia", "ficbook", 0.6739),
+    ("wikipedia", "pikabu", 0.7914), ("wikipedia", "taiga_proza", 0.7523), ("wikipedia", "taiga_magazines", 0.8169),
+    ("wikipedia", "writers", 0.6901), ("wikipedia", "Bible", 0.5123), ("wikipedia", "political", 0.6615),
+    ("ficbook", "pikabu", 0.9428), ("ficbook", "taiga_proza", 0.9414), ("ficbook", "taiga_magazines", 0.8627),
+    ("ficbook", "writers", 0.7443), ("ficbook", "Bible", 0.5099), ("ficbook", "political", 0.6232),
+    ("pikabu", "taiga_proza", 0.9381), ("pikabu", "taiga_magazines", 0.8902), ("pikabu", "writers", 0.7765),
+    ("pikabu", "Bible", 0.5345), ("pikabu", "political", 0.7171), ("taiga_proza", "taiga_magazines", 0.9606),
+    ("taiga_proza", "writers", 0.8521), ("taiga_proza", "Bible", 0.5651), ("taiga_proza", "political", 0.698),
+    ("taiga_magazines", "writers", 0.8701), ("taiga_magazines", "Bible", 0.5447), ("taiga_magazines", "political", 0.6728),
+    ("writers", "Bible", 0.5859), ("writers", "political", 0.6245), ("Bible", "political", 0.5059),
+]
 #: Domains without author targets.
 DOMAIN_ONLY = ["news", "wikipedia", "taiga_magazines", "Bible", "political", "ficbook", "taiga_proza", "pikabu"]
 NAT_MARGIN = 0.70
@@ -128,25 +132,21 @@ def combined_entity(entity, precision) -> Column:
     return F.when(e.isNotNull() & p.isNotNull(), F.least(e, p))
 
 
-def domain_similarity() -> dict[tuple[str, str], float]:
-    """The symmetric matrix of domain centroids."""
-    out = {(d, d): 1.0 for d in DOMAINS}
-    for i, row in enumerate(DOMAIN_SIM):
-        for j, value in enumerate(row):
-            out[DOMAINS[i], DOMAINS[i + 1 + j]] = out[DOMAINS[i + 1 + j], DOMAINS[i]] = value
-    return out
-
-
-def domain_weights(source: str, sim: dict[tuple[str, str], float] | None = None, floor=0.05, tau=0.82, high=0.97) -> dict[str, float] | None:
-    """Weights of the other domains as targets of ``source``: even, lower for those nearer than ``tau``; None for an
-    unknown source."""
-    sim = sim or domain_similarity()
-    others = sorted({t for s, t in sim if s == source and t != source})
-    if not others:
-        return None
-    raw = {t: 1.0 - (1.0 - floor) * min(max((sim[source, t] - tau) / ((high - tau) or 1.0), 0.0), 1.0) for t in others}
-    whole = sum(raw.values())
-    return {t: w / whole for t, w in raw.items()}
+def domain_similarity(spark: SparkSession) -> DataFrame:
+    """(source, target, sim): the similarities of all two different domains, both ways."""
+    return spark.createDataFrame(DOMAIN_SIM + [(b, a, v) for a, b, v in DOMAIN_SIM], "source string, target string, sim double")
+
+
+def domain_weights(sims: DataFrame, floor: float = 0.05, near: float = 0.82, same: float = 0.97) -> DataFrame:
+    """(source, target, weight): how often each other domain is a target of ``source``.
+
+    All weigh alike up to a similarity of ``near``; from there the weight falls in a straight line, to ``floor`` at ``same``.
+    The weights of a source add up to 1. A source that ``sims`` lacks has no rows.
+    """
+    steps = sims.filter("source <> target").select("source", "target", clip((F.col("sim") - near) / (same - near), 0.0, 1.0).alias("excess"))
+    raw = steps.withColumn("weight", F.lit(1.0) - F.lit(1.0 - floor) * F.col("excess"))
+    sums = raw.groupBy("source").agg(F.sum("weight").alias("_sum"))
+    return raw.join(sums, "source").select("source", "target", (F.col("weight") / F.col("_sum")).alias("weight"))
 
 
 def target_styles(domain: str, has_author_targets: bool | None = None) -> list[str]:

@@ -114,7 +114,16 @@ def _span_score(f: Column, min_span: int) -> Column:
 
 
 def running_shares(counts) -> Column:
-    """Running sums of an array over its total, without the last."""
+    """Running sums of an array over its total, without the last; empty for arrays of up to one element and null for null.
+
+    Each element sums its own prefix, which the JVM does over primitive arrays; nothing is copied.
+    """
+    def shares(c):
+        n = F.size(c)
+        add = lambda s, x: s + x
+        total = F.aggregate(c, F.lit(0.0), add)
+        prefix = lambda i: F.try_divide(F.aggregate(F.slice(c, 1, i), F.lit(0.0), add), total)
+        return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), prefix)).otherwise(F.array().cast("array<double>"))
+
     c = _c(counts).cast("array<double>")
-    sums = F.aggregate(c, F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x)))
-    return let(sums, lambda r: F.transform(F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0))), lambda x: F.try_divide(x, F.element_at(r, -1))))
+    return F.when(c.isNotNull(), let(c, shares))

@@ -7,11 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tonewright.functions.vector import let
+
 #: Columns of a source that survive the fan-out of versions.
 KEPT = ("example_number", "text", "author", "target_style", "target_style_desc", "target_keys", "target_style_emb",
         "target_style_sim_measure", "text_perplexity", "text_style_emb", "text_labse_emb", "tst_model")
 
 
+#: Most target styles of a fan-out.
+MOST_STYLES = 10_000
+
+
 def project(df: DataFrame, wanted: Sequence[str], required: Sequence[str] = ()) -> DataFrame:
     """The columns of ``wanted`` that ``df`` has; an error when one of ``required`` is missing."""
     missing = [c for c in required if c not in df.columns]
@@ -23,24 +29,39 @@ def project(df: DataFrame, wanted: Sequence[str], required: Sequence[str] = ())
 def other_styles(df: DataFrame, styles: DataFrame, author: str = "author", style: str = "target_style") -> DataFrame:
     """Every source with every style but its author's own; sources without an author get all.
 
-    ``styles`` is a table of one row a style (its size is the number of target styles).
+    ``styles`` is a table of one row a style; more than ``MOST_STYLES`` different ones are an error, so that what is broadcast
+    is bounded.
     """
     names = styles.select(F.col(styles.columns[0]).alias(style)).distinct()
-    return df.crossJoin(names).filter(~F.col(author).eqNullSafe(F.col(style)))
+    if names.limit(MOST_STYLES + 1).count() > MOST_STYLES:
+        raise ValueError(f"more than {MOST_STYLES} target styles")
+    return df.crossJoin(F.broadcast(names)).filter(~F.col(author).eqNullSafe(F.col(style)))
 
 
-def expand_versions(df: DataFrame, versions: str, styled: str = "styled_text", kept: Sequence[str] = KEPT, ragged: str = "error") -> DataFrame:
+def expand_versions(df: DataFrame, versions: str, styled: str = "styled_text", kept: Sequence[str] = KEPT, ragged: str = "error", expected: int | None = None) -> DataFrame:
     """One row per version of an ``array<string>`` column, numbered from 0.
 
-    Lists of different lengths are an error at run time, unless ``ragged`` is "allow". A null list gives no rows.
+    Lists of different lengths are an error, unless ``ragged`` is "allow". With ``expected`` each list is held against this
+    length as it passes; without, the lists are materialised first, so that the model behind them runs once, and compared at
+    once. A null list gives no rows.
     """
     columns = [c for c in kept if c in df.columns]
     source = df
     if ragged == "error":
-        sizes = df.agg(F.min(F.size(versions)).alias("a"), F.max(F.size(versions)).alias("b"))
-        same = F.when(F.col("a") == F.col("b"), F.col("b")).otherwise(F.raise_error(F.lit("versions have different lengths")).cast("int"))
-        source = df.crossJoin(F.broadcast(sizes.select(same.alias("_n")))).filter("_n >= 0")
-    return source.select(*columns, F.posexplode(versions).alias("version_number", styled))
+        size, wrong = F.size(versions), "versions have different lengths"
+        if expected is not None:
+            failed = F.raise_error(F.lit(wrong)).cast(df.schema[versions].dataType)
+            held = let(F.col(versions), lambda v: F.when(v.isNull() | (F.size(v) == expected), v).otherwise(failed))  # named once: the model behind it runs once
+            source = df.withColumn(versions, held)
+        else:
+            from tonewright.session import cut
+
+            source = cut(df)
+            low, high = source.filter(F.col(versions).isNotNull()).agg(F.min(size), F.max(size)).first()
+            if low != high:
+                raise ValueError(wrong)
+    # the outer form, as Spark would filter by the size of an inner one's lists, and run the model behind them for that again
+    return source.select(*columns, F.posexplode_outer(versions).alias("version_number", styled)).filter("version_number is not null")
 
 
 def single_version(df: DataFrame, styled: str = "styled_text") -> DataFrame:

@@ -6,7 +6,7 @@ Random numbers are hashes of (seed, row, purpose), so every draw is the same for
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,75 +17,101 @@ from pyspark.sql import functions as F
 from tonewright.functions.scores import domain_similarity, domain_weights, target_styles
 from tonewright.functions.vector import as_double, mixed, negated, noisy, rescaled, uniform
 
-#: Most distinct keys of a style pool, which are crossed with the rows.
-MOST_KEYS = 10_000
+#: Most keys that may have a weight of their own; a table of weights is a setting.
+MOST_WEIGHTS = 1_000
+#: Rows of a key that one window numbers.
+NUMBERED = 1 << 16
 
 
 def pool_index(pool: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFrame]:
-    """The vectors of a pool with their ordinal in their key, and (key, n). Null keys and vectors are left out.
+    """(_key, _ordinal, _vector): the vectors of a pool with their number in their key; and (_key, _n, _at): the keys with how
+    many vectors they have and their own number. Null keys and vectors are left out.
 
-    Ordinals number the rows of a key by a hash of the vector, over a table of one chunk a row.
+    Numbers follow a hash of the vector, or of the key. Both are counted in hash ranges of about NUMBERED rows first, so
+    that no task numbers a whole hot key or all keys.
     """
-    rows = pool.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("_key"), as_double(vector).alias("_vector"))
-    order = W.partitionBy("_key").orderBy(F.xxhash64("_vector"))
-    indexed = rows.withColumn("_ordinal", F.row_number().over(order) - 1)
-    return indexed, rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    rows = pool.filter(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("string").alias("_key"), as_double(vector).alias("_vector"))
+    counts = rows.groupBy("_key").agg(F.count("*").alias("_n"))
+    ranges = F.ceil(F.col("_n") / NUMBERED)
+    sized = rows.join(counts, "_key").withColumn("_range", F.floor(uniform(3, "_vector") * ranges))
+    indexed = numbered(sized, ["_key"], "_range", [F.xxhash64("_vector")], "_ordinal").select("_key", "_ordinal", "_vector")
+    keys = numbered(counts.withColumn("_range", F.floor(uniform(5, "_key") * 64)), [], "_range", [F.col("_key")], "_at")
+    return indexed, keys.select("_key", "_n", "_at")
 
 
 def draw_targets(
     df: DataFrame, pool: DataFrame, key: str, id_col: str, n_picks: int = 1, vector: str = "text_style_emb", seed: int = 1991,
-    target_norm: float | None = None, weights: Mapping[str, float] | None = None, extra: Sequence[str] = (),
+    target_norm: float | None = None, weights: DataFrame | None = None, extra: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` plus target_keys and target_style_emb: ``n_picks`` other keys of the pool, one vector of each, mixed.
 
-    Keys differ from the row's own (from none for a null key; from none either when there is no other), are drawn
-    without replacement by exponential races with ``weights`` as rates, and with replacement when too few have a
-    weight. The mixture is rescaled to ``target_norm`` or to the source's norm. An empty pool gives nulls.
+    Keys differ from the row's own (from none for a null key; from none either when there is no other) and from each other,
+    or are drawn with replacement when there are too few. All keys are alike, or have the weights of a table (key,
+    weight) of at most ``MOST_WEIGHTS`` rows, beside which no other key is drawn while one has a weight. The mixture is
+    rescaled to ``target_norm`` or to the source's norm. An empty pool gives nulls.
+
+    A draw is a number among the keys that are left, which a join turns into a key, and then a number among the vectors of that
+    key, which another join turns into a vector. No row carries the keys.
     """
-    indexed, counts = pool_index(pool, key, vector)
-    if weights is not None:
-        # a weight per key; keys without one cannot be drawn while others can
-        table = df.sparkSession.createDataFrame([(k, float(w)) for k, w in weights.items()], "_key string, _w double")
-        counts = counts.join(F.broadcast(table), "_key", "left").withColumn("_w", F.coalesce("_w", F.lit(0.0)))
-    else:
-        counts = counts.withColumn("_w", F.lit(1.0))
-    keys = counts.groupBy().agg(F.collect_list(F.struct("_key", "_n", "_w")).alias("_keys"))
-    keys = keys.withColumn("_keys", F.when(F.size("_keys") > MOST_KEYS, F.raise_error(F.lit("too many keys in the pool")).cast(keys.schema["_keys"].dataType)).otherwise(F.array_sort("_keys")))
-    rows = df.crossJoin(F.broadcast(keys))  # one row of at most MOST_KEYS keys
-    others = F.filter("_keys", lambda k: ~k["_key"].eqNullSafe(F.col(key).cast("string")))
-    rows = rows.withColumn("_others", F.when(F.size(others) > 0, others).otherwise(F.col("_keys")))
-    weighted = F.filter("_others", lambda k: k["_w"] > 0)
-    rows = rows.withColumn("_from", F.when(F.size(weighted) > 0, weighted).otherwise(F.col("_others")))
+    indexed, keys = pool_index(pool, key, vector)
     parts = [id_col, *extra]
-
-    def rate(k):
-        return F.when(k["_w"] > 0, k["_w"]).otherwise(1.0)
-
-    race = F.array_sort(
-        F.transform("_from", lambda k: F.struct((-F.log(uniform(seed, *parts, k["_key"])) / rate(k)).alias("t"), k["_key"].alias("key"), k["_n"].alias("n")))
-    )
-    # with replacement: one independent race per pick
-    def winner(p: int):
-        return F.array_min(
-            F.transform("_from", lambda k: F.struct((-F.log(uniform(seed + 100 + p, *parts, k["_key"])) / rate(k)).alias("t"), k["_key"].alias("key"), k["_n"].alias("n")))
-        )
-
-    again = F.array(*[winner(p) for p in range(n_picks)])
-    picks = F.when(F.size("_from") >= n_picks, F.slice(race, 1, n_picks)).when(F.size("_from") > 0, again)
-    rows = rows.withColumn("_picks", picks).drop("_keys", "_others", "_from")
-    flat = rows.select(F.struct(*df.columns).alias("_row"), *[F.col(c).alias(f"_p_{i}") for i, c in enumerate(parts)], "_picks")
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.col(key).cast("string").alias("_own"), *[F.col(c).alias(f"_p_{i}") for i, c in enumerate(parts)])
+    ids = [F.col(f"_p_{i}") for i in range(len(parts))]
+    if weights is None:
+        rows = _even_draws(rows, keys, ids, n_picks, seed)
+    else:
+        rows = _weighted_draws(rows, keys, weights, ids, n_picks, seed)
     for p in range(n_picks):
-        pick = F.try_element_at("_picks", F.lit(p + 1))
-        ordinal = F.floor(uniform(seed + 10 + p, *[F.col(f"_p_{i}") for i in range(len(parts))], pick["key"]) * pick["n"]).cast("int")
-        flat = flat.withColumn("_key", pick["key"]).withColumn("_ordinal", ordinal)
-        flat = flat.join(indexed, ["_key", "_ordinal"], "left").withColumnRenamed("_vector", f"_v{p}").drop("_key", "_ordinal")
+        one = keys.select(F.col("_at").alias("_drawn"), F.col("_key").alias(f"_k{p}"), F.col("_n").alias("_of"))
+        rows = rows.withColumn("_drawn", F.get("_picks", F.lit(p))).join(one, "_drawn", "left").drop("_drawn")
+        ordinal = F.floor(uniform(seed + 10 + p, *ids, f"_k{p}") * F.col("_of"))
+        rows = rows.withColumn("_nth", ordinal).drop("_of")
+        them = indexed.select(F.col("_key").alias(f"_k{p}"), F.col("_ordinal").alias("_nth"), F.col("_vector").alias(f"_v{p}"))
+        rows = rows.join(them, [f"_k{p}", "_nth"], "left").drop("_nth")
     vectors = F.array(*[F.col(f"_v{p}") for p in range(n_picks)])
-    weights_of = F.array(*[uniform(seed + 20 + p, *[F.col(f"_p_{i}") for i in range(len(parts))]) for p in range(n_picks)])
-    combined = F.col("_v0") if n_picks == 1 else F.when(F.forall(vectors, lambda v: v.isNotNull()), mixed(vectors, weights_of))
-    out = flat.select("_row.*", F.transform("_picks", lambda p: p["key"]).alias("target_keys"), combined.alias("_combined"))
+    shares = F.array(*[uniform(seed + 20 + p, *ids) for p in range(n_picks)])
+    combined = F.col("_v0") if n_picks == 1 else F.when(F.forall(vectors, lambda v: v.isNotNull()), mixed(vectors, shares))
+    names = F.when(F.col("_k0").isNotNull(), F.array(*[F.col(f"_k{p}") for p in range(n_picks)]))
+    out = rows.select("_row.*", names.alias("target_keys"), combined.alias("_combined"))
     return out.withColumn("target_style_emb", rescaled("_combined", vector, target_norm)).drop("_combined")
 
 
+def _even_draws(rows: DataFrame, keys: DataFrame, ids: Sequence[Column], n_picks: int, seed: int) -> DataFrame:
+    """``rows`` with _picks: numbers of keys, each drawn evenly from those that are left."""
+    total = keys.agg(F.count("*").alias("_all"))  # one row
+    rows = rows.join(keys.select(F.col("_key").alias("_own"), F.col("_at").alias("_not")), "_own", "left").crossJoin(F.broadcast(total))
+    alone = (F.col("_all") == 1) & F.col("_not").isNotNull()
+    out = F.when(F.col("_not").isNotNull() & ~alone, F.array("_not")).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("_out", out).withColumn("_left", F.col("_all") - F.size("_out"))
+    enough = F.col("_left") >= n_picks
+    for p in range(n_picks):
+        # the drawn number counts over the keys that are out, from the smallest on
+        n = F.col("_left") - F.when(enough, p).otherwise(0)
+        drawn = F.floor(uniform(seed + p, *ids) * n)
+        barred = F.when(enough, F.col("_out")).otherwise(F.slice("_out", 1, F.size("_out") - p))
+        place = F.aggregate(F.array_sort(barred), drawn, lambda at, x: at + F.when(at >= x, 1).otherwise(0))
+        rows = rows.withColumn("_out", F.concat("_out", F.array(F.when(n > 0, place))))
+    return rows.withColumn("_picks", F.slice("_out", F.size("_out") - n_picks + 1, n_picks)).drop("_out", "_left", "_all", "_not")
+
+
+def _weighted_draws(rows: DataFrame, keys: DataFrame, weights: DataFrame, ids: Sequence[Column], n_picks: int, seed: int) -> DataFrame:
+    """``rows`` with _picks: numbers of keys by exponential races among the few keys that have a weight."""
+    table = weights.toDF("_key", "_w").filter("_w > 0").limit(MOST_WEIGHTS + 1)
+    if table.count() > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS} weights")
+    known = keys.join(F.broadcast(table), "_key")
+    if known.isEmpty():
+        return _even_draws(rows, keys, ids, n_picks, seed)
+    row = known.agg(F.array_sort(F.collect_list(F.struct("_key", "_at", "_w"))).alias("_known"))
+    rows = rows.crossJoin(F.broadcast(row))  # one row of at most MOST_WEIGHTS keys
+    others = F.filter("_known", lambda k: ~k["_key"].eqNullSafe(F.col("_own")))
+    rows = rows.withColumn("_from", F.when(F.size(others) > 0, others).otherwise(F.col("_known")))
+    race = lambda s: F.array_sort(F.transform("_from", lambda k: F.struct((-F.log(uniform(s, *ids, k["_key"])) / k["_w"]).alias("t"), k["_at"].alias("at"))))
+    first = F.transform(F.slice(race(seed), 1, n_picks), lambda k: k["at"])
+    again = F.array(*[F.get(race(seed + 100 + p), F.lit(0))["at"] for p in range(n_picks)])
+    return rows.withColumn("_picks", F.when(F.size("_from") >= n_picks, first).otherwise(again)).drop("_known", "_from")
+
+
 def with_target_kind(df: DataFrame, domain: str, id_col: str, seed: int, extra: Sequence[str] = (), has_author_targets: bool | None = None) -> DataFrame:
     """``df`` plus target_style_desc: a uniform choice among the kinds its domain may get."""
     from tonewright.functions.scores import DOMAIN_ONLY
@@ -108,8 +134,10 @@ def add_targets(
     Weights by nearness apply to single domains only. An unknown kind is an error at run time.
     """
     kind = F.col("target_style_desc")
-    sim = domain_similarity()
-    weights = domain_weights(source_domain, sim) if source_domain else None
+    weights = None
+    if source_domain:
+        table = domain_weights(domain_similarity(df.sparkSession)).filter(F.col("source") == source_domain).select("target", "weight")
+        weights = None if table.isEmpty() else table  # a domain that the table lacks has no preferences
     known = None
     out = None
     for name, pool, key, picks, w in (
@@ -140,6 +168,10 @@ class Uniform:
     low: float
     high: float
 
+    @staticmethod
+    def mean_of(low: Column, high: Column) -> Column:
+        return (low + high) / 2
+
     def mean(self) -> float:
         return (self.low + self.high) / 2
 
@@ -152,6 +184,10 @@ class LogUniform:
     low: float
     high: float
 
+    @staticmethod
+    def mean_of(low: Column, high: Column) -> Column:
+        return F.when(high > low, (high - low) / F.log(high / low)).otherwise(low)
+
     def mean(self) -> float:
         return (self.high - self.low) / math.log(self.high / self.low)
 
@@ -178,6 +214,11 @@ class Mixture:
     parts: tuple
     weights: tuple[float, ...]
 
+    @staticmethod
+    def mean_of(means: Sequence[Column], weights: Sequence[float]) -> Column:
+        whole = sum(weights)
+        return sum((m * (w / whole) for m, w in zip(means, weights)), F.lit(0.0))
+
     def mean(self) -> float:
         whole = sum(self.weights)
         return sum(p.mean() * w for p, w in zip(self.parts, self.weights)) / whole
@@ -190,26 +231,37 @@ class Mixture:
         return out
 
 
+def numbered(df: DataFrame, by: Sequence[str], bucket: str, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` plus a number from 0 within ``by``, by ``bucket`` and then ``order``: the rows of earlier buckets plus a window within
+    the bucket, so that no task orders a whole group."""
+    sizes = df.groupBy(*by, bucket).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inner = W.partitionBy(*by, bucket).orderBy(*order)
+    joined = df.join(sizes.select(*by, bucket, before.alias("_before")), [*by, bucket])
+    return joined.withColumn(name, F.col("_before") + F.row_number().over(inner) - 1).drop("_before")
+
+
 def ranked(df: DataFrame, u: Column, order: Sequence[Column], name: str, buckets: int = 4096) -> DataFrame:
     """``df`` plus its rank from 0 by a number ``u`` in [0, 1), then ``order``.
 
     Ranks are the rows of earlier buckets of ``u`` plus a window within the bucket, so no task sorts the whole table.
     """
     rows = df.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * buckets))
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_c"))  # at most ``buckets`` rows
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    inner = W.partitionBy("_bucket").orderBy("_u", *order)
-    joined = rows.join(F.broadcast(sizes.select("_bucket", before.alias("_before"))), "_bucket")
-    return joined.withColumn(name, F.col("_before") + F.row_number().over(inner) - 1).drop("_u", "_bucket", "_before")
+    return numbered(rows, [], "_bucket", ["_u", *order], name).drop("_u", "_bucket")
 
 
-def epochs(df: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
+def epochs(df: DataFrame, n: int, seed: int, *key: str, max_samples: int | None = None) -> DataFrame:
     """``df`` once per epoch with columns epoch and position_key; order by both for the epoch's permutation.
 
-    Epoch e is ordered by seed + e. Seed 0 is a seed like any other.
+    Every epoch has an order of its own, and with ``max_samples`` only the first so many of it. Seed 0 is a seed like any other.
     """
     out = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return out.withColumn("position_key", uniform(seed, F.col("epoch"), *key))
+    out = out.withColumn("position_key", uniform(seed, F.col("epoch"), *key))
+    if max_samples is None:
+        return out
+    # row_number keeps max_samples rows a task and epoch before the shuffle
+    order = W.partitionBy("epoch").orderBy("position_key", *key)
+    return out.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= max_samples).drop("_nth")
 
 
 def interleaved(children: Sequence[DataFrame], weights: Sequence[float], draws: int, seed: int) -> DataFrame:

@@ -83,9 +83,9 @@ def near_target(df: DataFrame, similarity: str = "target_style_sim_measure", lim
     return df.filter(F.col(similarity) < limit)
 
 
-def pass_rate(df: DataFrame, keep: Column) -> DataFrame:
-    """(tried, succeeded, rate)"""
-    return df.agg(F.count("*").alias("tried"), F.count_if(keep).alias("succeeded")).withColumn("rate", F.try_divide("succeeded", "tried"))
+def pass_rate(df: DataFrame, keep: Column, *by: str) -> DataFrame:
+    """(*by, tried, succeeded, rate)"""
+    return df.groupBy(*by).agg(F.count("*").alias("tried"), F.count_if(keep).alias("succeeded")).withColumn("rate", F.try_divide("succeeded", "tried"))
 
 
 def shares(df: DataFrame, weight: str, by: Sequence[str], out: str = "share") -> DataFrame:

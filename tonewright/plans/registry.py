@@ -39,10 +39,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from tonewright.plans import pairs, storage, training  # noqa: F401  they register their own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -208,24 +211,30 @@ def corpus_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mean(rows, "ce", "n_tokens", "tst_model"), "corpus_ce")
 
 
-_KEEP_SQL = """(chrf < 0.75 AND bi_score < 0.12 AND cl_score < 0.10 AND NOT (gender_activated AND gender_score < 0.70) AND entity_score >= 0.70
-               AND meaning_score > 0.75 AND sim < 0.92 AND nat >= 0.75)"""
+_COMPLETE = [c for c, _, _ in A.KEEP if c not in ("tst_result_style_sim", "nat_v2")]
+_NAT_SQL = "1.0 / (greatest(styled_text_perplexity - greatest(coalesce(ce, text_perplexity), text_perplexity) - 0.7, 0) + 1)"
 
 
 @query(
     "keep_rate",
-    f"""SELECT tst_model, count(*) AS tried, count(*) FILTER (WHERE {_KEEP_SQL}) AS succeeded FROM (
-          SELECT *, naturality_score AS nat, 0.5 + style_score / 4 AS sim FROM tst_results WHERE gender_activated IS NOT NULL
-            AND (NOT gender_activated OR (gender_score IS NOT NULL AND NOT isnan(gender_score)))
-            AND {" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("chrf", "bi_score", "cl_score", "entity_score", "meaning_score", "style_score", "naturality_score"))})
+    f"""SELECT tst_model, count(*) AS tried, count(*) FILTER (WHERE chrf < 0.75 AND bi_score < 0.12 AND cl_score < 0.10 AND NOT (gender_activated AND gender_score < 0.70)
+                 AND entity_score >= 0.70 AND meaning_score > 0.75 AND sim < 0.92 AND nat >= 0.75) AS succeeded,
+               round(count(*) FILTER (WHERE chrf < 0.75 AND bi_score < 0.12 AND cl_score < 0.10 AND NOT (gender_activated AND gender_score < 0.70)
+                 AND entity_score >= 0.70 AND meaning_score > 0.75 AND sim < 0.92 AND nat >= 0.75) / count(*)::DOUBLE, 6) AS rate
+        FROM (SELECT *, {_sim_sql("text_style_emb", "styled_text_style_emb")} AS sim, {_NAT_SQL} AS nat FROM tst_results LEFT JOIN {_ce_sql()} ON known.style = target_style
+              WHERE gender_activated IS NOT NULL AND (NOT gender_activated OR (gender_score IS NOT NULL AND NOT isnan(gender_score)))
+                AND {_usable_sql("text_style_emb")} AND {_usable_sql("styled_text_style_emb")}
+                AND {" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in (*_COMPLETE, "text_perplexity", "styled_text_perplexity"))})
         GROUP BY tst_model""",
 )
 def keep_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keep mask over complete rows; style and naturality stand in for the two columns that the table lacks."""
-    rows = table(spark, sf_dir, "tst_results").withColumn("tst_result_style_sim", 0.5 + F.col("style_score") / 4).withColumn("nat_v2", F.col("naturality_score"))
-    mask = A.keep_mask(rows, strict=False)
-    rows = rows.select("tst_model", mask.alias("keep")).filter("keep is not null")
-    return rows.groupBy("tst_model").agg(F.count("*").alias("tried"), F.count_if("keep").alias("succeeded"))
+    """The share of complete rows that the strict keep mask passes, by model."""
+    rows = spread(table(spark, sf_dir, "tst_results")).filter(usable("text_style_emb") & usable("styled_text_style_emb"))
+    rows = _nan_safe(rows, *_COMPLETE, "text_perplexity", "styled_text_perplexity")
+    rows = rows.filter("gender_activated is not null and (not gender_activated or (gender_score is not null and not isnan(gender_score)))")
+    rows = rows.withColumn("tst_result_style_sim", V.sim_measure("text_style_emb", "styled_text_style_emb"))
+    rows = rows.withColumn("nat_v2", S.nat_v2("styled_text_perplexity", "text_perplexity", "target_style"))
+    return rounded(A.pass_rate(rows, A.keep_mask(rows), "tst_model"), "rate")
 
 
 @query(
@@ -301,19 +310,22 @@ def novel_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM tst_results t LEFT JOIN means m ON t.text = m.text AND t.styled_text = m.styled_text WHERE t.text IS NOT NULL AND t.styled_text IS NOT NULL GROUP BY tst_model""",
 )
 def chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread(table(spark, sf_dir, "tst_results").select("tst_model", "text", "styled_text")).filter(_PAIR).select("tst_model", chrf_score("styled_text", "text").alias("chrf"))
-    return rounded(rows.groupBy("tst_model").agg(F.avg("chrf").alias("chrf"), F.count("*").alias("n")), "chrf")
+    """Mean copying score by model; equal pairs are scored once."""
+    rows = spread(table(spark, sf_dir, "tst_results").select("tst_model", "text", "styled_text")).filter(_PAIR)
+    pairs = rows.groupBy("text", "styled_text", "tst_model").agg(F.count("*").alias("times"))
+    scored = pairs.select("tst_model", "times", chrf_score("styled_text", "text").alias("chrf"))
+    return rounded(scored.groupBy("tst_model").agg(S.weighted_mean("chrf", "times").alias("chrf"), F.sum("times").alias("n")), "chrf")
 
 
-@query(
-    "domain_similarity",
-    f"""WITH units AS (SELECT domain, list_transform(CAST(text_style_emb AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(text_style_emb AS DOUBLE[]), CAST(text_style_emb AS DOUBLE[])))) AS u
+_SIMILARITY_SQL = f"""WITH units AS (SELECT domain, list_transform(CAST(text_style_emb AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(text_style_emb AS DOUBLE[]), CAST(text_style_emb AS DOUBLE[])))) AS u
                        FROM style_pool WHERE domain IS NOT NULL AND {_usable_sql("text_style_emb")}),
         dims AS (SELECT domain, d, avg(x) AS x FROM (SELECT domain, unnest(range(64)) AS d, unnest(u) AS x FROM units) GROUP BY domain, d),
         pairs AS (SELECT a.domain AS source, b.domain AS target, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))) AS c
                   FROM dims a JOIN dims b ON a.d = b.d AND a.domain <> b.domain GROUP BY a.domain, b.domain)
-        SELECT source, target, round(c, 6) AS cosine FROM pairs""",
-)
+        SELECT source, target, round(c, 6) AS cosine FROM pairs"""
+
+
+@query("domain_similarity", _SIMILARITY_SQL)
 def domain_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, "style_pool").filter("domain is not null").filter(usable("text_style_emb"))
     c = A.group_centroids(pool, "domain", "text_style_emb")  # one row per domain
@@ -408,19 +420,15 @@ def source_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _weights_sql() -> str:
-    rows = [f"('{s}', '{t}', {v})" for (s, t), v in S.domain_similarity().items() if s != t]
-    return f"(VALUES {', '.join(rows)}) AS sims(source, target, sim)"
-
-
 @query(
     "domain_weights",
     f"""SELECT source, target, round(w / sum(w) OVER (PARTITION BY source), 6) AS weight
-        FROM (SELECT source, target, 1 - 0.95 * least(greatest((sim - 0.82) / 0.15, 0), 1) AS w FROM {_weights_sql()})""",
+        FROM (SELECT source, target, 1 - 0.95 * least(greatest((cosine - 0.82) / 0.15, 0), 1) AS w FROM ({_SIMILARITY_SQL}))""",
 )
 def domain_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(s, t, round(w, 6)) for s in S.DOMAINS for t, w in (S.domain_weights(s) or {}).items()]
-    return spark.createDataFrame(rows, "source string, target string, weight double")
+    """Weights of the other domains as targets, from the measured similarities."""
+    sims = domain_similarity(spark, sf_dir).withColumnRenamed("cosine", "sim")
+    return rounded(S.domain_weights(sims), "weight")
 
 
 @query(
@@ -443,48 +451,3 @@ def decoded_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "tst_results").filter("target_style is not null and styled_text is not null").select("row_id", "styled_text", X.author_tag("target_style").alias("tag"))
     output = rows.withColumn("output", F.concat("tag", "styled_text"))
     return output.select("row_id", X.decoded("output", "tag", "</s>").alias("decoded"), X.prompt("tag", "styled_text").alias("prompt"))
-
-
-@query("drawn_targets")
-def drawn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two other domains drawn and mixed for every source with a usable vector."""
-    columns = ["row_id", "domain", "text_style_emb"]
-    rows = spread(table(spark, sf_dir, "tst_results").select(*columns)).filter(usable("text_style_emb"))
-    pool = table(spark, sf_dir, "style_pool").filter(usable("text_style_emb"))
-    out = P.draw_targets(rows, pool, "domain", "row_id", 2)
-    return out.select("row_id", "domain", "target_keys", F.round(V.norm("target_style_emb"), 3).alias("norm"), F.round(V.sim_measure("text_style_emb", "target_style_emb"), 6).alias("similarity"))
-
-
-@query("segmented_chapters")
-def segmented_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training chunks of all chapters with their assembled sources and targets."""
-    cut = C.segment_chapters(table(spark, sf_dir, "book_chapters"), P.Gamma(40, 5, 200))
-    return C.assemble(cut, ["text_source_opt1", "text_source_opt2"], seed=7)
-
-
-@query("string_similarity")
-def string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matching ratio of the stored style and author of every result."""
-    from tonewright.functions.strings import string_similarity as ratio
-
-    rows = table(spark, sf_dir, "tst_results").select("target_style", "author").distinct()
-    return rounded(rows.select("target_style", "author", ratio("target_style", "author").alias("ratio")), "ratio")
-
-
-@query("alignment_by_words")
-def alignment_by_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignment scores from edges between equal words."""
-    rows = spread(table(spark, sf_dir, "tst_results").select("row_id", "text", "styled_text")).filter(_PAIR)
-    s, t = X.clean_words("text"), X.clean_words("styled_text")
-    edges = V.let(t, lambda ws: F.transform(s, lambda w, i: F.struct(i.alias("i"), (F.array_position(ws, w) - 1).cast("int").alias("j"))))
-    edges = F.filter(edges, lambda e: e["j"] >= 0)
-    scored = G.alignment_scores(rows.withColumn("edges", edges))
-    return rounded(scored.select("row_id", "bi_score", "cl_score", "has_bi", "has_cl"), "bi_score", "cl_score")
-
-
-@query("interleaved_mix")
-def interleaved_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As many draws as there are documents, interleaved from news, forum and prose by weight."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    children = [docs.filter(F.col("source") == s) for s in ("news", "forum", "prose")]
-    return P.interleaved(children, [0.5, 0.3, 0.2], docs.count(), 7)

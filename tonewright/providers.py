@@ -7,10 +7,11 @@ batches, built once per Python worker; ``once`` computes a feature for distinct
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from typing import Any, Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What each provider adds: name to columns and types.
@@ -28,7 +29,67 @@ CONTRACTS = {
     "translation": "string",
 }
 #: Generation presets.
-PRESETS = {"deterministic": {"do_sample": False, "num_return_sequences": 1}, "sampled": {"do_sample": True, "top_p": 0.95, "num_return_sequences": 4}}
+PRESETS = {
+    "v1": {"do_sample": True, "temperature": 0.8, "top_p": 0.95, "top_k": 50, "repetition_penalty": 1.0},
+    "v2": {"num_beams": 4, "early_stopping": True},
+    "v3": {"do_sample": True, "top_p": 0.8, "temperature": 1.0},
+}
+#: Options that have other names now, with these.
+RENAMED = {"max_length": ("max_input_length", "max_output_length"), "min_length": ("min_output_length",)}
+
+
+@dataclass(frozen=True)
+class GenerationConfig:
+    """Settings of a generator, checked when they are made.
+
+    Both length budgets are needed: ids kept of the input, and ids generated. ``preset`` names one of PRESETS. The norm
+    convention of style vectors is "normalized", "unnormalized" or None.
+    """
+
+    max_input_length: int
+    max_output_length: int
+    min_output_length: int = 32
+    model_type: str = "T5"
+    preset: str = "v1"
+    batch_size: int = 8
+    num_sequences: int = 1
+    norm: str | None = None
+
+    def __post_init__(self):
+        from tonewright.functions.vector import norm_ok
+
+        if self.model_type not in ("T5", "GPT"):
+            raise ValueError(f"unknown model type {self.model_type!r}")
+        if self.preset not in PRESETS:
+            raise ValueError(f"unknown preset {self.preset!r}")
+        if min(self.max_input_length, self.max_output_length, self.batch_size, self.num_sequences) < 1:
+            raise ValueError("lengths, batches and numbers of sequences are at least 1")
+        norm_ok("_", self.norm)
+
+    @classmethod
+    def of(cls, **options) -> GenerationConfig:
+        """Settings from options; a renamed or missing one is an error that says what to give."""
+        for old in RENAMED.keys() & options.keys():
+            raise ValueError(f"{old} is now {' and '.join(RENAMED[old])}")
+        missing = {"max_input_length", "max_output_length"} - options.keys()
+        if missing:
+            raise ValueError(f"needed: {', '.join(sorted(missing))}")
+        return cls(**options)
+
+    def lengths(self) -> dict[str, int]:
+        """The options of a model's own generation that hold the output to its budget."""
+        names = ("max_new_tokens", "min_new_tokens") if self.model_type == "GPT" else ("max_length", "min_length")
+        return dict(zip(names, (self.max_output_length, self.min_output_length)))
+
+    def options(self) -> dict[str, Any]:
+        return PRESETS[self.preset] | self.lengths() | {"num_return_sequences": self.num_sequences}
+
+    def model_input(self, ids: str | Column, tag: Column) -> Column:
+        """Input ids: T5 has the tag in front and cuts all to the budget, GPT cuts the text and then has the tag behind."""
+        c = F.col(ids) if isinstance(ids, str) else ids
+        if self.model_type == "T5":
+            return F.slice(F.concat(tag, c), 1, self.max_input_length)
+        return F.concat(F.slice(c, 1, self.max_input_length), tag)
 
 
 class Provider(Protocol):
@@ -113,6 +174,10 @@ def corpus_cross_entropy(df: DataFrame, ce: str = "ce", tokens: str = "n_tokens"
     return df.groupBy(*by).agg(weighted_mean(ce, tokens).alias("corpus_ce"))
 
 
-def via_translation(there: Provider, back: Provider) -> Provider:
-    """Style transfer by translating to another language and back, each distinct text once."""
-    return lambda df: back(there(df))
+def via_translation(there: Provider, back: Provider, text: str = "text", between: str = "translated", out: str = "styled_text") -> Provider:
+    """Style transfer by translating to another language and back.
+
+    ``there`` adds ``between`` to a frame with ``text``, ``back`` adds ``out`` to one with ``between``. Each distinct text goes there
+    and each distinct translation comes back once.
+    """
+    return lambda df: once(once(df, there, text, between), back, between, out)

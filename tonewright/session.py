@@ -17,6 +17,8 @@ def get_spark(app: str = "tonewright", cores: str | None = None) -> SparkSession
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.compress", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # a checkpoint goes when no plan needs it any more
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("TONEWRIGHT_DRIVER_MEMORY", "10g"))

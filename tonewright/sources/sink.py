@@ -30,6 +30,11 @@ def _files(spark: SparkSession, folder: str):
     return fs, path
 
 
+def exists(spark: SparkSession, folder: str) -> bool:
+    fs, path = _files(spark, folder)
+    return fs.exists(path)
+
+
 def parts(spark: SparkSession, folder: str) -> list[str]:
     """Names of the stored parts, in order."""
     fs, path = _files(spark, folder)
@@ -67,13 +72,20 @@ def read_results(spark: SparkSession, folder: str) -> DataFrame | None:
     return spark.read.option("mergeSchema", True).parquet(*[f"{folder}/{n}" for n in names])
 
 
-def compact(spark: SparkSession, folder: str, order: str = "example_number", files: int = 1) -> DataFrame | None:
-    """All parts in one, ordered by id. The new part is complete before an old one is deleted."""
+#: Bytes of a file of a compacted store.
+FILE_BYTES = 256 << 20
+
+
+def compact(spark: SparkSession, folder: str, order: str = "example_number", files: int | None = None) -> DataFrame | None:
+    """All parts in one, ordered by id over its files, as many as FILE_BYTES each need. The new part is complete before an old
+    one is deleted."""
     names = parts(spark, folder)
     df = read_results(spark, folder)
     if df is None or len(names) < 2:
         return df
     fs, fresh = _files(spark, f"{folder}/.compact.{uuid.uuid4().hex}")
+    if files is None:
+        files = 1 + sum(fs.getContentSummary(_files(spark, f"{folder}/{n}")[1]).getLength() for n in names) // FILE_BYTES
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.option("compression", "gzip").parquet(fresh.toString())
     last = max(int(p.split("_")[1].split(".")[0]) for p in names)
     fs.rename(fresh, _files(spark, f"{folder}/part_{last + 1:05d}")[1])
