@@ -208,8 +208,7 @@ def united_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "string_similarity",
-    """SELECT target_style, author, CASE WHEN lower(target_style) = lower(author) THEN true WHEN jaro_winkler_similarity('', '') IS NULL THEN NULL ELSE false END AS same
-       FROM (SELECT DISTINCT target_style, author FROM tst_results) WHERE target_style IS NOT NULL AND author IS NOT NULL""",
+    """SELECT DISTINCT target_style, author, lower(target_style) = lower(author) AS same FROM tst_results WHERE target_style IS NOT NULL AND author IS NOT NULL""",
 )
 def string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which stored styles and authors have a matching ratio of 1: those that are equal but for their case."""
@@ -221,8 +220,8 @@ def string_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "model_inputs",
-    r"""SELECT row_id, least(n, 63) + 1 AS n_gpt, least(n + 1, 64) AS n_t5, CAST(1 AS INTEGER) AS gpt_last, CAST(1 AS INTEGER) AS t5_first FROM (
-          SELECT row_id, len(list_filter(string_split_regex(text, '[\s\x0b\x{85}\p{Z}]+'), lambda w: w <> '')) AS n FROM tst_results WHERE text IS NOT NULL)""".replace("least(n, 63) + 1", "least(n, 64) + 1"),
+    r"""SELECT row_id, least(n, 64) + 1 AS n_gpt, least(n + 1, 64) AS n_t5, CAST(1 AS INTEGER) AS gpt_last, CAST(1 AS INTEGER) AS t5_first FROM (
+          SELECT row_id, len(list_filter(string_split_regex(text, '[\s\x0b\x{85}\p{Z}]+'), lambda w: w <> '')) AS n FROM tst_results WHERE text IS NOT NULL)""",
 )
 def model_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs of both model types with lengths of words as ids: the tag in front within the budget, or behind the cut text."""
