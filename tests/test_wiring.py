@@ -166,3 +166,32 @@ def test_numbers_of_a_hot_key(spark, monkeypatch):
     indexed, keys = P.pool_index(pool, "author", "text_style_emb")
     hot = sorted(r["_ordinal"] for r in indexed.filter("_key = 'hot'").collect())
     assert hot == list(range(200)) and sorted(r["_at"] for r in keys.collect()) == list(range(101))
+
+
+def test_best_removals_equal_the_single_ones(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["дом", "кот,", "лес", "— пёс", "сад;", "снег."]) for _ in range(12)) for _ in range(30)] + ["", None]
+    rows = [(i, "дом кот", t, [rng.choice([0.0, 0.3, 0.9]) for _ in (t or "").split()]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, text string, styled_text string, scores array<double>")
+    cost = lambda s, t: (len(t) % 7 / 7, [len(t) % 3 / 3])
+
+    def rescore(pairs):
+        n = F.length("candidate")
+        return pairs.withColumn("bi_score", n % 7 / 7).withColumn("cl_word_scores", F.array(n % 3 / 3))
+
+    got = {r["id"]: r["cleaned_text"] for r in Z.best_removals(df, "id", "text", "styled_text", "scores", rescore).collect()}
+    assert got == {i: None if t is None else Z.best_removal(s, t, scores, cost) for i, s, t, scores in rows}
+
+
+def test_readable_and_training_frame(spark):
+    from tonewright.operators import segment as C
+
+    df = spark.createDataFrame([("a b c", "d", [1.0]), ("", None, None)], "source string, target string, target_style_emb array<double>")
+    lengths = lambda c: F.transform(X.words(c), F.length)
+    t5, gpt = (C.training_frame(df, lengths, m, 4, 9).collect() for m in ("T5", "GPT"))
+    assert t5[0].asDict() == {"style": [1.0], "input_ids": [1, 1, 1, 9], "attention_mask": [1] * 4, "labels": [1, 9]} and gpt[0]["input_ids"] == [1, 1, 1, 9]
+    assert t5[1]["input_ids"] == [9] and t5[1]["labels"] is None and gpt[1]["input_ids"] is None
+    ids = spark.createDataFrame([([72, -100, 105],), (None,)], "ids array<int>")
+    assert [r[0] for r in ids.select(C.readable("ids", lambda x: bytes(x).decode())).collect()] == ["Hi", None]
+    with pytest.raises(ValueError):
+        C.training_frame(df, lengths, "RNN", 4, 9)

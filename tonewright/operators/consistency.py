@@ -158,6 +158,17 @@ def word_vectors(subwords: np.ndarray, owner: Sequence[int]) -> np.ndarray:
     return np.stack([subwords[owner == w].mean(0) for w in range(owner.max() + 1)]) if len(owner) else np.zeros((0, subwords.shape[1]))
 
 
+def word_probabilities(probabilities: str | Column, owner: str | Column, n_words: Column) -> Column:
+    """The probability of each word, that of its first sub-word; 0 for words beyond what the classifier read.
+
+    ``owner`` is the word of each sub-word.
+    """
+    p, o = (F.col(c) if isinstance(c, str) else c for c in (probabilities, owner))
+    first = lambda w: F.array_position(o, w.cast("int")).cast("int")
+    each = F.transform(F.sequence(F.lit(0), n_words - 1), lambda w: F.when(first(w) > 0, F.coalesce(F.get(p, first(w) - 1), F.lit(0.0))).otherwise(0.0))
+    return F.when(n_words > 0, each).otherwise(F.array().cast("array<double>"))
+
+
 def ensemble(df: DataFrame, source: str, target: str, edges: str, bi_probability: str, cl_probability: str, window: int = 15, alpha: float = 0.8, gate: float = BI_ROLLING, limit: float = 0.45) -> DataFrame:
     """``df`` plus bi_score, cl_score, bi_word_scores, cl_word_scores, has_bi and has_cl of the ensemble, and cleaned_text.
 

@@ -5,7 +5,7 @@ Chapters are grouped by (author, title, chapter_pos); one group is one chapter o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -64,16 +64,19 @@ def chunk_count(tokens: Column, mean: float, n_sentences: Column) -> Column:
     return F.least(F.greatest(F.lit(1), F.bround(tokens / F.lit(float(mean)), 0).cast("int")), n_sentences.cast("int"))
 
 
-def segment_chapters(df: DataFrame, sampler, keys: Sequence[str] = ("author", "title", "chapter_pos"), order: Sequence[str] = ("sent_pos",), text: str = "text_ru", tokens: str | None = None, seed: int = 1991) -> DataFrame:
+def segment_chapters(df: DataFrame, sampler, keys: Sequence[str] = ("author", "title", "chapter_pos"), order: Sequence[str] = ("sent_pos",), text: str = "text_ru", tokens: str | None = None, seed: int = 1991, n_epochs: int = 1) -> DataFrame:
     """``df`` plus n_chunks and chunk: chapters cut into chunks of sentences.
 
     Sentences are ordered by ``order``, then text; sentences with a null or empty text are left out. ``tokens`` is a
-    column of token counts, words by default. The lengths of a chapter depend on the seed and its keys only.
+    column of token counts, words by default. The lengths of a chapter depend on the seed and its keys only. With several
+    epochs every chapter comes once an epoch (column epoch), cut anew.
     """
     from tonewright.functions.text import words
 
     added = ("sent_no", "chunk", "n_chunks")
     rows = df.select(*[c for c in df.columns if c not in added]).filter(F.length(text) > 0)
+    if n_epochs > 1:
+        rows, keys = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n_epochs - 1)))), (*keys, "epoch")
     count = F.col(tokens) if tokens else F.size(words(text))
     mean = float(sampler.mean())
     schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.IntegerType()) for c in added]])
@@ -115,6 +118,62 @@ def assemble(segmented: DataFrame, sources: Sequence[str], keys: Sequence[str] =
     return grouped.select(*keys, "chunk", join("s").alias("source"), join("t").alias("target"), F.size("_l").alias("n_sentences"))
 
 
+def assemble_ids(
+    segmented: DataFrame, sources: Sequence[str], target: str, model: str, most: int, eos: int, space: int | None = None, tag: Column | None = None,
+    keys: Sequence[str] = ("author", "title", "chapter_pos"), seed: int | None = None,
+) -> DataFrame:
+    """(keys, chunk, input_ids, attention_mask, labels): training rows of chunks of sentences given as id arrays.
+
+    ``sources`` are the columns of a sentence's options, the first non-empty one being taken, or one at random by hash with a
+    ``seed``; a sentence without an option adds no ids to the source. GPT has the id ``space`` between sentences. Sides are cut as
+    by ``pair_input``.
+    """
+    from tonewright.functions.vector import uniform
+
+    options = F.filter(F.array(*[F.col(c) for c in sources]), lambda o: o.isNotNull() & (F.size(o) > 0))
+    at = F.lit(0) if seed is None else F.floor(uniform(seed, *keys, "sent_no") * F.size(options)).cast("int")
+    nothing = F.array().cast("array<int>")
+    rows = segmented.select(*keys, "chunk", "sent_no", F.coalesce(F.get(options, at), nothing).cast("array<int>").alias("s"), F.coalesce(F.col(target), nothing).cast("array<int>").alias("t"))
+    grouped = rows.groupBy(*keys, "chunk").agg(F.array_sort(F.collect_list(F.struct("sent_no", "s", "t"))).alias("_l"))  # the sentences of a chunk
+    gap = F.array(F.lit(space).cast("int")) if model == "GPT" and space is not None else nothing
+
+    def joined(side):
+        return F.flatten(F.transform("_l", lambda x, i: F.concat(F.when(i > 0, gap).otherwise(nothing), x[side])))
+
+    whole = grouped.select(*keys, "chunk", joined("s").alias("_s"), joined("t").alias("_t"))
+    return whole.select(*keys, "chunk", *[c.alias(n) for n, c in pair_input("_s", "_t", model, most, eos, tag).items()])
+
+
+def training_frame(
+    df: DataFrame, tokenise: Callable[[Column], Column], model: str, most: int, eos: int, source: str = "source", target: str = "target", style: str = "target_style_emb",
+) -> DataFrame:
+    """(style, input_ids, attention_mask[, labels]): stored pairs as training rows; texts and other columns are left out.
+
+    ``tokenise`` gives the ids of a text column. T5 cuts each side to ``most`` ids, its end mark among them. GPT has source, end
+    mark, target and end mark in one sequence, cut to ``most`` in all.
+    """
+    s, t, end = tokenise(F.col(source)), tokenise(F.col(target)), F.array(F.lit(eos))
+    if model == "T5":
+        columns = {"input_ids": F.concat(F.slice(s, 1, most - 1), end), "labels": F.concat(F.slice(t, 1, most - 1), end)}
+    elif model == "GPT":
+        columns = {"input_ids": F.slice(F.concat(s, end, t, end), 1, most)}
+    else:
+        raise ValueError(f"unknown model type {model!r}")
+    ids = df.select(F.col(style).alias("style"), *[c.alias(n) for n, c in columns.items()])
+    mask = F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask")
+    return ids.select("style", "input_ids", mask, *[n for n in columns if n != "input_ids"])
+
+
+def readable(ids: str | Column, decode: Callable[[Sequence[int]], str]) -> Column:
+    """Texts of id arrays for the eye, ids below 0 left out; null for null."""
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else decode([int(i) for i in x if i >= 0]) for x in lists])
+
+    return run(ids)
+
+
 def pair_input(source: str, target: str, model: str, most: int, eos: int, tag: Column | None = None) -> dict[str, Column]:
     """input_ids, attention_mask and labels of a pair of id arrays, cut to ``most`` a side.
 

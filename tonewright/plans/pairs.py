@@ -110,6 +110,21 @@ def ensemble_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("row_id", peak.alias("bi_peak"), mean.alias("bi_mean"), "has_cl"), "bi_peak", "bi_mean")
 
 
+@query(
+    "word_chances",
+    f"""SELECT row_id, n, round(coalesce(list_sum(list_transform(range(n), lambda w: CASE WHEN 2 * w < 60 THEN 1.0 / (2 * w + 1) ELSE 0 END)), 0), 6) AS total
+        FROM (SELECT row_id, len({_words_sql("text")}) AS n FROM tst_results WHERE text IS NOT NULL)""",
+)
+def word_chances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of words from those of their first sub-words: two sub-words a word, sixty read, the i-th of 1 / (i + 1)."""
+    n = F.size(X.words("text"))
+    rows = table(spark, sf_dir, "tst_results").filter("text is not null").select("row_id", n.alias("n"))
+    chance = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: 1.0 / (i + 1))
+    owner = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.floor(i / 2).cast("int"))
+    each = G.word_probabilities(chance, owner, F.col("n"))
+    return rounded(rows.select("row_id", "n", F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("total")), "total")
+
+
 #: A tagger by endings, for tests of what follows a tagger.
 _TAGS = {"он": "PRON|Gender=Masc|Number=Sing", "она": "PRON|Gender=Fem|Number=Sing"}
 

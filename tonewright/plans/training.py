@@ -180,3 +180,44 @@ def expected_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = P.Uniform.mean_of(lo, hi)
     out = stats.select("author", even.alias("even"), P.LogUniform.mean_of(lo, hi).alias("log_even"), m.alias("gamma"), P.Mixture.mean_of([even, m], [0.25, 0.75]).alias("mixture"))
     return rounded(out, "even", "log_even", "gamma", "mixture", digits=4)
+
+
+def _lengths_sql(text: str) -> str:
+    return f"list_transform({_words_sql(text)}, lambda w: CAST(length(w) AS BIGINT))"
+
+
+@query(
+    "training_pairs",
+    f"""SELECT row_id, least(len(s), 31) + 1 AS n_t5, least(len(t), 31) + 1 AS n_labels, len(g) AS n_gpt, CAST(list_sum(g) AS BIGINT) AS gpt_sum FROM (
+          SELECT row_id, s, t, list_concat(s, [2::BIGINT], t, [2::BIGINT])[1:32] AS g FROM (SELECT row_id, {_lengths_sql("text")} AS s, {_lengths_sql("styled_text")} AS t FROM tst_results
+            WHERE text IS NOT NULL AND styled_text IS NOT NULL))""",
+)
+def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored pairs as training rows of both model types, with lengths of words as ids."""
+    rows = table(spark, sf_dir, "tst_results").filter("text is not null and styled_text is not null")
+    rows = rows.select(F.col("text").alias("source"), F.col("styled_text").alias("target"), F.col("row_id").alias("target_style_emb"))
+    lengths = lambda c: F.transform(X.words(c), F.length)
+    t5 = C.training_frame(rows, lengths, "T5", 32, 2).select(F.col("style").alias("row_id"), F.size("input_ids").alias("n_t5"), F.size("labels").alias("n_labels"))
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("gpt_sum")
+    gpt = C.training_frame(rows, lengths, "GPT", 32, 2).select(F.col("style").alias("row_id"), F.size("attention_mask").alias("n_gpt"), total)
+    return t5.join(gpt, "row_id")
+
+
+@query(
+    "chapter_ids",
+    f"""WITH s AS (SELECT author, title, chapter_pos, e, {_lengths_sql("text_ru")} AS t, coalesce(CASE WHEN len({_words_sql("text_source_opt1")}) > 0 THEN {_lengths_sql("text_source_opt1")} END,
+                          CASE WHEN len({_words_sql("text_source_opt2")}) > 0 THEN {_lengths_sql("text_source_opt2")} END, []) AS o FROM book_chapters, range(2) AS r(e) WHERE length(text_ru) > 0),
+        c AS (SELECT author, title, chapter_pos, e, CAST(least(greatest(1, round_even(sum(len(t)) / 40.0, 0)), count(*)) AS BIGINT) AS k, CAST(sum(coalesce(list_sum(t), 0)) AS BIGINT) AS ts,
+                     CAST(sum(coalesce(list_sum(o), 0)) AS BIGINT) AS os, count(*) AS n FROM s GROUP BY ALL)
+        SELECT author, title, chapter_pos, e AS epoch, k AS n_chunks, ts + os + 1000 * 2 * (n - k) + 2 * 2 * k AS ids FROM c""",
+)
+def chapter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of two epochs as training rows of ids: all ids of all sentences, a space between two of a chunk, two end marks a chunk."""
+    rows = table(spark, sf_dir, "book_chapters")
+    cut = C.segment_chapters(rows, P.Gamma(40, 5, 200), n_epochs=2)
+    lengths = {c: F.transform(X.words(c), F.length) for c in ("text_ru", "text_source_opt1", "text_source_opt2")}
+    keys = ("author", "title", "chapter_pos", "epoch")
+    ids = C.assemble_ids(cut.withColumns(lengths), ["text_source_opt1", "text_source_opt2"], "text_ru", "GPT", 100_000, 2, space=1000, keys=keys)
+    total = F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)
+    out = ids.select(*keys, total.alias("ids")).groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.sum("ids").alias("ids"))
+    return out.withColumn("epoch", F.col("epoch").cast("long"))
