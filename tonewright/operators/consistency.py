@@ -163,10 +163,15 @@ def word_probabilities(probabilities: str | Column, owner: str | Column, n_words
 
     ``owner`` is the word of each sub-word.
     """
+    def each(x):
+        def chance(w):
+            at = F.array_position(x["o"], w).cast("int")
+            return F.when(at > 0, F.coalesce(F.get(x["p"], at - 1), F.lit(0.0))).otherwise(0.0)
+
+        return F.when(x["n"] > 0, F.transform(F.sequence(F.lit(0), x["n"] - 1), chance)).otherwise(F.array().cast("array<double>"))
+
     p, o = (F.col(c) if isinstance(c, str) else c for c in (probabilities, owner))
-    first = lambda w: F.array_position(o, w.cast("int")).cast("int")
-    each = F.transform(F.sequence(F.lit(0), n_words - 1), lambda w: F.when(first(w) > 0, F.coalesce(F.get(p, first(w) - 1), F.lit(0.0))).otherwise(0.0))
-    return F.when(n_words > 0, each).otherwise(F.array().cast("array<double>"))
+    return let(F.struct(p.alias("p"), o.cast("array<int>").alias("o"), n_words.cast("int").alias("n")), each)
 
 
 def ensemble(df: DataFrame, source: str, target: str, edges: str, bi_probability: str, cl_probability: str, window: int = 15, alpha: float = 0.8, gate: float = BI_ROLLING, limit: float = 0.45) -> DataFrame:
