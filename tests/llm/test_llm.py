@@ -393,6 +393,36 @@ def test_pair_checks():
         assert DF.distance_within(list(a), list(b), d) and not DF.distance_within(list(a), list(b), d - 1)
 
 
+def test_distance_brute_force():
+    rng = random.Random(11)
+
+    def whole(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j - 1] + (x != y), old[j] + 1, row[-1] + 1))
+        return row[-1]
+
+    for _ in range(600):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
+        d = whole(a, b)
+        assert [DF.distance_within(a, b, k) for k in range(10)] == [d <= k for k in range(10)], (a, b)
+    long = [str(i) for i in range(30_000)]
+    assert DF.distance_within(long, [*long[:7], "x", *long[8:20_000], *long[20_001:]], 3000)
+
+
+def test_defects_of_odd_tables(spark):
+    schema = "row_id long, text string, styled_text string, value string, id string, answer string"
+    fields = {"text": "value", "styled_text": "id"}
+    empty = spark.createDataFrame([], schema)
+    assert DF.find_defects(empty, "row_id", "text", "styled_text", fields).collect() == []
+    few = spark.createDataFrame([(1, None, None, "v", "i", "a"), (1, None, None, "v", "i", "a"), (None, "Дом стоит.", "", "v", None, None), (3, " ", "слово " * 30_000, None, None, None)], schema)
+    got = sorted((r["row_id"] or 0, r["defect"]) for r in DF.find_defects(few, "row_id", "text", "styled_text", fields).collect())
+    assert got == [(0, "empty"), (1, "empty"), (1, "empty")]
+    assert find_truncated(few, "row_id", fields).count() <= 1
+
+
 def test_defects(spark):
     texts, answers = _stories(400, 8), _stories(400, 9)
     english = "The old man was in the house and he did not see her. She said that it was late and they had to go."

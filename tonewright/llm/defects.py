@@ -100,32 +100,32 @@ def is_empty(answer: str | None) -> bool:
 
 
 def distance_within(a: list, b: list, most: int) -> bool:
-    """Whether the edit distance of two lists is at most ``most``, by a band around the diagonal."""
+    """Whether the edit distance of two lists is at most ``most``, by the furthest place of each diagonal for 0, 1, ... edits.
+
+    The work grows with the square of the distance, not with the length.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
-    s = e = 0
-    while s < min(n, m) and a[s] == b[s]:
-        s += 1
-    while e < min(n, m) - s and a[n - 1 - e] == b[m - 1 - e]:
-        e += 1
-    a, b, n, m = a[s : n - e], b[s : m - e], n - s - e, m - s - e
-    big = most + 1
-    row = {j: j for j in range(0, min(m, most) + 1)}
-    for i in range(1, n + 1):
-        new: dict[int, int] = {}
-        best = big
-        for j in range(max(0, i - most), min(m, i + most) + 1):
-            if j == 0:
-                v = i
-            else:
-                v = min(row.get(j - 1, big) + (a[i - 1] != b[j - 1]), row.get(j, big) + 1, new.get(j - 1, big) + 1)
-            new[j] = v
-            best = min(best, v)
-        if best > most:
-            return False
-        row = new
-    return row.get(m, big) <= most
+
+    def run(i: int, j: int) -> int:
+        while i < n and j < m and a[i] == b[j]:
+            i += 1
+            j += 1
+        return i
+
+    low = -2 - n
+    reach = {0: run(0, 0)}  # diagonal j - i -> how far in a
+    for edits in range(most + 1):
+        if reach.get(m - n, low) >= n:
+            return True
+        new = {}
+        for k in range(max(-edits - 1, -n), min(edits + 1, m) + 1):
+            i = min(max(reach.get(k, low) + 1, reach.get(k + 1, low) + 1, reach.get(k - 1, low)), n, m - k)
+            if i >= 0 and i + k >= 0:
+                new[k] = run(i, i + k)
+        reach = new
+    return False
 
 
 class Lexicon(dict):
