@@ -35,7 +35,7 @@ from tonewright.session import cut
 SAMPLE = 1 << 16
 SAMPLE_OF_LEAF = 8
 #: Most index rows and most asking rows of a leaf that meet in one place.
-BLOCK, PART = 8192, 1 << 16
+BLOCK, PART = 1 << 14, 1 << 16
 #: Rows of a product.
 TILE = 512
 #: Most asking rows whose recall is measured.
@@ -444,7 +444,7 @@ def _visits_for(vectors: DataFrame, forest, dim: int, k: int, asks: str, recall:
 
 
 def nearest(
-    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 4, visits: int | None = None, leaf: int = 2048, seed: int = 11,
+    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 3, visits: int | None = None, leaf: int = 8192, seed: int = 11,
     recall: float = 0.94, exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour, cosine, place): the ``k`` vectors of the highest cosine for each row whose ``asks`` is true.
