@@ -444,7 +444,7 @@ def _visits_for(vectors: DataFrame, forest, dim: int, k: int, asks: str, recall:
 
 
 def nearest(
-    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 3, visits: int | None = None, leaf: int = 8192, seed: int = 11,
+    vectors: DataFrame, dim: int, k: int, asks: str, trees: int = 2, visits: int | None = None, leaf: int = 8192, seed: int = 11,
     recall: float = 0.94, exact: bool = False,
 ) -> DataFrame:
     """(id, neighbour, cosine, place): the ``k`` vectors of the highest cosine for each row whose ``asks`` is true.
