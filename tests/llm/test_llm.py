@@ -239,6 +239,35 @@ def test_hot_templates_with_slots(spark, case, hot, monkeypatch):
     assert got == want
 
 
+def test_near_texts_share_a_key_and_are_alike():
+    rng = random.Random(8)
+    vocab = [f"w{i}" for i in range(30)]
+    texts = []
+    for _ in range(400):
+        a = [rng.choice(vocab) for _ in range(rng.choice([20, 22, 40]))]
+        b = list(a)
+        for _ in range(2):
+            k = rng.randrange(len(b))
+            b[k : k + 1] = rng.choice([[], ["new"], [b[k], rng.choice(vocab)], [rng.choice(vocab)]])
+        texts += [a, b]
+    codes = np.array([SP._code(w, {"w3": 900, "w4": 50}) for t in texts for w in t], dtype=np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    keys, counts = SP.common_keys(codes, sizes), SP.counts_of(codes, sizes)
+    assert all(set(keys[i]) & set(keys[i + 1]) for i in range(0, len(texts), 2))
+    assert SP._alike(counts[::2], counts[1::2]).all() and not SP._alike(counts[:-2], counts[2:]).all()
+
+
+def test_only_candidates_carry_their_words(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [[f"w{rng.randrange(3000)}" for _ in range(25)] for _ in range(300)]
+    texts[1] = [*texts[0][:-1], "other"]
+    df = spark.createDataFrame([(i, f"a{i}", " ".join(t)) for i, t in enumerate(texts)], "id long, author string, text string")
+    met = []
+    monkeypatch.setattr(SP, "near_passages", lambda p: met.append(p.count()) or spark.createDataFrame([], "a long, b long"))
+    got = {r["id"]: r["component"] for r in SP.relate(df, "id", "author", "text").collect()}
+    assert not met and got[0] == got[1] and len(set(got.values())) == 299
+
+
 def test_splits_keep_groups_and_shares(spark):
     rows = [(i, f"author{i % 60}" if i % 3 else "Hot", f"text {i}") for i in range(600)]
     df = spark.createDataFrame(rows, "id long, author string, text string")
